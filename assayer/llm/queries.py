@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import minhash, quality
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": quality.op4_quality_rules}
+    return {
+        "op4_quality_rules": quality.op4_quality_rules,
+        "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
