@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, quality
+from . import decontam, minhash, quality
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+        "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     }
 
 
