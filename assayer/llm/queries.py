@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, pii, quality
+from . import decontam, minhash, pii, quality, sptok
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+        "op7_sentencepiece": sptok.op7_sentencepiece,
         "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
         "op10_pii": pii.op10_pii,
     }
