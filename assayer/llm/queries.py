@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, pii, quality, sptok
+from . import decontam, minhash, pii, quality, secret_scan, sptok
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
         "op7_sentencepiece": sptok.op7_sentencepiece,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
         "op10_pii": pii.op10_pii,
     }
