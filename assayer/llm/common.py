@@ -45,3 +45,10 @@ def text_or_empty(name: str = "text") -> Column:
 def held_out(name: str = "doc_id") -> Column:
     """Whether crc32 of the id as text is divisible by 5: such rows are never learned from."""
     return F.crc32(F.col(name).cast("string")) % 5 == 0
+
+
+def small_batches(batches, rows: int = 512):
+    """The same rows in smaller Arrow batches, so that what a task makes of a batch stays small too."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

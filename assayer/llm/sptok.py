@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
-MEMO = 500_000
+MEMO = 300_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, model: str | None = None, order: str = "merges") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path, order)
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [pieces.encode(t) for t in batch.column(place).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
@@ -231,10 +231,8 @@ def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for batch in batches:
-            column = batch.column(place).fill_null([]) if batch.column(place).null_count else batch.column(place)
-            flat, ends = column.flatten().to_pylist(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
-            texts = [pieces.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for batch in small_batches(batches):
+            texts = [pieces.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
