@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` without those that a document with a smaller id is linked to; columns as they were."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    gone = cut(near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
