@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, pii, quality, secret_scan, sptok
+from . import chat, decontam, minhash, pii, quality, secret_scan, sptok
 
 
 def queries() -> dict:
     return {
+        "op2_chat_format": chat.op2_chat_format,
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
         "op7_sentencepiece": sptok.op7_sentencepiece,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat.OP2_SQL}
