@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, minhash, pii, quality, secret_scan, sptok
+from . import chat, decontam, langid, minhash, pii, quality, secret_scan, sptok, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_chat_format": chat.op2_chat_format,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_language_id": langid.op5_language_id,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
         "op7_sentencepiece": sptok.op7_sentencepiece,
         "op8_secret_scan": secret_scan.op8_secret_scan,
