@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, minhash, pii, quality, secret_scan, sptok, toxicity
+from . import chat, decontam, langid, minhash, pii, quality, secret_scan, sptok, tokenbin, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_chat_format": chat.op2_chat_format,
+        "op3_token_binary": tokenbin.op3_token_binary,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_language_id": langid.op5_language_id,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
