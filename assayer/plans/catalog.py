@@ -164,7 +164,7 @@ def base64_runs(spark, sf_dir):
 
 
 @query(
-    """WITH needles AS (SELECT unnest(['powershell', 'cmd.exe', 'http://', 'https://', 'socket', 'curl', 'dlopen', 'ptrace', 'mach_vm_write']) AS needle)
+    """WITH needles AS (SELECT unnest(['powershell', 'cmd.exe', 'http://', 'https://', 'socket', 'curl', 'dlopen', 'ptrace', 'mach_vm_write', '<script>', 'track(', 'href=']) AS needle)
        SELECT page_id, needle, place FROM (
          SELECT page_id, needle, CAST(unnest(list_filter(generate_series(0, length(html) - 1), lambda i: substr(lower(html), i + 1, length(needle)) = needle)) AS BIGINT) AS place
          FROM pages JOIN needles ON contains(lower(html), needle))
@@ -173,7 +173,8 @@ def base64_runs(spark, sf_dir):
 )
 def needle_offsets(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
-    return rules.needle_offsets(pages).select("page_id", "needle", F.col("at").cast("long").alias("place"))
+    markup = (("<script>", "script"), ("track(", "script"), ("href=", "link"))
+    return rules.needle_offsets(pages, P.NEEDLES + markup).select("page_id", "needle", F.col("at").cast("long").alias("place"))
 
 
 _WORDS = ((("href=", "<article>"), "linked_article", "medium"), (("<!-- ad", "script"), "tracked_ad", "high"), (("<table", "href="), "linked_table", "low"))
