@@ -1,19 +1,20 @@
 """MinHash near-duplicate groups by an LSH forest.
 
 1. Each text becomes the set of its hashed shingles and a MinHash signature; equal sets become one class.
-2. The forest: every tree reads the signature in an order of its own. Classes whose signatures share a first prefix
-   form a region; a region with too many members is read deeper, prefix by prefix, until its parts are small.
-   A region links its members whose signatures agree in ESTIMATE of the places, as a star. A region that stays large
-   at full depth (equal signatures) is linked as a chain.
-3. Components of these links are coarse clusters: they hold every pair at or above the limit that shares a region.
+2. The forest: every tree reads the signature in an order of its own. Classes whose signatures share the first DEPTH values
+   form a region. Members of a region are candidates of each other; a region of more than REGION members is sorted by the whole
+   signature instead, and candidates are the neighbours there, those with the longest common prefixes: as deep as it takes to
+   have REGION / 2 of them on each side. The sort is by range over all tasks, so a large region is no single task's.
+   Candidates whose signatures agree in ESTIMATE of the places are linked, as stars.
+3. Components of these links are coarse clusters: they hold every pair at or above the limit that some tree brings together.
 4. Inside a cluster, links are decided on full sets. Clusters over BLOCK members are dealt out as pairs of blocks,
    so no task holds more than two blocks. Each task returns a spanning star of what it linked, never all pairs.
 
-Chance that a pair exactly at the limit (0.8) is missed: no tree of 24 has its first 3 values equal, 3e-8, or fewer than
-60 % of 72 values agree, 2e-5; deeper regions: with 6 values, 6e-4 where more than REGION texts share three values.
+Chance that a pair exactly at the limit (0.8) is missed: no tree of 24 has its first 3 values equal, 3e-8; fewer than 60 % of
+72 values agree, 2e-5. In a region over REGION members a pair must also be neighbours in one of the trees, unless others link both.
 
 Defined results: null and empty texts (or white space) have an empty set, no links and themselves as component. Repeated
-ids: every row is kept in the result. A text shorter than a shingle has one shingle, its whole word sequence.
+ids: every row is kept in the result. Rows without an id have no component and are kept; only rows with one are linked. A text shorter than a shingle has one shingle, its whole word sequence.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import cut, table
 from .components import components
 
 TREES, SIZE = 24, 72
-DEPTHS = (3, 6, 12, 24, 72)
+DEPTH = 3
 REGION = 512
 ESTIMATE = 0.6
 BLOCK = 1024
@@ -60,11 +61,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _prefix(depth: int) -> Column:
-    """Key of the first `depth` values of the signature in the order of the tree: a rotation by three places a tree."""
+def _turned() -> Column:
+    """The signature in the order of the tree: a rotation by three places a tree."""
     start = (F.col("tree") * 3).cast("int")
-    turned = F.concat(F.slice("sig", start + 1, F.lit(SIZE)), F.slice("sig", F.lit(1), start))
-    return F.xxhash64("tree", F.lit(depth), F.slice(turned, 1, depth))
+    return F.concat(F.slice("sig", start + 1, F.lit(SIZE)), F.slice("sig", F.lit(1), start))
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], key: str, handle) -> Iterator[pa.RecordBatch]:
@@ -102,56 +102,66 @@ def _edges(ids: list, roots: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], schema=_EDGE)
 
 
+def _agreeing(ids: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
+    """A star for each set of rows whose signatures agree in ESTIMATE of the places, directly or over others."""
+    if len(ids) == 2:
+        return ([ids[1]], [ids[0]]) if (sig[0] == sig[1]).sum() >= ESTIMATE * SIZE else ([], [])
+    root = _stars(lambda k: (sig == sig[k]).sum(axis=1) >= ESTIMATE * SIZE, len(ids))
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[other].tolist(), ids[root[other]].tolist()
+
+
+def _signatures(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = rows.column("rep").to_numpy()
+    return ids, rows.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), SIZE)
+
+
 def _region_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A star for each set of members of a region whose signatures agree; rows sorted by key."""
+    """Links inside regions of at most REGION members; rows sorted by key."""
 
     def handle(rows: pa.Table, cuts: np.ndarray):
-        ids = rows.column("rep").to_numpy()
-        sig = rows.column("sig").combine_chunks()
-        sig = sig.flatten().to_numpy().reshape(len(ids), SIZE)
+        ids, sig = _signatures(rows)
         a, b = [], []
-        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=False):
-            if j - i == 2:
-                if (sig[i] == sig[i + 1]).sum() >= ESTIMATE * SIZE:
-                    a.append(ids[i + 1])
-                    b.append(ids[i])
-            elif j - i > 2:
-                part = sig[i:j]
-                root = _stars(lambda k, part=part: (part == part[k]).sum(axis=1) >= ESTIMATE * SIZE, j - i)
-                other = np.flatnonzero(root != np.arange(j - i))
-                a += ids[i + other].tolist()
-                b += ids[i + root[other]].tolist()
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
+            if j - i > 1:
+                x, y = _agreeing(ids[i:j], sig[i:j])
+                a += x
+                b += y
         if a:
             yield _edges(a, b)
 
     yield from _streamed(batches, "key", handle)
 
 
+def _neighbour_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among neighbours in the sorted order of a tree: windows of REGION rows that overlap by half."""
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, now]) if rest is not None else now
+        while rest.num_rows > REGION:
+            a, b = _agreeing(*_signatures(rest.slice(0, REGION)))
+            yield _edges(a, b)
+            rest = rest.slice(max(1, REGION // 2))
+        rest = rest.combine_chunks()
+    if rest is not None and rest.num_rows > 1:
+        yield _edges(*_agreeing(*_signatures(rest)))
+
+
 def forest_links(reps: DataFrame) -> DataFrame:
     """Candidate links (a, b) of the classes `reps` (rep, sig), a sparse graph with the components of all candidates."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    level = reps.select("rep", "sig", trees).select("rep", "tree", _prefix(DEPTHS[0]).alias("key"))
-    parts, chains = [], []
-    for k, depth in enumerate(DEPTHS):
-        sizes = level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = cut(level.join(sizes, "key"))
-        parts.append(shared.filter(F.col("n") <= REGION).select("key", "rep"))
-        large = shared.filter(F.col("n") > REGION)
-        if large.isEmpty():
-            break
-        if depth == DEPTHS[-1]:
-            heads = large.groupBy("key").agg(F.min("rep").alias("b"))
-            chains.append(large.join(heads, "key").select(F.col("rep").alias("a"), "b"))
-        else:
-            level = large.select("rep", "tree").join(reps, "rep").select("rep", "tree", _prefix(DEPTHS[k + 1]).alias("key"))
-    regions = parts[0]
-    for p in parts[1:]:
-        regions = regions.unionByName(p)
-    dealt = regions.join(reps, "rep").repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "sig")
-    out = dealt.mapInArrow(_region_links, "a long, b long")
-    for c in chains:
-        out = out.unionByName(c)
-    return out.filter("a <> b")
+    first = reps.select("rep", "sig", trees).select("rep", "tree", F.xxhash64("tree", F.slice(_turned(), 1, DEPTH)).alias("key"))
+    sizes = first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(first.join(sizes, "key"))
+    small = shared.filter(F.col("n") <= REGION).select("key", "rep").join(reps, "rep")
+    links = small.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "sig").mapInArrow(_region_links, "a long, b long")
+    large = shared.filter(F.col("n") > REGION)
+    if not large.isEmpty():
+        order = large.select("rep", "tree", "key").join(reps, "rep").select("rep", "sig", "key", _turned().alias("turned"))
+        ordered = order.repartitionByRange("key", "turned").sortWithinPartitions("key", "turned", "rep").select("rep", "sig")
+        links = links.unionByName(ordered.mapInArrow(_neighbour_links, "a long, b long"))
+    return links.filter("a <> b")
 
 
 def _exact_links(width: int, percent: int):
@@ -200,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     """doc_id, n_shingles, component_id (least doc_id linked directly or not, itself included) and kept (it is that document)."""
     every = cut(signatures(docs, width))
     classes = every.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep"))
-    classes = cut(classes)
+    classes = cut(classes.filter("rep IS NOT NULL"))
     coarse = components(forest_links(classes.select("rep", "sig")), "a", "b")
     links, dealt_out = exact_links(docs, coarse, width, percent)
     if dealt_out:
@@ -210,14 +220,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     roots = classes.drop("sig").join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
     roots = roots.select("n_shingles", "k1", "k2", F.least(F.coalesce("root", "rep"), "rep").alias("component_id"))
     out = every.drop("sig").join(roots, ["n_shingles", "k1", "k2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` without those that a document with a smaller id is linked to; columns as they were."""
-    gone = cut(near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = cut(near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left_anti")
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

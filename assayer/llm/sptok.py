@@ -209,6 +209,7 @@ def _pieces(path: str, order: str = "merges") -> Pieces:
 def encode(docs: DataFrame, model: str | None = None, order: str = "merges") -> DataFrame:
     """The columns of `docs` with ids (array of int), n_tokens and ids_crc32 (of the ids as little-endian 32-bit integers)."""
     path = model or model_path()
+    docs = docs.drop("ids", "n_tokens", "ids_crc32")  # columns of these names are replaced
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +228,7 @@ def encode(docs: DataFrame, model: str | None = None, order: str = "merges") ->
 def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
     """The columns of `tokens` with decoded, the text of its column ids."""
     path = model or model_path()
+    tokens = tokens.drop("decoded")
     place = tokens.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
