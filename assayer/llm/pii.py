@@ -34,6 +34,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://[^\s/?#@:]+(?::[^\s/?#@]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?")
 _ACCOUNT = re.compile(r"(?: (?:number|no\.?|id))?[ ]?[:=#][ ]*([A-Za-z0-9](?:[A-Za-z0-9_-]| (?=[0-9]{2,4}\b)){4,40})", re.ASCII)
+_IBAN = re.compile(r"(?: (?:number|no\.?))?[ ]?[:=#]?[ ]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})")
 
 
 def luhn(digits: str) -> bool:
@@ -106,7 +107,7 @@ class Finder:
                 if start < at and (m := _LOGIN.match(text, at)):
                     login = m.end()
                     found.append((start, 4, login))
-            elif last + 1 >= account and (m := _ACCOUNT.match(text, last + 1)):
+            elif last + 1 >= account and (m := (_IBAN if kind == "iban" else _ACCOUNT).match(text, last + 1)):
                 known = m[1].rstrip(" -_")
                 begin = last + 1 - size
                 alone = begin == 0 or not text[begin - 1].isalnum()

@@ -15,7 +15,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 def personal(text):
     out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         d = [int(c) for c in m[0] if c.isdigit()][::-1]
         if 12 <= len(d) <= 19 and sum(d[::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10 == 0:
