@@ -26,6 +26,20 @@ PRESENT = {
     "remote_fetch": P.REMOTE_FETCH, "install_exec": P.INSTALL_CODE_EXEC, "getattr_concat": P.GETATTR_CONCAT, "getattr_builtins": P.GETATTR_BUILTINS,
     "dict_builtins": P.DICT_BUILTINS, "global_computed": P.GLOBAL_COMPUTED,
 }
+#: Texts of which one at least is in every match: a plain search, so most files never reach the pattern. Lower case for those without case.
+NEEDED = {
+    "char_list": ("[",), "objc": ("@[",), "cpp": ("+",), "eval_exec": ("eval", "exec"), "fromcharcode": ("fromCharCode",), "atob": ("atob",), "js_obfusc": ("_0x",),
+    "packed_js": ("eval",), "hex_escape": ("\\x",), "eth": ("0x",), "shellcode": ("\\x",), "aws": ("AKIA",), "github": ("ghp_", "ghs_"), "decoder": ("codePointAt",),
+    "exec_compile": ("compile",), "xor": ("bytes",), "marshal": ("marshal",), "nested": ("b64decode",), "rot13": ("codecs",), "embedded_pe": ("\\x", 'b"MZ"', "b'MZ'"),
+    "data_uri": (";base64,",), "private_key": ("PRIVATE KEY",), "git_py": ("subprocess", "os.system"), "git_js": ("exec", "spawn"), "git_write": ("commit", "push", "add"),
+    "curl_pipe": ("curl", "wget"), "remote_fetch": ("url", "requests", "httpx"), "install_exec": ("exec", "eval"), "getattr_concat": ("getattr",),
+    "getattr_builtins": ("getattr",), "dict_builtins": ("globals", "vars"), "global_computed": ("global",),
+}
+NEEDED_ANY_CASE = {
+    "api_key": ("api", "token", "secret", "password", "credential"),
+    "sensitive_path": ("expanduser", "homedir", "home", "userprofile", "path("),
+    "sensitive_literal": ("~/", "/home/", "%userprofile%"),
+}
 FINDING = "array<struct<source: string, category: string, severity: string, hits: int>>"
 
 
@@ -51,10 +65,19 @@ def _measure(files: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
     )
     long_lines = F.filter(F.regexp_extract_all(c, F.lit(P.LONG_STRING), 0), lambda s: ~s.contains("\n"))
+
+    def needed(k):
+        source, words = (F.col("_low"), NEEDED_ANY_CASE[k]) if k in NEEDED_ANY_CASE else (c, NEEDED.get(k, ()))
+        found = F.lit(not words)
+        for w in words:
+            found = found | source.contains(w)
+        return found
+
+    files = files.withColumn("_low", F.lower(c))
     return files.select(
-        *files.columns,
-        *[F.regexp_count(c, F.lit(p)).alias(f"n_{k}") for k, p in COUNTED.items()],
-        *[c.rlike(p).alias(f"is_{k}") for k, p in PRESENT.items()],
+        *[x for x in files.columns if x != "_low"],
+        *[F.when(needed(k), F.regexp_count(c, F.lit(p))).otherwise(0).alias(f"n_{k}") for k, p in COUNTED.items()],
+        *[(needed(k) & c.rlike(p)).alias(f"is_{k}") for k, p in PRESENT.items()],
         _base64_blob(c).alias("is_base64"),
         F.array_intersect(dynamic, F.array(*map(F.lit, P.ENCODING_MODULES_DYNAMIC))).alias("dynamic"),
         imports.alias("imports"),
