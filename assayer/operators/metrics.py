@@ -33,3 +33,28 @@ def contributions(findings: DataFrame, flagged: DataFrame, *, most: int = 10) ->
 def joined(samples: DataFrame, files: DataFrame, on: list[str]) -> DataFrame:
     """All samples with the status of their file, `missing` where there is none."""
     return samples.join(files, on, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+
+
+def case_results(cases: DataFrame) -> DataFrame:
+    """Cases (case, expected, verdict) with passed: bad cases are to be malicious or suspicious, suspicious ones not clean, clean ones clean or inconclusive."""
+    v = F.coalesce("verdict", F.lit("missing"))
+    passed = (
+        F.when(F.col("expected") == "malicious", v.isin("malicious", "suspicious"))
+        .when(F.col("expected") == "suspicious", v.isin("suspicious", "malicious", "inconclusive"))
+        .otherwise(v.isin("clean", "inconclusive"))
+    )
+    return cases.withColumn("passed", passed)
+
+
+def case_rates(results: DataFrame) -> DataFrame:
+    """One row: cases, passed, detection rate of bad cases and false positives among clean ones."""
+    bad, flagged = F.col("expected") != "clean", F.col("verdict").isin("malicious", "suspicious")
+    r = results.agg(
+        F.count("*").alias("n_cases"), F.count_if("passed").alias("n_passed"), F.count_if(bad).alias("n_bad"), F.count_if(bad & flagged).alias("n_detected"), F.count_if(~bad & flagged).alias("n_false")
+    )
+    return r.withColumn("detection_rate", _rate(F.col("n_detected"), F.col("n_bad"))).drop("n_bad")
+
+
+def markdown(rows: DataFrame) -> DataFrame:
+    """Each row of a small report as a line of a markdown table (value)."""
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns]), F.lit(" |")).alias("value"))

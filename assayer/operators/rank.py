@@ -22,3 +22,17 @@ def top_functions(functions: DataFrame, key: str, *, limit: int, least: float =
     """The functions with the highest triage score of each key; of equal scores the first by ordinal."""
     w = Window.partitionBy(key).orderBy(F.desc("triage_score"), "ordinal")
     return functions.filter(F.col("triage_score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
+def grouped(rows: DataFrame, key: str, group: str, message: str, *order: str, cap: int = 10) -> DataFrame:
+    """(key, group, messages, overflow): the first `cap` messages of each group of a key, in order, and how many more there are."""
+    w = Window.partitionBy(key, group).orderBy(*order)
+    first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
+    shown = first.groupBy(key, group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(message).alias("m")))), lambda x: x["m"]).alias("messages"))
+    counts = rows.groupBy(key, group).agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("overflow"))
+    return shown.join(counts, [key, group])
+
+
+def triage_mode(findings: DataFrame, key: str, *, more_than: int = 20) -> DataFrame:
+    """(key, n, triage): whether a repository has so many findings that they are triaged before a closer look."""
+    return findings.groupBy(key).agg(F.count("*").alias("n")).withColumn("triage", F.col("n") > more_than)

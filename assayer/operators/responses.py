@@ -54,3 +54,12 @@ def within_budget(answers: DataFrame, key: str, *, budget: int) -> DataFrame:
 
     used = answers.withColumn("tokens", F.col("in_tokens") + F.col("out_tokens"))
     return budgeted(used, key, "ordinal", budget=budget).filter(F.col("used") - F.col("tokens") < budget)
+
+
+def rule_texts(answers: DataFrame) -> DataFrame:
+    """(key, rule, text) of the scan rules that answers (key, text) hold: those with strings, a condition and balanced braces."""
+    found = F.regexp_extract_all("text", F.lit(r"(?s)(rule\s+\w+[^{]*\{.*?\n\})"), 1)
+    rows = answers.select("key", F.explode(found).alias("text"))
+    whole = F.regexp_count("text", F.lit(r"\{")) == F.regexp_count("text", F.lit(r"\}"))
+    kept = rows.filter(F.col("text").contains("condition:") & F.col("text").contains("strings:") & whole)
+    return kept.select("key", F.regexp_extract("text", r"rule\s+(\w+)", 1).alias("rule"), "text")

@@ -313,6 +313,29 @@ def budget_running_total(spark, sf_dir):
     return rank.budgeted(c, "conv_id", "turn", budget=100)
 
 
+@query(
+    """SELECT user_id, event_type, list(event_id ORDER BY event_id) FILTER (n <= 10) AS messages, greatest(count(*) - 10, 0) AS overflow
+       FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) GROUP BY 1, 2"""
+)
+def grouped_findings(spark, sf_dir):
+    return rank.grouped(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", "event_id")
+
+
+@query("SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n, count(*) > 20 AS triage FROM events WHERE event_type = 'error' GROUP BY 1")
+def triage_mode(spark, sf_dir):
+    return rank.triage_mode(table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.to_date("ts").alias("day")), "day")
+
+
+@query(
+    r"""SELECT page_id, sha256(html) AS sha256, md5(html) AS md5, octet_length(encode(html)) AS size, 'unknown' AS format, len(list_slice(regexp_extract_all(html, '[\x20-\x7e]{4,}'), 1, 256)) AS n_strings,
+        CAST(ceil(octet_length(encode(html)) / 4096.0) AS BIGINT) AS n_chunks FROM pages"""
+)
+def page_artifacts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    a = binary.artifacts(pages)
+    return a.select(F.col("path").cast("long").alias("page_id"), "sha256", "md5", "size", "format", F.size("strings").cast("long").alias("n_strings"), F.size("chunk_hashes").cast("long").alias("n_chunks"))
+
+
 # ------------------------------------------------------------------ joins
 
 _SHINGLES = "SELECT DISTINCT {id} AS id, list_aggregate(w[i : i + 2], 'string_agg', ' ') AS element FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 2)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z]+') AS w FROM {table}) WHERE len(w) >= 3)"
@@ -476,6 +499,21 @@ def tool_contributions(spark, sf_dir):
     return metrics.contributions(f, f.filter("severity = 'high'"))
 
 
+@query(
+    f"""WITH {FINDINGS_SQL}, judged AS (SELECT CASE WHEN l.quality = 0 THEN 'malicious' ELSE 'clean' END AS expected, CASE WHEN coalesce(n, 0) > 0 THEN 'suspicious' ELSE 'clean' END AS verdict
+          FROM labels l JOIN files f USING (doc_id) LEFT JOIN (SELECT path, count(*) FILTER (severity = 'medium') AS n FROM found GROUP BY 1) g USING (path))
+        SELECT count(*) AS n_cases, count(*) FILTER ((expected = 'malicious') = (verdict = 'suspicious')) AS n_passed, count(*) FILTER (expected = 'malicious' AND verdict = 'suspicious') AS n_detected,
+          count(*) FILTER (expected = 'clean' AND verdict = 'suspicious') AS n_false,
+          CASE WHEN count(*) FILTER (expected = 'malicious') = 0 THEN 0.0 ELSE round(count(*) FILTER (expected = 'malicious' AND verdict = 'suspicious')::DOUBLE / count(*) FILTER (expected = 'malicious'), 4) END AS detection_rate
+        FROM judged"""
+)
+def case_rates(spark, sf_dir):
+    flagged = findings(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("severity") == "medium").alias("n"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "malicious").otherwise("clean").alias("expected"))
+    judged = labels.join(files(spark, sf_dir).select("doc_id", "path"), "doc_id").join(flagged, "path", "left")
+    return metrics.case_rates(metrics.case_results(judged.select("expected", F.when(F.coalesce("n", F.lit(0)) > 0, "suspicious").otherwise("clean").alias("verdict"))))
+
+
 @query()
 def typosquat(spark, sf_dir):
     """Words of documents that look like a popular package (similarity by matching blocks has no SQL form)."""

@@ -196,3 +196,15 @@ def test_stream(spark, tmp_path):
     q = inbox.analyse(inbox.arrivals(spark, str(inn)), f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_rule_texts_and_cases(spark):
+    rule = 'rule Good {\n  strings:\n    $a = "x"\n  condition:\n    $a\n}'
+    a = spark.createDataFrame([("x", f"text\n```\n{rule}\n```"), ("y", "rule Bad {\n condition: true\n}")], "key string, text string")
+    assert [(r.key, r.rule) for r in responses.rule_texts(a).collect()] == [("x", "Good")]
+    c = spark.createDataFrame([("a", "malicious", "suspicious"), ("b", "clean", "clean"), ("c", "clean", "malicious"), ("d", "malicious", None)], "case string, expected string, verdict string")
+    r = metrics.case_rates(metrics.case_results(c))
+    assert tuple(r.first()) == (4, 2, 1, 1, 0.5) and metrics.markdown(r).first().value == "| 4 | 2 | 1 | 1 | 0.5 |"
+    f = spark.createDataFrame([("k", "g", f"m{i:02}", i) for i in range(12)], "key string, grp string, m string, o int")
+    g = rank.grouped(f, "key", "grp", "m", "o").first()
+    assert len(g.messages) == 10 and g.messages[0] == "m00" and g.overflow == 2
