@@ -12,7 +12,7 @@ def verified(keys: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def allowed(scopes: Column, scope: str) -> Column:
-    return F.array_contains(scopes, scope) | F.array_contains(scopes, "admin")
+    return F.array_contains(scopes, scope)
 
 
 def redacted_url(url: Column) -> Column:

@@ -62,11 +62,11 @@ def baseline_rows(files: DataFrame, product: str, signer: str | None = None) ->
 
 
 def trusted(provenance: DataFrame) -> DataFrame:
-    """Provenance rows (authenticode, sigstore, claimed as booleans, null for unknown) with `trusted`: any of them holds."""
-    any_of = F.lit(False)
-    for name in ("authenticode", "sigstore", "claimed"):
-        any_of = any_of | F.coalesce(F.col(name), F.lit(False))
-    return provenance.withColumn("trusted", any_of)
+    """Provenance rows (authenticode boolean, sigstore and in_toto strings, null for unknown) with `trusted`: any of them is there."""
+    there = F.coalesce(F.col("authenticode"), F.lit(False))
+    for name in ("sigstore", "in_toto"):
+        there = there | (F.coalesce(F.col(name), F.lit("")) != "")
+    return provenance.withColumn("trusted", there)
 
 
 def unavailable(artifacts: DataFrame, tools: dict[str, bool]) -> DataFrame:

@@ -36,23 +36,25 @@ def joined(samples: DataFrame, files: DataFrame, on: list[str]) -> DataFrame:
 
 
 def case_results(cases: DataFrame) -> DataFrame:
-    """Cases (case, expected, verdict) with passed: bad cases are to be malicious or suspicious, suspicious ones not clean, clean ones clean or inconclusive."""
+    """Cases (case, expected, verdict) with passed: malicious only as such, suspicious as that or worse, clean as clean or inconclusive."""
     v = F.coalesce("verdict", F.lit("missing"))
     passed = (
-        F.when(F.col("expected") == "malicious", v.isin("malicious", "suspicious"))
-        .when(F.col("expected") == "suspicious", v.isin("suspicious", "malicious", "inconclusive"))
-        .otherwise(v.isin("clean", "inconclusive"))
+        F.when(F.col("expected") == "suspicious", v.isin("suspicious", "malicious"))
+        .when(F.col("expected") == "clean", v.isin("clean", "inconclusive"))
+        .otherwise(v == F.col("expected"))
     )
     return cases.withColumn("passed", passed)
 
 
 def case_rates(results: DataFrame) -> DataFrame:
-    """One row: cases, passed, detection rate of bad cases and false positives among clean ones."""
-    bad, flagged = F.col("expected") != "clean", F.col("verdict").isin("malicious", "suspicious")
+    """One row: cases, passed, and the shares of malicious and of clean cases that are called malicious."""
+    bad, clean, called = F.col("expected") == "malicious", F.col("expected") == "clean", F.coalesce(F.col("verdict") == "malicious", F.lit(False))
     r = results.agg(
-        F.count("*").alias("n_cases"), F.count_if("passed").alias("n_passed"), F.count_if(bad).alias("n_bad"), F.count_if(bad & flagged).alias("n_detected"), F.count_if(~bad & flagged).alias("n_false")
-    )
-    return r.withColumn("detection_rate", _rate(F.col("n_detected"), F.col("n_bad"))).drop("n_bad")
+        F.count("*").alias("n_cases"), F.count_if("passed").alias("n_passed"), F.count_if(bad & called).alias("tp"), F.count_if(bad & ~called).alias("fn"),
+        F.count_if(clean & called).alias("fp"), F.count_if(clean & ~called).alias("tn"),
+    )
+    rates = {"detection_rate": _rate(F.col("tp"), F.col("tp") + F.col("fn")), "false_positive_rate": _rate(F.col("fp"), F.col("fp") + F.col("tn"))}
+    return r.withColumns(rates)
 
 
 def markdown(rows: DataFrame) -> DataFrame:

@@ -6,11 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import paths
-from assayer.operators import dependencies, graph
+from assayer.operators import graph
 from assayer.operators import patterns as P
 
-#: Kinds of project and words in paths that show them, the first that applies counts.
-PROJECT_WORDS = (("web", ("index.html", "webpack", ".jsx", ".tsx")), ("python", ("setup.py", "pyproject.toml", ".py")), ("node", ("package.json", ".js")), ("native", ("cmakelists.txt", ".cpp", ".c")))
+# Kinds of project and the words in paths that show them; the first that applies counts.
+PROJECT_WORDS = (
+    ("SSH/crypto library", ("ssh", "sftp", "transport", "kex_")),
+    ("cryptography library", ("cipher", "ecdsa", "ed25519", "rsa", "x509")),
+    ("Node.js project", ("node_modules", "webpack", "babel")),
+    ("npm package", ("package.json",)),
+    ("Python web framework", ("django", "flask", "fastapi")),
+    ("Python package", ("setup.py", "pyproject.toml")),
+)
+OTHER_PROJECT = "software project"
+HOOK_SCRIPTS = (".js", ".ts", ".sh", ".py")
+DOWNLOAD_WORDS = ("curl", "wget", "fetch(", "https.get", "http.get", "execSync", "spawn(", "bun.sh/install", "downloadAndSetup")
 
 
 def roles(path: Column) -> Column:
@@ -28,7 +38,7 @@ def roles(path: Column) -> Column:
 
 
 def project_types(files: DataFrame, key: str, words=PROJECT_WORDS) -> DataFrame:
-    """(key, project): the first kind that any path of the repository shows, `unknown` without one."""
+    """(key, project): the first kind that any path of the repository shows, OTHER_PROJECT without one."""
     low = F.lower("path")
     shown = []
     for kind, parts in words:
@@ -37,24 +47,26 @@ def project_types(files: DataFrame, key: str, words=PROJECT_WORDS) -> DataFrame:
             any_of = any_of | low.contains(p)
         shown.append(F.bool_or(any_of).alias(kind))
     found = files.groupBy(key).agg(*shown)
-    project = F.coalesce(*[F.when(F.col(kind), F.lit(kind)) for kind, _ in words], F.lit("unknown"))
+    project = F.coalesce(*[F.when(F.col(f"`{kind}`"), F.lit(kind)) for kind, _ in words], F.lit(OTHER_PROJECT))
     return found.select(key, project.alias("project"))
 
 
-def hook_droppers(files: DataFrame) -> DataFrame:
-    """(path, hook, script, severity): lifecycle hooks whose script is in the repository and fetches and runs code.
+def hook_droppers(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """(path, hook, script, severity): install hooks whose script is in the repository and downloads code or has suspicious imports.
 
-    files: path, content. The manifest that declares the hook carries the finding.
+    files: path, content; findings: path, category. The manifest that declares the hook carries the finding.
     """
-    h = dependencies.hooks(files)
-    target = F.regexp_extract("command", r"(?:node|python3?|bash|sh|bun)\s+(?:\./)?([\w./-]+)", 1)
-    calls = h.select(F.concat_ws("\u0001", "path", "hook").alias("hook"), target.alias("target")).filter("target <> ''")
+    j = files.filter(F.lower("path").endswith("package.json")).select("path", F.from_json("content", "struct<scripts: map<string, string>>").alias("j"))
+    h = j.select("path", F.explode("j.scripts").alias("hook", "command")).filter(F.col("hook").isin("preinstall", "postinstall", "preuninstall"))
+    script = F.element_at(F.split(F.trim("command"), r"\s+"), -1)
+    calls = h.select(F.concat_ws("\u0001", "path", "hook").alias("hook"), script.alias("target")).filter(paths.ends_with_any(F.col("target"), HOOK_SCRIPTS))
     found = graph.hook_targets(calls, files)
-    scripts = files.select("path", "content").filter(
-        F.col("content").rlike(P.CURL_PIPE_SHELL) | ((F.col("content").rlike(P.REMOTE_FETCH) | F.col("content").rlike(P.EXFIL_JS)) & (F.col("content").rlike(P.INSTALL_CODE_EXEC) | F.col("content").contains("child_process")))
-    )
-    j = found.join(scripts.select("path"), "path")
-    return j.select(F.split_part("hook", F.lit("\u0001"), F.lit(1)).alias("path"), F.split_part("hook", F.lit("\u0001"), F.lit(2)).alias("hook"), F.col("path").alias("script"), F.lit("high").alias("severity"))
+    downloads = F.lit(False)
+    for word in DOWNLOAD_WORDS:
+        downloads = downloads | F.col("content").contains(word)
+    bad = files.filter(downloads).select("path").unionByName(findings.filter("category = 'import:suspicious'").select("path")).distinct()
+    k = found.join(bad, "path")
+    return k.select(F.split_part("hook", F.lit("\u0001"), F.lit(1)).alias("path"), F.split_part("hook", F.lit("\u0001"), F.lit(2)).alias("hook"), F.col("path").alias("script"), F.lit("high").alias("severity"))
 
 
 def lead_findings(leads: DataFrame) -> DataFrame:

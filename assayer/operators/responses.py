@@ -6,39 +6,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANSWER = "struct<verdict: string, confidence: double, summary: string, findings: array<struct<severity: string, category: string, message: string>>, iocs: array<string>>"
-CONFIRMED = 0.7
+CONFIRMED, REVIEWED = 0.7, 0.85
+#: Severities that an answer may give to a finding.
+GIVEN = ("medium", "high", "critical")
 
 
 def fenced(text: Column) -> Column:
-    """The JSON of an answer: in a fence if there is one, else from the first brace to the last."""
-    inside = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    return F.when(inside != "", inside).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+    """The JSON block of an answer; empty where there is none."""
+    return F.regexp_extract(text, r"(?s)```json\s*\n(.*?)\n\s*```", 1)
 
 
 def parsed(answers: DataFrame) -> DataFrame:
-    """answers (key, text) with a (ANSWER); null where an answer holds no JSON."""
-    return answers.withColumn("a", F.from_json(fenced(F.col("text")), ANSWER))
+    """answers (key, text, …) with a (ANSWER) and confidence (0.5 where the answer has none); a is null where an answer holds no JSON."""
+    block = fenced(F.col("text"))
+    a = F.when(F.try_parse_json(F.nullif(block, F.lit(""))).isNotNull(), F.from_json(block, ANSWER))
+    return answers.withColumn("a", a).withColumn("confidence", F.coalesce("a.confidence", F.lit(0.5)))
+
+
+def _rows(p: DataFrame, source: str, category: Column, severity: Column, message: Column) -> DataFrame:
+    return p.select("key", F.lit(source).alias("source"), category.alias("category"), severity.alias("severity"), message.alias("message"), (F.col("confidence") < CONFIRMED).alias("advisory"))
 
 
 def findings(answers: DataFrame) -> DataFrame:
-    """(key, source, category, severity, message, advisory): the verdict of each answer and what it found.
+    """(key, source, category, severity, message, advisory) of answers (key, text) about files.
+
+    A malicious verdict is high from the confidence CONFIRMED and none below; a benign one is info. Findings keep their severity, others
+    than GIVEN count as medium; below that confidence they are advisory.
+    """
+    p = parsed(answers).filter("a IS NOT NULL")
+    said = F.coalesce("a.verdict", F.lit("suspicious"))
+    bad = p.filter((said == "malicious") & (F.col("confidence") >= CONFIRMED))
+    out = _rows(bad, "llm-analysis", F.lit("llm:malicious_confirmed"), F.lit("high"), F.col("a.summary"))
+    out = out.unionByName(_rows(p.filter(said == "benign"), "llm-analysis", F.lit("llm:benign_confirmed"), F.lit("info"), F.col("a.summary")))
+    each = p.select("key", "confidence", F.explode("a.findings").alias("f"))
+    level = F.when(F.col("f.severity").isin(*GIVEN), F.col("f.severity")).otherwise("medium")
+    return out.unionByName(_rows(each, "llm-analysis", F.coalesce("f.category", F.lit("llm:finding")), level, F.coalesce("f.message", F.lit("LLM finding"))))
+
+
+def function_findings(answers: DataFrame) -> DataFrame:
+    """The same for answers (key, text, triage_score) about functions.
 
-    A malicious verdict is high from the confidence CONFIRMED, else medium; findings below that confidence are advisory.
+    Malicious below CONFIRMED and suspicious are medium; benign is info, but medium for a function whose triage score reaches REVIEWED.
+    Findings of another severity than GIVEN are left out.
     """
     p = parsed(answers).filter("a IS NOT NULL")
-    sure = F.coalesce("a.confidence", F.lit(0.0)) >= CONFIRMED
-    level = F.when((F.col("a.verdict") == "malicious") & sure, "high").when(F.col("a.verdict").isin("malicious", "suspicious"), "medium").otherwise("info")
-    whole = p.select("key", F.lit("llm").alias("source"), F.concat(F.lit("llm:"), F.coalesce("a.verdict", F.lit("unknown"))).alias("category"), level.alias("severity"), F.col("a.summary").alias("message"), (~sure).alias("advisory"))
-    known = F.lower("f.severity").isin("critical", "high", "medium", "low", "info")
-    each = p.select("key", "a", F.explode("a.findings").alias("f")).select(
-        "key", F.lit("llm").alias("source"), F.concat(F.lit("llm:"), F.coalesce("f.category", F.lit("finding"))).alias("category"), F.when(known, F.lower("f.severity")).otherwise("medium").alias("severity"), F.col("f.message").alias("message"), (~sure).alias("advisory")
-    )
-    return whole.unionByName(each)
+    said, sure = F.coalesce("a.verdict", F.lit("suspicious")), F.col("confidence") >= CONFIRMED
+    doubted = (said == "malicious") & ~sure | (said == "suspicious") | (said == "benign") & (F.col("triage_score") >= REVIEWED)
+    category = F.when((said == "malicious") & sure, "llm:function_malicious").when(doubted, "llm:function_suspicious").when(said == "benign", "llm:function_benign")
+    level = F.when((said == "malicious") & sure, "high").when(doubted, "medium").otherwise("info")
+    out = _rows(p.withColumn("_c", category).filter("_c IS NOT NULL"), "llm-function", category, level, F.col("a.summary"))
+    each = p.select("key", "confidence", F.explode("a.findings").alias("f")).withColumn("_s", F.coalesce("f.severity", F.lit("medium"))).filter(F.col("_s").isin(*GIVEN))
+    return out.unionByName(_rows(each, "llm-function", F.concat(F.lit("llm:"), F.coalesce("f.category", F.lit("finding"))), F.col("_s"), F.coalesce("f.message", F.lit("LLM finding"))))
 
 
 def overridden(verdicts: DataFrame, answers: DataFrame) -> DataFrame:
     """Verdicts (key, state) with the state of a usable answer in place of the rules'."""
-    p = parsed(answers).select("key", F.col("a.verdict").alias("said")).filter(F.col("said").isin("clean", "suspicious", "malicious", "inconclusive"))
+    p = parsed(answers).select("key", F.lower("a.verdict").alias("said")).filter(F.col("said").isin("clean", "suspicious", "malicious", "inconclusive"))
     return verdicts.join(p, "key", "left").withColumn("state", F.coalesce("said", "state")).drop("said")
 
 

@@ -500,18 +500,17 @@ def tool_contributions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FINDINGS_SQL}, judged AS (SELECT CASE WHEN l.quality = 0 THEN 'malicious' ELSE 'clean' END AS expected, CASE WHEN coalesce(n, 0) > 0 THEN 'suspicious' ELSE 'clean' END AS verdict
-          FROM labels l JOIN files f USING (doc_id) LEFT JOIN (SELECT path, count(*) FILTER (severity = 'medium') AS n FROM found GROUP BY 1) g USING (path))
-        SELECT count(*) AS n_cases, count(*) FILTER ((expected = 'malicious') = (verdict = 'suspicious')) AS n_passed, count(*) FILTER (expected = 'malicious' AND verdict = 'suspicious') AS n_detected,
-          count(*) FILTER (expected = 'clean' AND verdict = 'suspicious') AS n_false,
-          CASE WHEN count(*) FILTER (expected = 'malicious') = 0 THEN 0.0 ELSE round(count(*) FILTER (expected = 'malicious' AND verdict = 'suspicious')::DOUBLE / count(*) FILTER (expected = 'malicious'), 4) END AS detection_rate
-        FROM judged"""
+    f"""WITH {FINDINGS_SQL}, judged AS (SELECT CASE WHEN l.quality = 0 THEN 'malicious' ELSE 'clean' END AS expected, CASE WHEN coalesce(n, 0) > 0 THEN 'malicious' ELSE 'clean' END AS verdict
+          FROM labels l JOIN files f USING (doc_id) LEFT JOIN (SELECT path, count(*) FILTER (severity = 'medium') AS n FROM found GROUP BY 1) g USING (path)),
+        c AS (SELECT count(*) AS n_cases, count(*) FILTER (expected = verdict) AS n_passed, count(*) FILTER (expected = 'malicious' AND verdict = 'malicious') AS tp,
+          count(*) FILTER (expected = 'malicious' AND verdict = 'clean') AS fn, count(*) FILTER (expected = 'clean' AND verdict = 'malicious') AS fp, count(*) FILTER (expected = 'clean' AND verdict = 'clean') AS tn FROM judged)
+        SELECT *, CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp::DOUBLE / (tp + fn), 4) END AS detection_rate, CASE WHEN fp + tn = 0 THEN 0.0 ELSE round(fp::DOUBLE / (fp + tn), 4) END AS false_positive_rate FROM c"""
 )
 def case_rates(spark, sf_dir):
     flagged = findings(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("severity") == "medium").alias("n"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "malicious").otherwise("clean").alias("expected"))
     judged = labels.join(files(spark, sf_dir).select("doc_id", "path"), "doc_id").join(flagged, "path", "left")
-    return metrics.case_rates(metrics.case_results(judged.select("expected", F.when(F.coalesce("n", F.lit(0)) > 0, "suspicious").otherwise("clean").alias("verdict"))))
+    return metrics.case_rates(metrics.case_results(judged.select("expected", F.when(F.coalesce("n", F.lit(0)) > 0, "malicious").otherwise("clean").alias("verdict"))))
 
 
 @query()

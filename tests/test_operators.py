@@ -154,10 +154,20 @@ def test_reports(spark):
 
 
 def test_responses(spark):
-    text = 'Words\n```json\n{"verdict": "malicious", "confidence": 0.9, "summary": "s", "findings": [{"severity": "HIGH", "category": "c", "message": "m"}]}\n```'
-    a = spark.createDataFrame([("x", text), ("y", "no json"), ("z", '{"verdict": "clean", "confidence": 0.5}')], "key string, text string")
+    answer = lambda j: f"Words\n```json\n{j}\n```"
+    rows = [
+        ("x", answer('{"verdict": "malicious", "confidence": 0.9, "summary": "s", "findings": [{"severity": "high", "category": "c", "message": "m"}, {"severity": "odd"}]}'), 0.1),
+        ("y", "no json", 0.1),
+        ("z", answer('{"verdict": "clean", "confidence": 0.5}'), 0.1),
+        ("b", answer('{"verdict": "benign"}'), 0.9),
+        ("l", answer('{"verdict": "malicious"}'), 0.1),
+        ("broken", answer("{nope"), 0.1),
+    ]
+    a = spark.createDataFrame(rows, "key string, text string, triage_score double")
     got = {(r.key, r.category, r.severity, r.advisory) for r in responses.findings(a).collect()}
-    assert got == {("x", "llm:malicious", "high", False), ("x", "llm:c", "high", False), ("z", "llm:clean", "info", True)}
+    assert got == {("x", "llm:malicious_confirmed", "high", False), ("x", "c", "high", False), ("x", "llm:finding", "medium", False), ("b", "llm:benign_confirmed", "info", True)}
+    got = {(r.key, r.category, r.severity) for r in responses.function_findings(a).collect()}
+    assert got == {("x", "llm:function_malicious", "high"), ("x", "llm:c", "high"), ("b", "llm:function_suspicious", "medium"), ("l", "llm:function_suspicious", "medium")}
     v = spark.createDataFrame([("x", "clean"), ("y", "suspicious"), ("z", "malicious")], "key string, state string")
     assert {r.key: r.state for r in responses.overridden(v, a).collect()} == {"x": "malicious", "y": "suspicious", "z": "clean"}
     used = spark.createDataFrame([("k", i, 40, 10) for i in range(4)], "key string, ordinal int, in_tokens int, out_tokens int")
@@ -204,7 +214,7 @@ def test_rule_texts_and_cases(spark):
     assert [(r.key, r.rule) for r in responses.rule_texts(a).collect()] == [("x", "Good")]
     c = spark.createDataFrame([("a", "malicious", "suspicious"), ("b", "clean", "clean"), ("c", "clean", "malicious"), ("d", "malicious", None)], "case string, expected string, verdict string")
     r = metrics.case_rates(metrics.case_results(c))
-    assert tuple(r.first()) == (4, 2, 1, 1, 0.5) and metrics.markdown(r).first().value == "| 4 | 2 | 1 | 1 | 0.5 |"
+    assert tuple(r.first()) == (4, 1, 0, 2, 1, 1, 0.0, 0.5) and metrics.markdown(r).first().value == "| 4 | 1 | 0 | 2 | 1 | 1 | 0.0 | 0.5 |"
     f = spark.createDataFrame([("k", "g", f"m{i:02}", i) for i in range(12)], "key string, grp string, m string, o int")
     g = rank.grouped(f, "key", "grp", "m", "o").first()
     assert len(g.messages) == 10 and g.messages[0] == "m00" and g.overflow == 2

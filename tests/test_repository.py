@@ -16,7 +16,7 @@ def test_artifact_findings(spark):
     base = {r.path: r for r in artifacts.baseline_rows(df, "p").collect()}
     assert base["a.exe"].artifact == hashlib.sha256(bytes(rows[0][1])).hexdigest() and base["b"].function_hashes == []
     assert artifacts.unavailable(spark.createDataFrame([("x",)], "artifact string"), {"cape": True, "angr": False}).count() == 2
-    p = spark.createDataFrame([(None, True, None), (None, None, False)], "authenticode boolean, sigstore boolean, claimed boolean")
+    p = spark.createDataFrame([(None, "subject", None), (None, None, "")], "authenticode boolean, sigstore string, in_toto string")
     assert [r.trusted for r in artifacts.trusted(p).collect()] == [True, False]
 
 
@@ -25,13 +25,14 @@ def test_roles_and_projects(spark):
     df = spark.createDataFrame([(n,) for n in names], "path string").select("path", repository.roles(F.col("path")).alias("r"))
     assert [r.r for r in df.collect()] == [["entry_point"], ["entry_point"], ["manifest"], ["build_file"], []]
     files = spark.createDataFrame([("a", "x/setup.py"), ("b", "package.json"), ("c", "z")], "repo string, path string")
-    assert {r.repo: r.project for r in repository.project_types(files, "repo").collect()} == {"a": "python", "b": "node", "c": "unknown"}
+    assert {r.repo: r.project for r in repository.project_types(files, "repo").collect()} == {"a": "Python package", "b": "npm package", "c": "software project"}
 
 
 def test_hook_droppers(spark):
-    manifest = json.dumps({"scripts": {"preinstall": "node ./scripts/get.js", "postinstall": "node ok.js"}})
-    files = [("package.json", manifest), ("scripts/get.js", "require('child_process'); https.request('x')"), ("ok.js", "print()")]
-    got = repository.hook_droppers(spark.createDataFrame(files, "path string, content string")).collect()
+    manifest = json.dumps({"scripts": {"preinstall": "node scripts/get.js", "postinstall": "node ok.js"}})
+    files = [("package.json", manifest), ("scripts/get.js", "require('child_process'); https.get('x')"), ("ok.js", "print()")]
+    found = spark.createDataFrame([("other.js", "import:suspicious")], "path string, category string")
+    got = repository.hook_droppers(spark.createDataFrame(files, "path string, content string"), found).collect()
     assert [tuple(r) for r in got] == [("package.json", "preinstall", "scripts/get.js", "high")]
     leads = spark.createDataFrame([("d", "e", 1, "high")], "data_file string, exec_file string, depth int, severity string")
     assert repository.lead_findings(leads).first().path == "e"
