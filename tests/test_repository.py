@@ -46,3 +46,22 @@ def test_access(spark):
     url = spark.createDataFrame([("redis://u:secret@h:1/0",)], "u string").select(access.redacted_url(F.col("u")).alias("u")).first().u
     assert url == "redis://u:***@h:1/0"
     assert access.healthy(spark.createDataFrame([("a", True), ("b", False)], "name string, ok boolean")).first().ok is False
+
+
+def test_tables(spark, tmp_path):
+    from assayer.sources import tables
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS layouts")
+    tables.create(spark, "layouts")
+    assert spark.table("layouts.verdicts").columns[:2] == ["sha256", "state"]
+    tables.drop(spark, "layouts")
+    layout = "state string, reasons array<string>, score double"
+    rows = spark.createDataFrame([("a", "clean", ["r"], 0.5), ("b", "malicious", [], None)], "id string, state string, reasons array<string>, score double")
+    tables.write_state(rows, "id", "verdicts", f"{tmp_path}/state")
+    back = tables.read_state(spark, f"{tmp_path}/state", "verdicts", layout)
+    assert sorted((r.record_id, r.state, r.reasons, r.score) for r in back.collect()) == [("a", "clean", ["r"], 0.5), ("b", "malicious", [], None)]
+    assert tables.lookup(back, "record_id", "b").first().state == "malicious"
+    t = spark.createDataFrame([("4d5a",), ("zz",), ("",)], "t string").select(tables.payload(F.col("t")).alias("p")).collect()
+    assert [None if r.p is None else bytes(r.p) for r in t] == [b"MZ", None, b""]
+    tables.write_rules(spark.createDataFrame([("s", "rule A {}")], "sha256 string, text string"), f"{tmp_path}/rules")
+    assert spark.read.text(f"{tmp_path}/rules").first().value == "rule A {}"
