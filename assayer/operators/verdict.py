@@ -60,10 +60,17 @@ def submission_verdicts(findings: DataFrame, roots: DataFrame) -> DataFrame:
     return j.select("submission", "state", "n_high", "n_medium", "n_vectors", "n_findings", pending.alias("pending"))
 
 
-def repository_verdicts(findings: DataFrame, key: str) -> DataFrame:
-    """The ladder for each repository that has findings; one without any is clean."""
+def repository_verdicts(findings: DataFrame, key: str, every: DataFrame | None = None) -> DataFrame:
+    """The ladder for each repository: of `every` (key), clean where nothing was found, or else of those with findings."""
     found = findings.groupBy(key).agg(*severity_counts())
-    state = F.when((F.col("n_high") > 0) | is_compound(), "malicious").when(F.col("n_medium") > 0, "suspicious").otherwise("inconclusive")
+    if every is not None:
+        found = every.select(key).distinct().join(found, key, "left").fillna(0, ["n_high", "n_medium", "n_vectors", "n_findings"])
+    state = (
+        F.when((F.col("n_high") > 0) | is_compound(), "malicious")
+        .when(F.col("n_medium") > 0, "suspicious")
+        .when(F.col("n_findings") > 0, "inconclusive")
+        .otherwise("clean")
+    )
     return found.select(key, state.alias("state"), "n_high", "n_medium", "n_vectors", "n_findings")
 
 

@@ -207,14 +207,15 @@ def detector_rollup(spark, sf_dir):
 # ------------------------------------------------------------------ verdicts and ranks
 
 _LADDER = """SELECT repo, n_high, n_medium, n_vectors, n_findings,
-  CASE WHEN n_high > 0 OR (n_medium >= 3 AND n_vectors >= 3) THEN 'malicious' WHEN n_medium > 0 THEN 'suspicious' ELSE 'inconclusive' END AS state
-  FROM (SELECT repo, count(*) FILTER (severity IN ('high', 'critical')) AS n_high, count(*) FILTER (severity = 'medium') AS n_medium,
-    count(DISTINCT split_part(category, ':', 1)) FILTER (severity = 'medium') AS n_vectors, count(*) AS n_findings FROM found GROUP BY repo)"""
+  CASE WHEN n_high > 0 OR (n_medium >= 3 AND n_vectors >= 3) THEN 'malicious' WHEN n_medium > 0 THEN 'suspicious' WHEN n_findings > 0 THEN 'inconclusive' ELSE 'clean' END AS state
+  FROM (SELECT f.repo, count(*) FILTER (severity IN ('high', 'critical')) AS n_high, count(*) FILTER (severity = 'medium') AS n_medium,
+    count(DISTINCT split_part(category, ':', 1)) FILTER (severity = 'medium') AS n_vectors, count(category) AS n_findings
+    FROM (SELECT DISTINCT repo FROM files) f LEFT JOIN found ON f.repo = found.repo GROUP BY f.repo)"""
 
 
 @query(f"WITH {FINDINGS_SQL} {_LADDER}")
 def verdict_by_group(spark, sf_dir):
-    return verdict.repository_verdicts(findings(spark, sf_dir), "repo")
+    return verdict.repository_verdicts(findings(spark, sf_dir), "repo", files(spark, sf_dir))
 
 
 @query(
