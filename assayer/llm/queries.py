@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL}
+    return {"op2_chat_format": chat.OP2_SQL, "op6_minhash_near_dedup": minhash.OP6_SQL}
