@@ -31,12 +31,18 @@ def chunk_hash_list(content: Column, size: int = CHUNK) -> Column:
     return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(found)
 
 
-def text_entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; one fast pass for each distinct character, no shuffle."""
-    n = F.length(text)
-    count = lambda c: n - F.length(F.replace(text, c, F.lit("")))
-    terms = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(count(c) > 0, -(count(c) / n) * F.log2(count(c) / n)).otherwise(F.lit(0.0)))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+@F.pandas_udf(T.DoubleType())
+def text_entropy(text: pd.Series) -> pd.Series:
+    """Shannon entropy of the characters, in bits, in Arrow batches: a count of code points, no shuffle."""
+
+    def bits(t):
+        if not t:
+            return 0.0
+        _, n = np.unique(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), return_counts=True)
+        p = n / n.sum()
+        return float(-(p * np.log2(p)).sum()) + 0.0
+
+    return text.map(bits)
 
 
 def _entropy(data: np.ndarray) -> float:

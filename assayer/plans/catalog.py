@@ -90,7 +90,7 @@ def content_dedup(spark, sf_dir):
 )
 def char_entropy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text <> ''")
-    return docs.select("doc_id", F.round(binary.text_entropy(F.col("text")), 6).alias("entropy"))
+    return docs.select("doc_id", F.round(binary.text_entropy("text"), 6).alias("entropy"))
 
 
 @query(r"SELECT page_id, len(r) AS n_runs, list_slice(r, 1, 256)[1] AS first_run, len(array_to_string(list_slice(r, 1, 256), '')) AS run_chars FROM (SELECT page_id, regexp_extract_all(html, '[\x20-\x7e]{4,}') AS r FROM pages)")
