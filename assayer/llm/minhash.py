@@ -7,11 +7,14 @@
    have REGION / 2 of them on each side. The sort is by range over all tasks, so a large region is no single task's.
    Candidates whose signatures agree in ESTIMATE of the places are linked, as stars.
 3. Components of these links are coarse clusters: they hold every pair at or above the limit that some tree brings together.
+   Neighbours are not all pairs, so members of regions over REGION are joined once more, by a prefix filter: two sets at the limit
+   share one of the first elements of each, in any order common to all sets; the order here is rarest first. Members of different
+   clusters that share such an element are compared, in blocks where many do, and clusters with agreeing signatures are merged.
 4. Inside a cluster, links are decided on full sets. Clusters over BLOCK members are dealt out as pairs of blocks,
    so no task holds more than two blocks. Each task returns a spanning star of what it linked, never all pairs.
 
 Chance that a pair exactly at the limit (0.8) is missed: no tree of 24 has its first 3 values equal, 3e-8; fewer than 60 % of
-72 values agree, 2e-5. In a region over REGION members a pair must also be neighbours in one of the trees, unless others link both.
+72 values agree, 2e-5. It is the same in regions of any size.
 
 Defined results: null and empty texts (or white space) have an empty set, no links and themselves as component. Repeated
 ids: every row is kept in the result. Rows without an id have no component and are kept; only rows with one are linked. A text shorter than a shingle has one shingle, its whole word sequence.
@@ -35,6 +38,8 @@ DEPTH = 3
 REGION = 512
 ESTIMATE = 0.6
 BLOCK = 1024
+#: Counters of elements that share them by hash; they only order elements, so a shared one costs time, never a pair.
+COUNTERS = 1 << 18
 #: Ids that may be broadcast to filter texts; more of them are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -148,20 +153,100 @@ def _neighbour_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield _edges(*_agreeing(*_signatures(rest)))
 
 
-def forest_links(reps: DataFrame) -> DataFrame:
-    """Candidate links (a, b) of the classes `reps` (rep, sig), a sparse graph with the components of all candidates."""
+def forest_links(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate links (a, b) of the classes `reps` (rep, sig), a sparse graph; members (rep) of regions over REGION, if any."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     first = reps.select("rep", "sig", trees).select("rep", "tree", F.xxhash64("tree", F.slice(_turned(), 1, DEPTH)).alias("key"))
     sizes = first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(first.join(sizes, "key"))
     small = shared.filter(F.col("n") <= REGION).select("key", "rep").join(reps, "rep")
     links = small.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "sig").mapInArrow(_region_links, "a long, b long")
-    large = shared.filter(F.col("n") > REGION)
+    large, crowded = shared.filter(F.col("n") > REGION), None
     if not large.isEmpty():
+        crowded = large.select("rep").distinct()
         order = large.select("rep", "tree", "key").join(reps, "rep").select("rep", "sig", "key", _turned().alias("turned"))
         ordered = order.repartitionByRange("key", "turned").sortWithinPartitions("key", "turned", "rep").select("rep", "sig")
         links = links.unionByName(ordered.mapInArrow(_neighbour_links, "a long, b long"))
-    return links.filter("a <> b")
+    return links.filter("a <> b"), crowded
+
+
+def _counted(width: int):
+    """(counter, n): how many elements of the sets of a task fall to each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in shingles.sets_of(batch.column("text"), width):
+                n[(s % np.uint64(COUNTERS)).astype(np.int64)] += 1
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(n[part])], names=["counter", "n"])
+
+    return run
+
+
+def _prefixes(width: int, percent: int, counts: np.ndarray):
+    """(rep, element): the rarest elements of each set, as many as a set at the limit must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [np.zeros(0, np.uint64)]
+            for s in shingles.sets_of(batch.column("text"), width):
+                order = np.lexsort((s, counts[(s % np.uint64(len(counts))).astype(np.int64)]))
+                first.append(s[order[: len(s) + percent * len(s) // -100 + 1]] if len(s) else s)
+            reps = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in first[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(first).view(np.int64))], names=["rep", "element"])
+
+    return run
+
+
+def _merging_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between clusters of the same key that have members with agreeing signatures, a spanning forest; rows sorted by key."""
+
+    def handle(rows: pa.Table, cuts: np.ndarray):
+        every, sigs = _signatures(rows)
+        roots = rows.column("root").to_numpy()
+        a, b = [], []
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(every)], strict=True):
+            ids, sig, (_, root, size) = every[i:j], sigs[i:j], np.unique(roots[i:j], return_inverse=True, return_counts=True)
+            # Of two members in different clusters one at least is outside the largest.
+            for k in np.flatnonzero(root != size.argmax()).tolist() if len(size) > 1 else []:
+                other = np.flatnonzero(root != root[k])
+                other = other[(sig[other] == sig[k]).sum(axis=1) >= ESTIMATE * SIZE]
+                for r, at in zip(*np.unique(root[other], return_index=True), strict=True):
+                    a.append(ids[k])
+                    b.append(ids[other[at]])
+                    root[root == r] = root[k]
+        if a:
+            yield _edges(a, b)
+
+    yield from _streamed(batches, "key", handle)
+
+
+def crowded_links(docs: DataFrame, reps: DataFrame, crowded: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate links (a, b) of members of regions over REGION (`crowded`) between clusters (id, root), by a prefix filter."""
+    crowded = cut(crowded)
+    ids = crowded.select(F.col("rep").alias("doc_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
+    counted = texts.select("text").mapInArrow(_counted(width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    counts = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
+    first = cut(texts.mapInArrow(_prefixes(width, percent, counts), "rep long, element long"))
+    member = crowded.join(clusters.select(F.col("id").alias("rep"), "root"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
+    first = cut(first.join(member, "rep"))
+    # Elements with the same members count once; those of one cluster need no comparison.
+    same = F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s")
+    lists = first.groupBy("element").agg(*same, F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    lists = lists.groupBy("n", "x", "s").agg(F.min("element").alias("element"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = first.join(lists.select("element", blocks.alias("blocks")), "element").withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select(F.xxhash64("element", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "root").join(reps, "rep")
+    return cells.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "root", "sig").mapInArrow(_merging_links, "a long, b long")
 
 
 def _exact_links(width: int, percent: int):
@@ -211,7 +296,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     every = cut(signatures(docs, width))
     classes = every.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep"))
     classes = cut(classes.filter("rep IS NOT NULL"))
-    coarse = components(forest_links(classes.select("rep", "sig")), "a", "b")
+    reps = classes.select("rep", "sig")
+    candidates, crowded = forest_links(reps)
+    coarse = components(candidates, "a", "b")
+    if crowded is not None:
+        more = cut(crowded_links(docs, reps, crowded, coarse, width, percent))
+        if not more.isEmpty():
+            coarse = components(coarse.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
     links, dealt_out = exact_links(docs, coarse, width, percent)
     if dealt_out:
         found = components(links, "a", "b")

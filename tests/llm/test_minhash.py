@@ -78,6 +78,24 @@ def test_deeper_regions(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 5) == brute(rows, 5, 80)
 
 
+def test_crowded_region(spark, monkeypatch):
+    """Thousands of texts that share half their words in one region of one tree, and planted pairs just above the limit."""
+    for name, value in (("TREES", 1), ("DEPTH", 0), ("REGION", 64), ("BLOCK", 64)):
+        monkeypatch.setattr(minhash, name, value)
+    random.seed(7)
+    rows, passage = [], [f"c{k}" for k in range(20)]
+    for i in range(2000):
+        own = [f"o{i}w{k}" for k in range(20)]
+        rows.append(" ".join([*passage, *own]))
+        if i % 40 == 0:  # 37 shingles of 4 in each, 33 in common of 41
+            rows.append(" ".join([*passage, *own[:-4], *(f"p{i}w{k}" for k in range(4))]))
+    random.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute(rows, 4, 80)
+    assert sum(i != c for i, (_, c) in want.items()) == 50
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 4) == want
+
+
 def test_components(spark):
     random.seed(6)
     pairs = [(i, i + 1) for i in range(300, 340)] + [(random.randrange(100), random.randrange(100)) for _ in range(60)] + [(7, 7)]
