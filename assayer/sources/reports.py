@@ -32,11 +32,25 @@ def capabilities(reports: DataFrame) -> DataFrame:
 
 
 def functions(reports: DataFrame) -> DataFrame:
-    """(artifact, ordinal, symbol, start, size, decompiled, triage_score) of disassembler reports."""
-    items = F.from_json(F.get_json_object("report", "$.functions"), "array<struct<name: string, entry: string, size: long, decompiled: string>>")
+    """(artifact, ordinal, symbol, start, end, size, decompiled, triage_score, normalized_hash) of disassembler reports; first functions score most."""
+    items = F.from_json(F.get_json_object("report", "$.functions"), "array<struct<name: string, entry: string, end: string, size: long, decompiled: string>>")
     rows = reports.select("artifact", F.posexplode(items).alias("ordinal", "f"))
-    score = F.least(F.lit(1.0), F.lit(0.02) * F.col("ordinal"))
-    return rows.select("artifact", "ordinal", F.col("f.name").alias("symbol"), F.col("f.entry").alias("start"), "f.size", F.col("f.decompiled").isNotNull().alias("decompiled"), score.alias("triage_score"))
+    name, entry, code = F.col("f.name"), F.col("f.entry"), F.col("f.decompiled")
+    score = F.greatest(F.lit(0.1), F.lit(0.9) - F.lit(0.02) * F.col("ordinal"))
+    normal = F.sha2(F.coalesce(F.nullif(code, F.lit("")), F.concat(name, F.lit(":"), entry)), 256)
+    return rows.select(
+        "artifact", "ordinal", name.alias("symbol"), entry.alias("start"), F.col("f.end").alias("end"), "f.size",
+        code.isNotNull().alias("decompiled"), score.alias("triage_score"), normal.alias("normalized_hash"),
+    )
+
+
+def coverage_gaps(functions: DataFrame, *, limit: int) -> DataFrame:
+    """Findings of artifacts with more functions than the `limit` that are analysed, and with undecompiled ones among those."""
+    seen = F.col("ordinal") < limit
+    n = functions.groupBy("artifact").agg(F.count("*").alias("n"), F.count_if(seen).alias("seen"), F.count_if(seen & ~F.col("decompiled")).alias("bare"))
+    more = n.filter("n > seen").withColumn("m", F.format_string(f"Ghidra found %d functions but only %d were analyzed (limit={limit}).", "n", "seen"))
+    bare = n.filter("bare > 0").withColumn("m", F.format_string("%d of %d functions could not be decompiled.", "bare", "seen"))
+    return _finding(more.unionByName(bare), "ghidra", F.lit("coverage_gap"), F.lit("info"), F.col("m"))
 
 
 def sandbox_a(reports: DataFrame) -> DataFrame:

@@ -218,3 +218,19 @@ def test_rule_texts_and_cases(spark):
     f = spark.createDataFrame([("k", "g", f"m{i:02}", i) for i in range(12)], "key string, grp string, m string, o int")
     g = rank.grouped(f, "key", "grp", "m", "o").first()
     assert len(g.messages) == 10 and g.messages[0] == "m00" and g.overflow == 2
+
+
+def test_disassembler_coverage(spark):
+    from hashlib import sha256
+
+    fns = [{"name": f"f{i}", "entry": f"0x{i}", "end": f"0x{i}f", "size": 3, **({"decompiled": "int x;"} if i != 1 else {})} for i in range(60)]
+    rows = [("whole", json.dumps({"functions": fns[2:4]})), ("part", json.dumps({"functions": fns}))]
+    found = reports.functions(spark.createDataFrame(rows, "artifact string, report string"))
+    top = rank.top_functions(found.filter("artifact = 'part'"), "artifact", limit=50).orderBy("rank").collect()
+    assert [r.ordinal for r in top] == list(range(50)) and [round(top[i].triage_score, 9) for i in (0, 1, 45)] == [0.9, 0.88, 0.1]
+    assert (top[0].end, top[0].normalized_hash, top[1].normalized_hash) == ("0x0f", sha256(b"int x;").hexdigest(), sha256(b"f1:0x1").hexdigest())
+    gaps = {(r.artifact, r.source, r.category, r.severity, r.message) for r in reports.coverage_gaps(found, limit=50).collect()}
+    assert gaps == {
+        ("part", "ghidra", "coverage_gap", "info", "Ghidra found 60 functions but only 50 were analyzed (limit=50)."),
+        ("part", "ghidra", "coverage_gap", "info", "1 of 50 functions could not be decompiled."),
+    }
