@@ -1,10 +1,8 @@
 import random
-import zlib
 
 import numpy as np
-import public_tokenizers
 import pytest
-from assayer.llm import langid, tokenbin, toxicity
+from assayer.llm import langid, toxicity
 from pyspark.sql import functions as F
 
 
@@ -64,43 +62,3 @@ def test_language(spark, sf, edges, empty):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3)) and got[5].lang_pred in network.languages
     assert langid.fit(empty) is None and langid.predict(empty, network).count() == 0
     assert {r.lang_pred for r in langid.predict(edges, None).collect()} == {"und"}
-
-
-@pytest.mark.parametrize("n", [0, 1, 2, 2047, 2048, 2049, 9000])
-def test_blocks_round_trip(n):
-    random_ids = np.random.default_rng(n).integers(0, 50257 if n % 2 else 30, n)
-    blocks = tokenbin.encode_blocks(random_ids)
-    assert (tokenbin.decode_blocks(blocks) == random_ids).all() and len(blocks) == -(-n // tokenbin.BLOCK)
-
-
-def test_blocks_compress_and_are_checked():
-    ids = np.tile(np.arange(50), 200)
-    blocks = tokenbin.encode_blocks(ids)
-    assert sum(map(len, blocks)) < len(ids) // 4
-    broken = [blocks[0][:20] + bytes([blocks[0][20] ^ 1]) + blocks[0][21:], *blocks[1:]]
-    with pytest.raises(ValueError):
-        tokenbin.decode_blocks(broken)
-    assert (tokenbin.decode_blocks(blocks[2:3]) == ids[2 * tokenbin.BLOCK : 3 * tokenbin.BLOCK]).all()
-
-
-def test_token_files(spark, documents, edges, empty, tmp_path):
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    extra = ["a  b\n c \n\nd\t\te  ", "", None, "\x1c a\x1d  b", "don't  stop's 12 3", " \n x", "a  b"]
-    rows = [(int(i), t) for i, t in zip(documents.doc_id, documents.text, strict=True)] + [(1000 + k, t) for k, t in enumerate(extra)]
-    random.Random(2).shuffle(rows)
-    tokenbin.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), f"{tmp_path}/a", path)
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenbin.summary(spark, f"{tmp_path}/a").collect()}
-    whole = {r.doc_id: r.ids for r in tokenbin.read(spark, f"{tmp_path}/a").collect()}
-    start = 0
-    for i, t in sorted(rows):
-        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
-        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and whole[i] == ids
-        start += len(ids)
-    tokenbin.write(edges, f"{tmp_path}/b", path)
-    assert tokenbin.summary(spark, f"{tmp_path}/b").count() == edges.count()
-    tokenbin.write(empty, f"{tmp_path}/c", path)
-    assert tokenbin.summary(spark, f"{tmp_path}/c").count() == 0
