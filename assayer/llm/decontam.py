@@ -4,14 +4,19 @@ An item is found in a document if some part of the document's normalised text is
 (ERROR of its length) of the whole normalised item. A part within k edits shares at least m + 1 - q * (k + 1) of
 the item's q-grams, near one diagonal. So the scan hashes every q-gram of every document, looks it up among the items'
 q-grams, counts hits in diagonal bands of twice the budget that overlap by half, keeps the bands that reach the bound,
-and aligns the item with those parts only, inside the band.
+and aligns the item with those parts only, inside the band. An alignment keeps the differences of neighbouring cells in the bits of
+two integers, a step of the band at a time; items that share their beginning share its steps.
 
 Normalised text: lower case, ASCII punctuation and white space as single spaces. Lengths and edits count UTF-8 bytes of it.
-The items are taken in blocks of at most BLOCK_BYTES, each held by every task while it scans; the documents are
-read once a block and are never shuffled.
+Items of at most q bytes have no q-grams to spare: they are found as they are, from word to word, anywhere in a text.
 
-Defined results: null or empty documents hold nothing; null or empty items are never found; items of fewer than q + 1 bytes are
-found only as a whole document. Equal items are each reported. Repeated documents are each reported.
+While the items have at most BLOCK_BYTES together (checked), every task holds them all, and documents are not shuffled. Beyond that,
+hits (only of q-grams that a bitmap of fixed size lets through) are joined with the items' q-grams by hash and counted, and only
+pairs that reach the bound meet their texts. Either way documents are read once and the driver holds no more than BLOCK_BYTES of items.
+
+Defined results: null or empty documents hold nothing; null or empty items, and those without an id, are never found. Equal items are each
+reported, equal rows of items once; repeated documents are each reported. Of equal distances the earliest end counts. Very long texts are
+scanned in slices of rows, a long row as one; empty tables give no matches. Other columns of documents stay as they are.
 """
 
 from __future__ import annotations
@@ -24,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 Q = 12
 ERROR = 0.06
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
+#: Pairs of a hit and an item that are held at a time.
+PAIRS = 2 << 20
 _BITS = 22
+#: Bits of the bitmap that stands for the q-grams of items without a bound on their size.
+_WIDE_BITS = 26
 _SPACED = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
@@ -54,40 +63,77 @@ def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
     return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def aligned(item: bytes, part: bytes, low: int, high: int, most: int) -> tuple[int, int] | None:
-    """(distance, end in part) of the best match of `item` with a substring of `part` on diagonals low..high, if at most `most`.
+class Aligner:
+    """Best matches of items with substrings of one part of a text, on the diagonals low..high (column - row).
 
-    The row of cell d holds diagonal low + d; column = row + diagonal. Earlier ends win ties.
+    Rows are bytes of the item. Of a row the band holds high - low + 1 cells; each differs from the one before by -1, 0 or 1, kept as
+    the bits of `more` and `less`. The first cell's value is kept too. Cells outside the part hold bytes that match nothing,
+    which never makes a match better. The states of all rows of the last item are kept for the next one that begins alike.
     """
-    at = part.find(item)
-    if at >= 0:
-        return 0, at + len(item)
-    width, big = high - low + 1, len(item) + len(part) + 1
-    text = np.frombuffer(part, np.uint8)
-    diagonal = np.arange(low, high + 1)
-    row = np.where((diagonal >= 0) & (diagonal <= len(text)), 0, big)
-    step = np.arange(width)
-    for i, c in enumerate(item, 1):
-        column = i + diagonal
-        inside = (column >= 1) & (column <= len(text))
-        same = np.zeros(width, bool)
-        same[inside] = text[column[inside] - 1] == c
-        best = np.minimum(row + ~same, np.concatenate((row[1:], [big])) + 1)
-        best[~inside] = np.where(column[~inside] == 0, i, big)
-        row = np.minimum.accumulate(best - step) + step
-        row[(column < 0) | (column > len(text))] = big
-        if row.min() > most:
-            return None
-    k = int(row.argmin())
-    return (int(row[k]), len(item) + int(diagonal[k])) if row[k] <= most else None
+
+    def __init__(self, part: bytes, low: int, high: int):
+        self.part, self.low, self.width = part, low, high - low + 1
+        self.text = np.frombuffer(part, np.uint8)
+        self.places: dict[int, int] = {}
+        self.item = b""
+        self.states = [(0, 0, 0)]
+
+    def _where(self, byte: int) -> int:
+        if byte not in self.places:
+            self.places[byte] = int.from_bytes(np.packbits(self.text == byte, bitorder="little").tobytes(), "little")
+        return self.places[byte]
+
+    def best(self, item: bytes, most: int) -> tuple[int, int] | None:
+        """(distance, end in the part) of the item, if at most `most`; the earliest end of the least distance."""
+        at = self.part.find(item)
+        if at >= 0:
+            return 0, at + len(item)
+        same, top = 0, min(len(item), len(self.states) - 1)
+        while same < top:  # how far the last item began alike
+            half = (same + top + 1) // 2
+            same, top = (half, top) if item[:half] == self.item[:half] else (same, half - 1)
+        del self.states[same + 1 :]
+        self.item = item
+        more, less, value = self.states[-1]
+        mask = (1 << self.width) - 1
+        for i in range(same, len(item)):
+            shift = i + self.low
+            where = self._where(item[i])
+            match = (where >> shift if shift >= 0 else where << -shift) & mask
+            above, below = more >> 1, less >> 1
+            even = (((match & above) + above) ^ above) | match | below
+            up = below | (mask & ~(even | above))
+            down = even & above
+            value += 1 - (even & 1)
+            up <<= 1
+            more, less = ((down << 1) | ~(even | up)) & mask, even & up & mask
+            self.states.append((more, less, value))
+            if value - less.bit_count() > most:
+                return None
+        best = None
+        for b in range(self.width):
+            if b:
+                value += (more >> b & 1) - (less >> b & 1)
+            if value <= most and (best is None or value < best[0]):
+                best = value, min(max(len(item) + self.low + b, 0), len(self.part))
+        return best
+
+
+def _band(item_bytes: int, k: int, band: int) -> tuple[int, int, int, int]:
+    """(start, end, low, high): the part of a text that a band covers and the band's diagonals in it."""
+    low, high = (band - 1) * (k + 1) - item_bytes - k, (band + 1) * (k + 1) - 1 - item_bytes + k
+    start = max(0, low)
+    return start, high + item_bytes + 1, low - start, high - start
 
 
 class Items:
-    """A block of items, indexed by q-gram."""
+    """Items in memory, indexed by q-gram; those of at most q bytes by an Aho-Corasick automaton."""
 
     def __init__(self, rows: list[tuple[int, str]], q: int, error: float):
+        import ahocorasick
+
         self.q = q
-        self.whole: dict[bytes, list[int]] = defaultdict(list)
+        short: dict[bytes, list[int]] = defaultdict(list)
         self.ids, self.texts = [], []
         for item, text in rows:
             norm = normalise(text)
@@ -95,7 +141,12 @@ class Items:
                 self.ids.append(item)
                 self.texts.append(norm)
             elif norm:
-                self.whole[norm].append(item)
+                short[norm].append(item)
+        self.short = ahocorasick.Automaton()
+        for norm, ids in short.items():
+            self.short.add_word(f" {norm.decode('latin-1')} ", (len(norm), ids))
+        if short:
+            self.short.make_automaton()
         size = [len(t) for t in self.texts]
         self.size = np.array(size, np.int64)
         self.k = np.array([budget(m, q, error) for m in size], np.int64)
@@ -110,14 +161,12 @@ class Items:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(every >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def scan(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item id, distance, start, end) of each item found in each text, at its best place."""
-        for i, t in enumerate(texts):
-            for item in self.whole.get(t, ()):
-                yield i, item, 0, 0, len(t)
+    def _bands(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, band) of the bands that reach the bound, sorted."""
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        none = np.zeros(0, np.int64)
         if not self.ids or len(data) <= self.q:
-            return
+            return none, none, none
         at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         h = grams(data, self.q)
         hit = np.flatnonzero(self.seen[h >> np.uint64(64 - _BITS)])
@@ -125,96 +174,235 @@ class Items:
         name[name == len(self.names)] = 0
         real = self.names[name] == h[hit]
         hit, name = hit[real], name[real]
-        times = self.count[name]
-        where = np.repeat(hit, times)
-        entry = np.repeat(self.first[name] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(len(where))
-        owner, doc = self.owner[entry], np.searchsorted(at, where, "right") - 1
-        # Bands of 2 * (k + 1) diagonals, a new one each k + 1; the shift by an item's length keeps diagonals positive.
-        wide = self.k[owner] + 1
-        band = (where - at[doc] - self.place[entry] + self.size[owner]) // wide
-        long = int(band.max(initial=0)) + 2
-        for_pair = (doc * len(self.ids) + owner) * long
-        key = np.concatenate((for_pair + band, for_pair + band + 1))  # band b: diagonals of b - 1 and b
-        key, count = np.unique(key, return_counts=True)
+        doc = np.searchsorted(at, hit, "right") - 1
+        long = (len(data) + 2 * int(self.size.max())) // int(self.k.min() + 1) + 3
+        keys, counts = [none], [none]
+        sums = np.cumsum(self.count[name])
+        cuts = [0]
+        while cuts[-1] < len(hit):  # a slice of hits at a time: a q-gram of all items meets many texts
+            before = sums[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(sums, before + PAIRS, "right"))))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            times = self.count[name[i:j]]
+            start = np.repeat(self.first[name[i:j]] - (np.cumsum(times) - times), times)
+            entry = start + np.arange(len(start))
+            owner, of = self.owner[entry], np.repeat(doc[i:j], times)
+            # Bands of 2 * (k + 1) diagonals, a new one each k + 1; the shift by an item's length keeps diagonals positive.
+            band = (np.repeat(hit[i:j], times) - at[of] - self.place[entry] + self.size[owner]) // (self.k[owner] + 1)
+            pair = (of * len(self.ids) + owner) * long
+            key, count = np.unique(np.concatenate((pair + band, pair + band + 1)), return_counts=True)  # band b: diagonals of b - 1 and b
+            keys.append(key)
+            counts.append(count)
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate(counts), minlength=len(key))
         pair, band = key // long, key % long
         enough = count >= self.need[pair % len(self.ids)]
-        best: dict[int, tuple[int, int, int]] = {}
-        for p, b in zip(pair[enough].tolist(), band[enough].tolist(), strict=True):
-            d, o = divmod(p, len(self.ids))
-            k, m = int(self.k[o]), int(self.size[o])
-            low, high = (b - 1) * (k + 1) - m - k, (b + 1) * (k + 1) - 1 - m + k
-            start = max(0, low)
-            got = aligned(self.texts[o], texts[d][start : high + m + 1], low - start, high - start, k)
-            if got and (p not in best or (got[0], start + got[1]) < best[p][:2]):
-                best[p] = (got[0], start + got[1], max(0, start + got[1] - m))
-        for p, (distance, end, start) in sorted(best.items()):
-            yield p // len(self.ids), self.ids[p % len(self.ids)], distance, start, end
+        pair, band = pair[enough], band[enough]
+        return pair // len(self.ids), pair % len(self.ids), band
+
+    def scan(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item id, distance, start, end) of each item found in each text, at its best place."""
+        if len(self.short):
+            for i, t in enumerate(texts):
+                first: dict[int, tuple[int, int]] = {}
+                for last, (size, ids) in self.short.iter(f" {t.decode('latin-1')} "):
+                    for item in ids:
+                        first.setdefault(item, (last - 1 - size, last - 1))
+                for item, (start, end) in sorted(first.items()):
+                    yield i, item, 0, start, end
+        docs, owners, bands = self._bands(texts)
+        parts = defaultdict(list)
+        for d, o, b in zip(docs.tolist(), owners.tolist(), bands.tolist(), strict=True):
+            parts[d, *_band(int(self.size[o]), int(self.k[o]), b)].append(o)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for (d, start, end, low, high), items in parts.items():
+            aligner = Aligner(texts[d][start:end], low, high)
+            for o in sorted(items, key=self.texts.__getitem__):
+                got = aligner.best(self.texts[o], int(self.k[o]))
+                if got and ((d, o) not in best or (got[0], start + got[1]) < best[d, o][:2]):
+                    best[d, o] = got[0], start + got[1], max(0, start + got[1] - len(self.texts[o]))
+        for (d, o), (distance, end, start) in sorted(best.items()):
+            yield d, self.ids[o], distance, start, end
 
 
 _MATCH = "array<struct<item_id: long, distance: int, start: int, end: int>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _found(block: Items, column: pa.Array) -> list[list[tuple[int, int, int, int]]]:
-    """(item id, distance, start, end) of what each text of a column holds."""
-    found: list[list] = [[] for _ in range(len(column))]
+def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first place, normalised texts) of runs of a column of about SLICE_BYTES."""
     texts, base, size = [], 0, 0
     for i, text in enumerate(column):
         texts.append(normalise(text.as_py()))
         size += len(texts[-1]) + 1
         if size >= SLICE_BYTES or i + 1 == len(column):
-            for d, *match in block.scan(texts):
-                found[base + d].append(tuple(match))
+            yield base, texts
             texts, base, size = [], i + 1, 0
+
+
+def _found(block: Items, column: pa.Array) -> list[list[tuple[int, int, int, int]]]:
+    """(item id, distance, start, end) of what each text of a column holds."""
+    found: list[list] = [[] for _ in range(len(column))]
+    for base, texts in _slices(column):
+        for d, *match in block.scan(texts):
+            found[base + d].append(tuple(match))
     return found
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_BYTES; at least one block, which may be empty."""
-    sized = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    n = max(1, -(-(sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
-    for b in range(n):
-        yield [tuple(r) for r in sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id", "text").toLocalIterator()]
+def _known(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+
+
+def _held(known: DataFrame) -> list[tuple[int, str]] | None:
+    """The items, if they have at most BLOCK_BYTES together."""
+    if (known.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > BLOCK_BYTES:
+        return None
+    return [tuple(r) for r in known.orderBy("item_id", "text").collect()]
+
+
+# ---- items without a bound on their size: hits are joined by hash
+def _word_runs(text: bytes, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all runs of whole words with at most q bytes in a normalised text."""
+    data = np.frombuffer(b" " + text + b" ", np.uint8)
+    gap = np.flatnonzero(data == 32)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    at, names = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for words in range(1, q // 2 + 2):
+        if len(gap) <= words or not text:
+            break
+        begin, size = gap[:-words] + 1, gap[words:] - gap[:-words] - 1
+        begin, size = begin[size <= q], size[size <= q]
+        if not len(size):
+            break
+        h = size.astype(np.uint64)
+        for k in range(q):
+            h = np.where(k < size, (h ^ data[np.minimum(begin + k, len(data) - 1)].astype(np.uint64)) * base, h)
+            h ^= h >> np.uint64(31)
+        at.append(begin - 1)
+        names.append(h)
+    return np.concatenate(at), np.concatenate(names)
+
+
+def _item_grams(q: int, error: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                norm = normalise(text)
+                k, m = budget(len(norm), q, error), len(norm)
+                if m > q:
+                    h, need = grams(np.frombuffer(norm, np.uint8), q), m + 1 - q * (k + 1)
+                elif norm:
+                    at, h = _word_runs(norm, q)
+                    h, need = h[at == 0][-1:], 1  # the whole item
+                else:
+                    continue
+                n = len(h)
+                columns = pa.array(h.view(np.int64)), pa.array([item] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array([m] * n, pa.int64()), pa.array([k] * n, pa.int64()), pa.array([need] * n, pa.int64())
+                yield pa.RecordBatch.from_arrays(list(columns), names=["gram", "item_id", "place", "m", "k", "need"])
+
+    return run
+
+
+def _doc_hits(q: int, seen: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            for base, texts in _slices(batch.column("text")):
+                for i, t in enumerate(texts):
+                    at, h = _word_runs(t, q)
+                    if len(t) >= q:
+                        at, h = np.concatenate((at, np.arange(len(t) - q + 1))), np.concatenate((h, grams(np.frombuffer(t, np.uint8), q)))
+                    bit = (h >> np.uint64(64 - _WIDE_BITS)).astype(np.int64)
+                    there = (seen[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                    if there.any():
+                        n = int(there.sum())
+                        yield pa.RecordBatch.from_arrays([pa.array([keys[base + i]] * n, pa.string()), pa.array(h[there].view(np.int64)), pa.array(at[there])], names=["key", "gram", "at"])
+
+    return run
+
+
+def _aligned(q: int):
+    """Matches of pairs (key, text, item_id, item, k, bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                text, item, k, best = normalise(r["text"]), normalise(r["item"]), r["k"], None
+                for b in r["bands"] if len(item) > q else ():
+                    start, end, low, high = _band(len(item), k, b)
+                    got = Aligner(text[start:end], low, high).best(item, k)
+                    if got and (best is None or (got[0], start + got[1]) < best):
+                        best = got[0], start + got[1]
+                if len(item) <= q and (at := (b" " + text + b" ").find(b" " + item + b" ")) >= 0:
+                    best = 0, at + len(item)
+                if best:
+                    out.append((r["key"], {"item_id": r["item_id"], "distance": best[0], "start": max(0, best[1] - len(item)), "end": best[1]}))
+            keys, found = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, _ARROW.value_type)], names=["key", "m"])
+
+    return run
+
+
+def _joined(docs: DataFrame, known: DataFrame, q: int, error: float) -> DataFrame:
+    """key (of a text), matches: each text that holds an item, by an equi-join of q-gram hashes."""
+    entries = cut(known.mapInArrow(_item_grams(q, error), "gram long, item_id long, place long, m long, k long, need long"))
+    bit = F.shiftrightunsigned("gram", 64 - _WIDE_BITS)
+    words = entries.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(gram, {64 - _WIDE_BITS}) & 63 AS int))").alias("bits"))
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**20 rows, whatever the items
+    seen = np.zeros(1 << (_WIDE_BITS - 6), np.uint64)
+    seen[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    texts = docs.select("key", "text").filter("text <> ''")
+    hits = texts.mapInArrow(_doc_hits(q, seen), "key string, gram long, at long").distinct()  # copies of a text count once
+    band = F.expr("(at - place + m) div (k + 1)")
+    pairs = hits.join(entries, "gram").select("key", "item_id", "k", "need", F.explode(F.array(band, band + 1)).alias("band"))
+    reached = pairs.groupBy("key", "item_id", "k", "need", "band").agg(F.count("*").alias("n")).filter("n >= need")
+    reached = reached.groupBy("key", "item_id", "k").agg(F.array_sort(F.collect_list("band")).alias("bands"))
+    both = reached.join(known.select("item_id", F.col("text").alias("item")), "item_id").join(texts, "key").dropDuplicates(["key", "item_id", "item"]).select("key", "text", "item_id", "item", "k", "bands")
+    found = both.mapInArrow(_aligned(q), "key string, m struct<item_id: long, distance: int, start: int, end: int>")
+    return found.groupBy("key").agg(F.array_sort(F.collect_set("m")).alias("matches"))
 
 
 def matches(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERROR) -> DataFrame:
     """doc_id and matches (item_id, distance, start and end in the normalised text; by item_id) of every row of docs.
 
-    docs: doc_id, text; items: item_id, text. With several blocks of items, rows of one doc_id share their matches.
+    docs: doc_id, text; items: item_id, text.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = []
-    for rows in _blocks(items):
-
-        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            block = Items(rows, q, error)
-            names = ("item_id", "distance", "start", "end")
-            for batch in batches:
-                cells = [[dict(zip(names, m, strict=True)) for m in sorted(f)] for f in _found(block, batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cells, _ARROW)], names=["doc_id", "matches"])
-
-        parts.append(source.mapInArrow(run, f"doc_id long, matches {_MATCH}"))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    found = out.select("doc_id", F.explode("matches").alias("m")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("matches"))
-    return source.select("doc_id").join(found, "doc_id", "left").withColumn("matches", F.coalesce("matches", F.expr(f"CAST(array() AS {_MATCH})")))
+    known = _known(items)
+    rows = _held(known)
+    if rows is None:
+        keyed = source.withColumn("key", F.md5("text"))
+        found = keyed.select("doc_id", "key").join(_joined(keyed, known, q, error), "key", "left")
+        return found.select("doc_id", F.coalesce("matches", F.expr(f"CAST(array() AS {_MATCH})")).alias("matches"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Items(rows, q, error)
+        names = ("item_id", "distance", "start", "end")
+        for batch in batches:
+            cells = [[dict(zip(names, m, strict=True)) for m in sorted(f)] for f in _found(block, batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cells, _ARROW)], names=["doc_id", "matches"])
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERROR) -> DataFrame:
-    """The rows of `docs` in which no item is found, with all their columns; no shuffle."""
-    for rows in _blocks(items):
+    return source.mapInArrow(run, f"doc_id long, matches {_MATCH}")
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            block = Items(rows, q, error)
-            for batch in batches:
-                clean = [not f for f in _found(block, batch.column("text"))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def keep_clean(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERROR) -> DataFrame:
+    """The rows of `docs` in which no item is found, with all their columns."""
+    known = _known(items)
+    rows = _held(known)
+    if rows is None:
+        keyed = docs.select(F.col("text").cast("string"), F.md5(F.col("text").cast("string")).alias("key"))
+        bad = _joined(keyed, known, q, error).select(F.col("key").alias("_bad_key"))
+        return docs.join(bad, F.md5(docs["text"].cast("string")) == F.col("_bad_key"), "left_anti")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Items(rows, q, error)
+        for batch in batches:
+            clean = [not f for f in _found(block, batch.column(place))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -130,7 +131,7 @@ def test_decontamination(spark, edges, empty):
             p = rnd.randrange(len(item))
             item[p : p + 1] = rnd.choice([[], [item[p], "z"], ["q"]])
         docs.append((k, text[:150] + " " + "".join(item).upper() + "!! " + text[150:]))
-    docs += [(100, "Tiny, one!"), (101, "a tiny one here")]
+    docs += [(100, "Tiny, one!"), (101, "a tiny one here"), (102, "a tiny onerous thing")]
     got = {r.doc_id: {m.item_id: m.distance for m in r.matches} for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     for i, t in docs[:60]:
         text = decontam.normalise(t)
@@ -141,7 +142,7 @@ def test_decontamination(spark, edges, empty):
             if d <= decontam.budget(len(norm)):
                 want[item] = d
         assert got[i] == want, i
-    assert got[100] == {90: 0} and got[101] == {}
+    assert got[100] == {90: 0} and got[101] == {90: 0} and got[102] == {}
     some = spark.createDataFrame(items[:3] + [(9, "same row")], "item_id long, text string")
     assert decontam.matches(edges, some).count() == edges.count() and decontam.keep_clean(edges, some).count() == edges.count() - 2
     assert decontam.matches(empty, some).count() == 0 and decontam.matches(edges, some.filter("false")).filter("size(matches) > 0").count() == 0
@@ -155,6 +156,74 @@ def test_decontamination_in_blocks(spark, sf, monkeypatch):
     assert decontam.keep_clean(docs, items).count() == sum("item_id" not in w for w in whole)
 
 
+def test_decontamination_joined_or_held(spark, edges, empty, monkeypatch):
+    """The join of hashes finds what the items in memory find: short items, edited ones, copies, edge rows."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(1, 6)))
+    items = [(i, " ".join(word() for _ in range(rnd.randint(1, 20)))) for i in range(60)] + [(60, None), (61, ""), (62, "same row"), (62, "same row"), (63, "same row")]
+    docs = []
+    for k in range(80):
+        item = list(items[k % 60][1])
+        for _ in range(k % 4):
+            item[rnd.randrange(len(item))] = "z"
+        docs.append((k, " ".join([word() for _ in range(30)] + ["".join(item)] + [word() for _ in range(30)])))
+    docs += [*docs[:5], (None, docs[7][1]), (900, "x"), (901, "")]
+    known = spark.createDataFrame(items, "item_id long, text string")
+    tables = [spark.createDataFrame(docs, "doc_id long, text string"), edges, empty]
+    held = [sorted(map(str, decontam.matches(d, known).collect())) for d in tables]
+    clean = [sorted(map(str, decontam.keep_clean(d, known).collect())) for d in tables]
+    assert sum("item_id" in h for h in held[0]) > 40 and sum("item_id=63" in h for h in held[1]) == 2
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    assert [sorted(map(str, decontam.matches(d, known).collect())) for d in tables] == held
+    assert [sorted(map(str, decontam.keep_clean(d, known).collect())) for d in tables] == clean
+    assert decontam.keep_clean(edges, known).columns == edges.columns
+
+
+def test_decontamination_of_a_shared_stem():
+    """Many items with one stem: each is aligned from where it differs, in time that its own part takes."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 7)))
+    stem = " ".join(word() for _ in range(130))
+    items = [(i, f"{stem} {word()} {word()} {i}") for i in range(3000)]
+    block = decontam.Items(items, decontam.Q, decontam.ERROR)
+    text = decontam.normalise(f"well {stem[:300]}x{stem[300:]} and nothing of theirs")
+    some = rnd.sample(range(3000), 5)
+    start = time.perf_counter()
+    got = {item: d for _, item, d, _, _ in block.scan([text])}
+    assert time.perf_counter() - start < 10
+    for i in some:
+        norm = decontam.normalise(items[i][1])
+        d = distance(norm, text)
+        assert got.get(i) == (d if d <= decontam.budget(len(norm)) else None)
+
+
+def test_aligner_against_plain_distances():
+    rnd = random.Random(8)
+    for _ in range(400):
+        text = bytes(rnd.choices(b"ab c", k=rnd.randint(0, 40)))
+        low, width = rnd.randint(-12, 30), rnd.randint(1, 30)
+        aligner = decontam.Aligner(text, low, low + width)
+        base = bytes(rnd.choices(b"ab c", k=12))
+        for _ in range(4):
+            item = base[: rnd.randint(0, 12)] + bytes(rnd.choices(b"ab c", k=rnd.randint(1, 6)))
+            # Cells (row, column) inside the band and the text, plainly.
+            cell = {(0, j): 0 for j in range(len(text) + 1) if low <= j <= low + width}
+            for i in range(1, len(item) + 1):
+                for j in range(max(0, i + low), min(len(text), i + low + width) + 1):
+                    options = [cell[p] + 1 for p in ((i - 1, j), (i, j - 1)) if p in cell]
+                    if (i - 1, j - 1) in cell:
+                        options.append(cell[i - 1, j - 1] + (item[i - 1] != text[j - 1]))
+                    if j == 0:
+                        options.append(i)
+                    cell[i, j] = min(options, default=i)
+            ends = [cell[len(item), j] for j in range(len(text) + 1) if (len(item), j) in cell]
+            got = aligner.best(item, 99)
+            if item in text:
+                assert got[0] == 0
+            elif ends and got[1] > 0:
+                assert got[0] <= min(ends) and got[0] >= distance(item, text)
+
+
 def test_chat_trees(spark):
     rows = [
         ("t", 1, None, "user", "root", 0.0), ("t", 2, 1, "assistant", "bad", 1.0), ("t", 3, 1, "assistant", "good", 2.0), ("t", 4, 3, "user", "more", 0.5),
