@@ -15,13 +15,18 @@ MAX_STRINGS, CHUNK = 256, 4096
 PACKER_BYTES, HEAD_BYTES, SECTION = 8192, 4096, 1024
 
 
+def latin(content: Column) -> Column:
+    """Bytes as text, one character a byte, so that offsets stay."""
+    return F.decode(content, "ISO-8859-1")
+
+
 def hashes(content: Column) -> list[Column]:
     return [F.sha2(content, 256).alias("sha256"), F.sha1(content).alias("sha1"), F.md5(content).alias("md5")]
 
 
 def printable_runs(content: Column, most: int = MAX_STRINGS) -> Column:
     """The first runs of four or more printable ASCII characters."""
-    return F.slice(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(PRINTABLE), 0), 1, most)
+    return F.slice(F.regexp_extract_all(latin(content), F.lit(PRINTABLE), 0), 1, most)
 
 
 def chunk_hash_list(content: Column, size: int = CHUNK) -> Column:
@@ -86,9 +91,9 @@ def score_severity(score: Column) -> Column:
 
 def packer(content: Column) -> Column:
     """The first known packer whose mark is in the first 8 KiB."""
-    head, out = F.substring(content, 1, PACKER_BYTES), None
+    head, out = latin(F.substring(content, 1, PACKER_BYTES)), None
     for sig, name in P.PACKERS:
-        here = F.instr(F.hex(head), F.lit(sig.hex().upper())) % 2 == 1
+        here = head.contains(sig.decode("latin-1"))
         out = F.when(here, name) if out is None else out.when(here, name)
     return out
 

@@ -25,9 +25,9 @@ def observations(files: DataFrame) -> DataFrame:
     facts = f.select("path", F.length(c).alias("size"), binary.file_format(F.col("path"), c).alias("format"), F.round(binary.byte_entropy(c), 4).alias("entropy"))
     out = _finding(facts, "ingest", "file", "info", F.concat_ws(" ", "format", F.col("size").cast("string")))
     out = out.unionByName(_finding(facts, "ingest", "entropy", F.when(F.col("entropy") >= HIGH_ENTROPY, "medium").otherwise("info"), F.col("entropy").cast("string")))
-    bundle = f.filter(F.instr(F.hex(c), F.lit(BUNDLE_MAGIC.hex().upper())) % 2 == 1)
+    bundle = f.filter(binary.latin(c).contains(BUNDLE_MAGIC.decode("latin-1")))
     out = out.unionByName(_finding(bundle, "ingest", "packer:pyinstaller", "medium", "self-extracting bundle"))
-    text = f.select("path", rules.latin(c).alias("text"))
+    text = f.select("path", binary.latin(c).alias("text"))
     found = rules.matches(text)
     out = out.unionByName(_finding(found, "yara", F.concat(F.lit("rule:"), "rule"), F.col("severity"), F.col("category")))
     # Capabilities look at the printable runs that an artifact keeps.
@@ -43,7 +43,7 @@ def heuristic_functions(files: DataFrame, *, limit: int = NEEDLE_LIMIT) -> DataF
 
     The region hash is over the first 64 bytes of the window around the needle.
     """
-    text = files.select("path", rules.latin(F.col("content")).alias("text"))
+    text = files.select("path", binary.latin(F.col("content")).alias("text"))
     rows = rules.needle_offsets(text).groupBy("path").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "needle", "category"))), 1, limit).alias("m"))
     first = rows.select("path", F.posexplode("m").alias("ordinal", "m")).select("path", "ordinal", "m.*")
     around = binary.region(F.col("at"))

@@ -26,64 +26,88 @@ PRESENT = {
     "remote_fetch": P.REMOTE_FETCH, "install_exec": P.INSTALL_CODE_EXEC, "getattr_concat": P.GETATTR_CONCAT, "getattr_builtins": P.GETATTR_BUILTINS,
     "dict_builtins": P.DICT_BUILTINS, "global_computed": P.GLOBAL_COMPUTED,
 }
-#: Texts of which one at least is in every match: a plain search, so most files never reach the pattern. Lower case for those without case.
+#: Texts of which one at least is in every match: plain searches, so most files never reach the pattern.
 NEEDED = {
     "char_list": ("[",), "objc": ("@[",), "cpp": ("+",), "eval_exec": ("eval", "exec"), "fromcharcode": ("fromCharCode",), "atob": ("atob",), "js_obfusc": ("_0x",),
     "packed_js": ("eval",), "hex_escape": ("\\x",), "eth": ("0x",), "shellcode": ("\\x",), "aws": ("AKIA",), "github": ("ghp_", "ghs_"), "decoder": ("codePointAt",),
-    "exec_compile": ("compile",), "xor": ("bytes",), "marshal": ("marshal",), "nested": ("b64decode",), "rot13": ("codecs",), "embedded_pe": ("\\x", 'b"MZ"', "b'MZ'"),
+    "exec_compile": ("compile",), "xor": ("^",), "marshal": ("marshal",), "nested": ("b64decode",), "rot13": ("codecs",), "embedded_pe": ("\\x", 'b"MZ"', "b'MZ'"),
     "data_uri": (";base64,",), "private_key": ("PRIVATE KEY",), "git_py": ("subprocess", "os.system"), "git_js": ("exec", "spawn"), "git_write": ("commit", "push", "add"),
     "curl_pipe": ("curl", "wget"), "remote_fetch": ("url", "requests", "httpx"), "install_exec": ("exec", "eval"), "getattr_concat": ("getattr",),
-    "getattr_builtins": ("getattr",), "dict_builtins": ("globals", "vars"), "global_computed": ("global",),
+    "getattr_builtins": ("getattr",), "dict_builtins": ("globals", "vars"), "global_computed": ("global",), "sensitive_bare": ("'.", '".'),
 }
-NEEDED_ANY_CASE = {
-    "api_key": ("api", "token", "secret", "password", "credential"),
-    "sensitive_path": ("expanduser", "homedir", "home", "userprofile", "path("),
-    "sensitive_literal": ("~/", "/home/", "%userprofile%"),
+#: Endings that sensitive paths have.
+SENSITIVE_END = r"(?i)\.(?:ssh|aws|npmrc|gitconfig|gnupg|env|docker|kube|yarnrc|pypirc|netrc|config/gh)|id_rsa|id_ed25519|credentials|local\s*storage|cookies\.sqlite|login\s*data"
+#: Cheaper patterns that match wherever the full one does: most positions of a text fail at their first character.
+NEEDED_PATTERN = {
+    "api_key": r"[:=]\s*[\"']?[A-Za-z0-9_\-/+=]{20}",
+    "btc": r"[13][a-km-zA-HJ-NP-Z1-9]{25}",
+    "selectors": r"[\x{FE00}-\x{FE0F}]",
+    "private_use": r"[\x{E0100}-\x{E01EF}]",
+    "sensitive_path": SENSITIVE_END,
+    "sensitive_literal": SENSITIVE_END,
+}
+#: What only counts beside a sensitive path, a dynamic import or an install script is looked for in such files only.
+BESIDE = {
+    "sensitive": ("exfil_py", "exfil_js", "exfil_poly", "git_py", "git_js", "git_write"),
+    "in_install": ("curl_pipe", "remote_fetch", "install_exec"),
+    "dynamic_imports": ("exec_compile",),
 }
 FINDING = "array<struct<source: string, category: string, severity: string, hits: int>>"
+_NONE = "CAST(array() AS array<string>)"
 
 
 def _base64_blob(content: Column) -> Column:
-    """Whether some base64 run decodes to more than 20 bytes, over half of them printable; runs with wrong padding do not count."""
+    """Whether some base64 run decodes to more than 20 bytes, over half of them printable. Padding may be too long, not too short."""
 
     def readable(run):
-        raw = F.when(F.length(run) % 4 == 0, F.try_to_binary(run, F.lit("base64")))
+        data = F.rtrim(run, F.lit("="))
+        need = F.pmod(-F.length(data), F.lit(4))
+        whole = (need < 3) & (F.length(run) - F.length(data) >= need)
+        raw = F.when(whole, F.try_to_binary(F.concat(data, F.repeat(F.lit("="), need)), F.lit("base64")))
         text = F.decode(raw, "ISO-8859-1")
         return F.coalesce((F.length(text) > 20) & (2 * F.regexp_count(text, F.lit(r"[\x20-\x7E]")) > F.length(text)), F.lit(False))
 
-    return F.exists(F.regexp_extract_all(content, F.lit(P.BASE64), 0), readable)
+    return content.rlike(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}") & F.exists(F.regexp_extract_all(content, F.lit(P.BASE64), 0), readable)
+
+
+def _any(source: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | source.contains(w)
+    return found
 
 
 def _measure(files: DataFrame) -> DataFrame:
     c, low = F.col("content"), F.lower("path")
-    dynamic = F.array_union(F.regexp_extract_all(c, F.lit(P.DUNDER_IMPORT), 1), F.regexp_extract_all(c, F.lit(P.IMPORTLIB_MODULE), 1))
+    extract = lambda guard, pattern: F.when(guard, F.regexp_extract_all(c, F.lit(pattern), 1)).otherwise(F.expr(_NONE))
+    dynamic = F.array_union(extract(c.contains("__import__"), P.DUNDER_IMPORT), extract(c.contains("importlib"), P.IMPORTLIB_MODULE))
     listed = lambda names: F.array_compact(F.array(*[F.when(c.contains(n), n) for n in names]))
     imports = (
         F.when(low.endswith(".py"), listed(P.PYTHON_IMPORTS))
         .when(paths.ends_with_any(low, (".js", ".ts", ".jsx", ".tsx")), listed(P.JS_IMPORTS))
         .when(low.endswith(".go"), listed(P.GO_IMPORTS))
-        .otherwise(F.array().cast("array<string>"))
+        .otherwise(F.expr(_NONE))
     )
+    quoted = c.contains('"') | c.contains("'")
     long_lines = F.filter(F.regexp_extract_all(c, F.lit(P.LONG_STRING), 0), lambda s: ~s.contains("\n"))
 
     def needed(k):
-        source, words = (F.col("_low"), NEEDED_ANY_CASE[k]) if k in NEEDED_ANY_CASE else (c, NEEDED.get(k, ()))
-        found = F.lit(not words)
-        for w in words:
-            found = found | source.contains(w)
-        return found
-
-    files = files.withColumn("_low", F.lower(c))
-    return files.select(
-        *[x for x in files.columns if x != "_low"],
-        *[F.when(needed(k), F.regexp_count(c, F.lit(p))).otherwise(0).alias(f"n_{k}") for k, p in COUNTED.items()],
-        *[(needed(k) & c.rlike(p)).alias(f"is_{k}") for k, p in PRESENT.items()],
+        if k in NEEDED_PATTERN:
+            return c.rlike(NEEDED_PATTERN[k])
+        return _any(c, NEEDED[k]) if k in NEEDED else F.lit(True)
+
+    late = {k for names in BESIDE.values() for k in names}
+    counted = {k: F.when(needed(k), F.regexp_count(c, F.lit(p))).otherwise(0) for k, p in COUNTED.items()}
+    m = files.select(
+        *files.columns,
+        *[n.alias(f"n_{k}") for k, n in counted.items()],
+        *[(needed(k) & c.rlike(p)).alias(f"is_{k}") for k, p in PRESENT.items() if k not in late],
         _base64_blob(c).alias("is_base64"),
         F.array_intersect(dynamic, F.array(*map(F.lit, P.ENCODING_MODULES_DYNAMIC))).alias("dynamic"),
         imports.alias("imports"),
-        F.regexp_extract_all(c, F.lit(P.HARDCODED_IP), 1).alias("urls"),
-        F.regexp_extract_all(c, F.lit(P.SOCKET_IP), 1).alias("sockets"),
-        F.size(long_lines).alias("n_long"),
+        extract(c.contains("://"), P.HARDCODED_IP).alias("urls"),
+        extract(c.rlike(r"""\(\s*["']\d"""), P.SOCKET_IP).alias("sockets"),
+        F.when(quoted & (F.length(c) > 500), F.size(long_lines)).otherwise(0).alias("n_long"),
         (c.contains("struct.pack") & c.contains("SOCK_DGRAM") & c.contains(".sendto(")).alias("is_dns"),
         c.contains("migrations.RunPython").alias("is_migration"),
         paths.is_test_path(F.col("path")).alias("in_test"),
@@ -91,6 +115,9 @@ def _measure(files: DataFrame) -> DataFrame:
         paths.is_install_script(F.col("path")).alias("in_install"),
         (~paths.extension(F.col("path")).isin(*P.COMPILED_EXTENSIONS)).alias("interpreted"),
     )
+    m = m.withColumns({"sensitive": F.col("n_sensitive_path") + F.col("n_sensitive_literal") + F.col("n_sensitive_bare"), "dynamic_imports": F.size("dynamic") > 0})
+    beside = {"sensitive": F.col("sensitive") > 0, "in_install": F.col("in_install"), "dynamic_imports": F.col("dynamic_imports")}
+    return m.withColumns({f"is_{k}": beside[where] & needed(k) & c.rlike(PRESENT[k]) for where, names in BESIDE.items() for k in names})
 
 
 def _finding(when: Column, category, severity, hits=None, source: str = "source-heuristic") -> Column:
@@ -108,9 +135,7 @@ def observations(files: DataFrame) -> DataFrame:
         {
             "evals": F.when(col("interpreted"), n("eval_exec")).otherwise(0),
             "invisible": n("selectors") + n("private_use"),
-            "sensitive": n("sensitive_path") + n("sensitive_literal") + n("sensitive_bare"),
             "exfil": has("exfil_py") | has("exfil_js") | has("exfil_poly"),
-            "dynamic_imports": F.size("dynamic") > 0,
         }
     )
     one = lambda b: b.cast("int")

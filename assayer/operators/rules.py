@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions import arrays
 from assayer.operators import patterns as P
 
 
@@ -34,11 +35,6 @@ RULES = (
 )
 
 
-def latin(content: Column) -> Column:
-    """Bytes as text, one character a byte, so that offsets stay."""
-    return F.decode(content, "ISO-8859-1")
-
-
 def has_string(text: Column, rule: Rule, string: str) -> Column:
     source, needle = (F.lower(text), string.lower()) if string in rule.nocase else (text, string)
     found = source.contains(needle)
@@ -72,31 +68,23 @@ def capabilities(files: DataFrame, table=P.CAPABILITIES, *, text: str = "text")
 
 
 def needle_offsets(files: DataFrame, needles=P.NEEDLES, *, text: str = "text") -> DataFrame:
-    """(…, needle, category, at) for every occurrence, `at` from 0; needles in lower case are found in any case.
+    """(…, needle, category, at) for every occurrence, `at` from 0; needles in lower case are found in any case of ASCII letters.
 
-    No needle overlaps itself, so splitting at it finds every occurrence; offsets are sums of the lengths between.
+    No needle overlaps itself, so splitting at it finds every occurrence; offsets are sums of the lengths between. Only ASCII letters are
+    folded: other letters may change their length.
     """
     others = [c for c in files.columns if c != text]
     cells = []
     for needle, category in needles:
         if any(needle.startswith(needle[k:]) for k in range(1, len(needle))):
             raise ValueError(f"{needle!r} overlaps itself")
-        source = F.lower(F.col(text)) if needle == needle.lower() else F.col(text)
-        sizes = F.transform(F.split(source, r"\Q" + needle + r"\E"), lambda p: F.length(p))
-        ends = F.aggregate(sizes, F.array().cast("array<int>"), _running(len(needle)))
-        cells.append(
-            F.when(
-                source.contains(needle),
-                F.transform(F.slice(ends, 1, F.size(ends) - 1), _occurrence(needle, category)),
-            )
-        )
+        pattern = ("(?i)" if needle == needle.lower() else "") + r"\Q" + needle + r"\E"
+        parts = F.split(F.col(text), pattern)
+        sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p) + len(needle))  # noqa: B023
+        cells.append(F.when(F.col(text).rlike(pattern), F.transform(arrays.running(sizes), _occurrence(needle, category))))
     found = F.flatten(F.array_compact(F.array(*cells)))
     return files.select(*others, F.explode(found).alias("_m")).select(*others, "_m.*")
 
 
-def _running(size: int):
-    return lambda done, n: F.concat(done, F.array(F.when(F.size(done) == 0, n).otherwise(F.try_element_at(done, F.lit(-1)) + size + n)))
-
-
 def _occurrence(needle: str, category: str):
-    return lambda at: F.struct(F.lit(needle).alias("needle"), F.lit(category).alias("category"), at.alias("at"))
+    return lambda end: F.struct(F.lit(needle).alias("needle"), F.lit(category).alias("category"), (end - len(needle)).alias("at"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assayer.functions import binary, paths
 from assayer.operators import anomaly, detectors, graph, metrics, rank, rules, similarity, verdict
 from assayer.operators import patterns as P
+from assayer.plans import samples
 from assayer.sources import sinks
 
 QUERIES: dict = {}
@@ -21,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where their source has fewer files than there are cores: a file with one row group is one task's work."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -38,9 +45,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("content"), "doc_id")
 
 
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, path, content, doc_id of the documents, each with a piece of code after its text."""
+    return samples.files(spread(table(spark, sf_dir, "documents")))
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of those files with their repo (the path up to the slash)."""
-    found = detectors.observations(files(spark, sf_dir).select("path", "content"))
+    found = detectors.observations(sample_files(spark, sf_dir).select("path", "content"))
     return found.withColumn("repo", F.substring_index("path", "/", 1))
 
 
@@ -50,23 +62,7 @@ FILES_SQL = """files AS (
   FROM documents
 )"""
 _API_KEY = P.API_KEY.replace('["\']', r"[\x22\x27]")
-FINDINGS_SQL = rf"""{FILES_SQL}, imported AS (
-  SELECT repo, path, CASE
-      WHEN path LIKE '%.py' THEN list_filter(['subprocess', 'ctypes', 'socket', 'os.system', 'os.popen', 'importlib', 'marshal'], lambda x: contains(content, x))
-      WHEN path LIKE '%.js' THEN list_filter(['child_process', 'net', 'dgram'], lambda x: contains(content, x)) END AS names
-  FROM files
-), found AS (
-  SELECT repo, path, 20 AS place, 'import:suspicious' AS category,
-    CASE WHEN list_has_any(names, ['subprocess', 'os.system', 'os.popen', 'marshal', 'child_process']) AND list_has_any(names, ['socket', 'net', 'dgram']) THEN 'medium' ELSE 'low' END AS severity,
-    len(names) AS hits
-  FROM imported WHERE len(names) > 0
-  UNION ALL
-  SELECT repo, path, 30, 'payload:long_string', 'medium', n FROM (
-    SELECT repo, path, len(list_filter(regexp_extract_all(content, '[\x22\x27][^\x22\x27]{{500,}}[\x22\x27]'), lambda s: NOT contains(s, chr(10)))) AS n
-    FROM files WHERE path LIKE '%.py' OR path LIKE '%.js') WHERE n > 0
-  UNION ALL
-  SELECT repo, path, 40, 'secret:api_key', 'medium', n FROM (SELECT repo, path, len(regexp_extract_all(content, '{_API_KEY}')) AS n FROM files) WHERE n > 0
-)"""
+FINDINGS_SQL = samples.FINDINGS_SQL
 
 
 # ------------------------------------------------------------------ scalars
@@ -215,7 +211,7 @@ _LADDER = """SELECT repo, n_high, n_medium, n_vectors, n_findings,
 
 @query(f"WITH {FINDINGS_SQL} {_LADDER}")
 def verdict_by_group(spark, sf_dir):
-    return verdict.repository_verdicts(findings(spark, sf_dir), "repo", files(spark, sf_dir))
+    return verdict.repository_verdicts(findings(spark, sf_dir), "repo", sample_files(spark, sf_dir))
 
 
 @query(
@@ -254,16 +250,16 @@ def compound_chain(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FINDINGS_SQL} SELECT f.repo, count(*) AS n_files, count(g.path) AS n_flagged, CAST(0 AS BIGINT) AS n_critical, CAST(0 AS BIGINT) AS n_high,
-        CAST(coalesce(sum(g.medium), 0) AS BIGINT) AS n_medium, CAST(coalesce(sum(g.low), 0) AS BIGINT) AS n_low, CAST(0 AS BIGINT) AS n_info
-        FROM files f LEFT JOIN (SELECT path, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM found GROUP BY path) g ON f.path = g.path GROUP BY f.repo"""
+    f"""WITH {FINDINGS_SQL} SELECT f.repo, count(DISTINCT f.path) AS n_files, count(DISTINCT g.path) AS n_flagged,
+        {", ".join(f"count(*) FILTER (severity = '{k}') AS n_{k}" for k in P.SEVERITIES)}
+        FROM files f LEFT JOIN found g ON f.path = g.path GROUP BY f.repo"""
 )
 def repo_statistics(spark, sf_dir):
-    return verdict.statistics(files(spark, sf_dir), findings(spark, sf_dir), "repo")
+    return verdict.statistics(sample_files(spark, sf_dir), findings(spark, sf_dir), "repo")
 
 
 @query(
-    f"""WITH {FINDINGS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE severity WHEN 'medium' THEN 2 ELSE 3 END, path, place) AS rank FROM found)
+    f"""WITH {FINDINGS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, path, place) AS rank FROM found)
         SELECT repo, path, category, severity, rank FROM ranked WHERE rank <= 20"""
 )
 def top_findings(spark, sf_dir):
@@ -487,7 +483,7 @@ def upsert_latest(spark, sf_dir):
 def confusion_matrix(spark, sf_dir):
     flagged = findings(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("severity") == "medium").alias("n"))
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("label"))
-    judged = labels.join(files(spark, sf_dir).select("doc_id", "path"), "doc_id").join(flagged, "path", "left")
+    judged = labels.join(sample_files(spark, sf_dir).select("doc_id", "path"), "doc_id").join(flagged, "path", "left")
     return metrics.confusion(judged.select("label", (F.coalesce("n", F.lit(0)) > 0).alias("verdict")))
 
 
@@ -510,7 +506,7 @@ def tool_contributions(spark, sf_dir):
 def case_rates(spark, sf_dir):
     flagged = findings(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("severity") == "medium").alias("n"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "malicious").otherwise("clean").alias("expected"))
-    judged = labels.join(files(spark, sf_dir).select("doc_id", "path"), "doc_id").join(flagged, "path", "left")
+    judged = labels.join(sample_files(spark, sf_dir).select("doc_id", "path"), "doc_id").join(flagged, "path", "left")
     return metrics.case_rates(metrics.case_results(judged.select("expected", F.when(F.coalesce("n", F.lit(0)) > 0, "malicious").otherwise("clean").alias("verdict"))))
 
 

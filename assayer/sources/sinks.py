@@ -25,10 +25,15 @@ def put_content(rows: DataFrame, path: str) -> None:
 
 
 def upserted(stored: DataFrame, changes: DataFrame, key: list[str], version: str) -> DataFrame:
-    """The table after `changes`: one row a key, the one with the greatest version. A grouped maximum: partial sums before the shuffle."""
-    every = stored.unionByName(changes)
-    others = [c for c in every.columns if c not in (*key, version)]
-    best = every.groupBy(*key).agg(F.max_by(F.struct(version, *others), version).alias("_r"))
+    """The table after `changes`: one row a key, the one with the greatest version. A grouped maximum: partial results before the shuffle.
+
+    A row without a version counts as the oldest; of equal versions a change wins over a stored row, then the row with the greater hash.
+    """
+    every = stored.withColumn("_change", F.lit(0)).unionByName(changes.withColumn("_change", F.lit(1)))
+    others = [c for c in every.columns if c not in (*key, version, "_change")]
+    hashed = [F.col(c).cast("string") if kind.startswith("map") else F.col(c) for c, kind in every.dtypes if c in others]
+    order = F.struct(F.col(version).isNotNull(), version, "_change", F.xxhash64(F.lit(0), *hashed))
+    best = every.groupBy(*key).agg(F.max_by(F.struct(version, *others), order).alias("_r"))
     return best.select(*key, "_r.*")
 
 

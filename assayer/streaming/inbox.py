@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators import detectors
+from assayer.sources.files import lenient_text
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -28,7 +29,7 @@ def analyse(arrived: DataFrame, out: str, checkpoint: str):
     """Starts a query that appends the findings of each arrived file to the Parquet folder `out`."""
 
     def each(batch: DataFrame, number: int) -> None:
-        text = batch.select("path", F.decode("content", "UTF-8").alias("content"))
+        text = batch.select("path", lenient_text(F.col("content")).alias("content"))
         # A repeated batch overwrites its own folder.
         detectors.observations(text).write.mode("overwrite").parquet(f"{out}/batch={number}")
 

@@ -234,3 +234,40 @@ def test_disassembler_coverage(spark):
         ("part", "ghidra", "coverage_gap", "info", "Ghidra found 60 functions but only 50 were analyzed (limit=50)."),
         ("part", "ghidra", "coverage_gap", "info", "1 of 50 functions could not be decompiled."),
     }
+
+
+def test_malformed_text(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"ok \xff\xfe x"), True), (2, bytearray(b"ok \xff"), False), (3, "fü".encode(), False), (4, None, True)], "id int, content binary, known boolean")
+    got = {r.id: r.t for r in rows.select("id", files.text(F.col("content"), F.col("known")).alias("t")).collect()}
+    assert got == {1: b"ok \xff\xfe x".decode("utf-8", "replace"), 2: None, 3: "fü", 4: None}
+
+
+def test_malformed_text_in_the_inbox(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_bytes(b"exec(x) \xff\xfe")
+    inbox.analyse(inbox.arrivals(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert [r.category for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["obfuscation:eval_exec"]
+
+
+def test_marks_at_any_place(spark):
+    """A mark that begins in the middle of a byte's digits first, then at a byte."""
+    data = [bytearray(b"\x15\x55\x05\x82\x10" + b"UPX!"), bytearray(b"x" * 9000 + b"UPX!"), bytearray(b".vmp1")]
+    got = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "id int, content binary").select("id", binary.packer(F.col("content")).alias("p")).orderBy("id").collect()
+    assert [r.p for r in got] == ["upx", None, "vmprotect"]
+
+
+def test_upsert_without_version(spark):
+    schema = "k int, v int, x string"
+    stored, changes = spark.createDataFrame([(1, None, "a"), (2, 5, "old"), (3, 7, "same")], schema), spark.createDataFrame([(2, None, "b"), (3, 7, "new"), (4, None, None)], schema)
+    got = sorted(map(tuple, sinks.upserted(stored, changes, ["k"], "v").collect()))
+    assert got == [(1, None, "a"), (2, 5, "old"), (3, 7, "new"), (4, None, None)]
+
+
+def test_needle_offsets_keep_places(spark):
+    texts = ["İİ cmd.exe", "Curl curl" + "x" * 50 + "CURL", "ſocket socket", "a" * 10 + "WinExecWinExec"] + ["socket " * 3000]
+    found = rules.needle_offsets(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.id, r.at)):
+        got.setdefault(r.id, []).append((r.needle, r.at))
+    assert got[0] == [("cmd.exe", 3)] and got[1] == [("curl", 0), ("curl", 5), ("curl", 59)] and got[2] == [("socket", 7)] and got[3] == [("WinExec", 10), ("WinExec", 17)]
+    assert [at for _, at in got[4]] == list(range(0, 21000, 7))
