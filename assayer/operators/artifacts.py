@@ -69,6 +69,12 @@ def trusted(provenance: DataFrame) -> DataFrame:
     return provenance.withColumn("trusted", there)
 
 
+def placeholder_events(artifacts: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """(artifact, source, kind, summary): an event for each dynamic tool that is not run here, so that its absence shows."""
+    rows = artifacts.select("artifact", F.explode(F.array(*map(F.lit, tools))).alias("source"))
+    return rows.select("artifact", "source", F.lit("unavailable").alias("kind"), F.concat(F.lit("No dynamic analysis by "), "source").alias("summary"))
+
+
 def unavailable(artifacts: DataFrame, tools: dict[str, bool]) -> DataFrame:
     """(artifact, tool, status, enabled): a row for each outside tool that is not run here."""
     cells = [F.struct(F.lit(t).alias("tool"), F.lit("unavailable" if on else "skipped").alias("status"), F.lit(on).alias("enabled")) for t, on in sorted(tools.items())]

@@ -79,15 +79,38 @@ def carriers(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return data, cats.filter(hits(P.EXEC_CATEGORIES) >= 1).select("path")
 
 
+def capability_sides(fingerprinted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path) of files that read local or home files without a network, and of files that use a network without such files.
+
+    fingerprinted: path, capabilities.
+    """
+    any_of = lambda *names: F.arrays_overlap("capabilities", F.array(*map(F.lit, names)))
+    local, network = any_of("accesses_home", "file_io"), any_of("imports_network", "network_calls")
+    return fingerprinted.filter(local & ~network).select("path"), fingerprinted.filter(network & ~local).select("path")
+
+
+def behavioral_leads(edges: DataFrame, readers: DataFrame, senders: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(data_file, exec_file, depth, severity): senders that reach a reader in one or two references (depth), or share an importer with it (null).
+
+    All are medium; pairs in `known` (data_file, exec_file) are left out, and pairs by references are not listed as siblings.
+    """
+    near = leads(edges, readers, senders)
+    if known is not None:
+        near = near.join(known.select("data_file", "exec_file"), ["data_file", "exec_file"], "left_anti")
+    seen = near.select("data_file", "exec_file") if known is None else near.select("data_file", "exec_file").unionByName(known.select("data_file", "exec_file"))
+    beside = sibling_leads(edges, readers, senders, seen).select("data_file", "exec_file", F.lit(None).cast("int").alias("depth"))
+    return near.drop("severity").unionByName(beside).withColumn("severity", F.lit("medium"))
+
+
 def leads(edges: DataFrame, data: DataFrame, execs: DataFrame) -> DataFrame:
     """(data_file, exec_file, depth, severity): execution files that reach a data file in one or two references.
 
     edges: src refers to dst. The data side filters the first step, the execution side the second, so a hub's edges meet only
     those that can end a lead.
     """
-    e = edges.select("src", "dst").distinct()
-    first = e.join(data.select(F.col("path").alias("dst")).distinct(), "dst").select(F.col("dst").alias("data_file"), "src")
-    last = e.join(execs.select(F.col("path").alias("src")).distinct(), "src", "left_semi")
+    e = edges.select("src", "dst")
+    first = e.join(data.select(F.col("path").alias("dst")).distinct(), "dst").select(F.col("dst").alias("data_file"), "src").distinct()
+    last = e.join(execs.select(F.col("path").alias("src")).distinct(), "src", "left_semi").distinct()
     near = first.join(execs.select(F.col("path").alias("src")).distinct(), "src", "left_semi").select("data_file", F.col("src").alias("exec_file"), F.lit(1).alias("depth"))
     far = first.select("data_file", F.col("src").alias("dst")).join(last, "dst").select("data_file", F.col("src").alias("exec_file"), F.lit(2).alias("depth"))
     both = near.unionByName(far).filter("data_file <> exec_file").groupBy("data_file", "exec_file").agg(F.min("depth").alias("depth"))

@@ -9,6 +9,10 @@ from assayer.functions.paths import severity_rank
 from assayer.operators import patterns as P
 
 
+#: Buckets of a triage prompt and how many findings each shows.
+BUCKETS = (("high", 50), ("behavioral", 20), ("other", 30))
+
+
 def prefix(category: Column) -> Column:
     return F.substring_index(category, ":", 1)
 
@@ -91,6 +95,49 @@ def top_findings(findings: DataFrame, key: str, *order: str, limit: int = 20) ->
     return findings.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def triage_buckets(findings: DataFrame, key: str, *order: str) -> DataFrame:
+    """(key, bucket, n, shown): findings of a triage prompt, in three buckets with the first of each in `order`.
+
+    high: high and critical ones; behavioral: others with that word in their category; other: medium ones. The rest is in none.
+    """
+    severe = F.col("severity").isin("high", "critical")
+    bucket = F.when(severe, "high").when(F.col("category").contains("behavioral"), "behavioral").when(F.col("severity") == "medium", "other")
+    rows = findings.withColumn("bucket", bucket).filter("bucket IS NOT NULL")
+    cap = F.coalesce(*[F.when(F.col("bucket") == name, F.lit(most)) for name, most in BUCKETS])
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order))).filter(F.col("_n") <= cap)
+    shown = first.groupBy(key, "bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "path", "category"))), lambda x: F.concat_ws(" ", x["path"], x["category"])).alias("shown"))
+    return rows.groupBy(key, "bucket").agg(F.count("*").alias("n")).join(shown, [key, "bucket"])
+
+
+def target_candidates(files: DataFrame, findings: DataFrame, leads: DataFrame, picked: DataFrame, key: str) -> DataFrame:
+    """(key, path, priority, ordinal) of the files that are worth a closer look, 110 for the triage's to 50 for two findings with a medium one; one row a reason.
+
+    files: key, path, ordinal, roles (array), anomaly_score; findings: key, path, severity, category; leads: key, exec_file; picked: key, path (of
+    files that a triage answer names; other paths do not count).
+    """
+    starts = lambda p: F.max(F.col("category").startswith(p))
+    facts = findings.groupBy(key, "path").agg(
+        F.max(F.col("severity").isin("high", "critical")).alias("high"), F.max(F.col("severity") == "medium").alias("medium"), F.count("*").alias("n"),
+        F.count_if(F.col("category").startswith("unresolved:")).alias("unresolved"), starts("behavioral:").alias("behavioral"), starts("behavioral:credential_access").alias("credential"),
+    )
+    f = files.join(facts, [key, "path"])
+    has = lambda role: F.array_contains("roles", role)
+    role = F.when(has("entry_point") & F.col("high"), 90).when(has("entry_point"), 80).when(has("manifest"), 70).when(has("build_file"), 60)
+    found = (
+        F.when(F.col("unresolved") >= 3, 105)
+        .when(F.col("unresolved") > 0, 85)
+        .when(F.col("high") & F.col("behavioral"), 85)
+        .when(F.col("anomaly_score") >= 0.7, 75)
+        .when(F.col("path").contains("/migrations/") & F.col("path").endswith(".py") & F.col("medium"), 65)
+        .when(F.col("credential"), 55)
+        .when(F.col("medium") & (F.col("n") >= 2), 50)
+    )
+    place = files.select(key, "path", "ordinal")
+    given = lambda rows, path, priority: rows.select(key, F.col(path).alias("path")).distinct().join(place, [key, "path"]).select(key, "path", F.lit(priority).alias("priority"), "ordinal")
+    own = f.select(key, "path", F.explode(F.array_compact(F.array(role, found))).alias("priority"), "ordinal")
+    return own.unionByName(given(leads, "exec_file", 100)).unionByName(given(picked, "path", 110))
+
+
 def targets(candidates: DataFrame, key: str) -> DataFrame:
     """One row a path: its highest priority; rank within the key by priority, then by the path's first ordinal.
 

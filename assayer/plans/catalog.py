@@ -406,14 +406,14 @@ def _edges(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    data = table(spark, sf_dir, "part").filter("p_size = 50 AND p_brand = 'Brand#1'").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
+    data = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
     big = table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"))
     low = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"))
     return data, big.unionByName(low)
 
 
 _LEADS_SQL = """edges AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
-  data AS (SELECT 'p' || p_partkey AS path FROM part WHERE p_size = 50 AND p_brand = 'Brand#1'),
+  data AS (SELECT 'p' || p_partkey AS path FROM part),
   execs AS (SELECT 'o' || o_orderkey AS path FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_acctbal < 0),
   reach AS (SELECT e.dst AS data_file, e.src AS exec_file, 1 AS depth FROM edges e JOIN data d ON e.dst = d.path
             UNION ALL SELECT e.dst, f.src, 2 FROM edges e JOIN data d ON e.dst = d.path JOIN edges f ON f.dst = e.src),
@@ -435,13 +435,13 @@ def lead_gate(spark, sf_dir):
 
 @query(
     """WITH edges AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem),
-       a AS (SELECT 'p' || p_partkey AS path FROM part WHERE p_size = 50), b AS (SELECT 'p' || p_partkey AS path FROM part WHERE p_size = 49)
+       a AS (SELECT 'p' || p_partkey AS path FROM part WHERE p_size > 25), b AS (SELECT 'p' || p_partkey AS path FROM part WHERE p_size <= 25)
        SELECT x.dst AS data_file, y.dst AS exec_file, list_slice(list_sort(list(DISTINCT x.src)), 1, 3) AS importers
        FROM edges x JOIN a ON x.dst = a.path JOIN edges y ON x.src = y.src JOIN b ON y.dst = b.path GROUP BY 1, 2"""
 )
 def sibling_leads(spark, sf_dir):
-    side = lambda size: table(spark, sf_dir, "part").filter(F.col("p_size") == size).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
-    return graph.sibling_leads(_edges(spark, sf_dir).filter("src LIKE 'o%'"), side(50), side(49))
+    side = lambda large: table(spark, sf_dir, "part").filter((F.col("p_size") > 25) == large).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
+    return graph.sibling_leads(_edges(spark, sf_dir).filter("src LIKE 'o%'"), side(True), side(False))
 
 
 @query("SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.doc_id IS NOT NULL THEN 'ok' END, 'missing') AS status FROM documents d LEFT JOIN labels l USING (doc_id)")

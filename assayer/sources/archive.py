@@ -104,28 +104,30 @@ def members(name: str, data: bytes, cap: int = TOTAL_BYTES) -> Iterator[tuple[st
         return
 
 
-def expand(files: DataFrame, *, cap: int = TOTAL_BYTES) -> DataFrame:
-    """(path, content, parent_sha256) of the members of each archive among `files` (path, content)."""
+def _inside(path: str, data: bytes, parent: str | None, level: int, depth: int, cap: int) -> Iterator[tuple[str, bytes, str | None, int]]:
+    """A file and what it holds, outer ones first; one member of each level is in memory at a time."""
+    yield path, data, parent, level
+    if level < depth:
+        digest = hashlib.sha256(data).hexdigest()
+        for name, member in members(path.rsplit("!", 1)[-1], data, cap):
+            yield from _inside(f"{path}!{name}", member, digest, level + 1, depth, cap)
+
+
+def unpacked(files: DataFrame, *, depth: int = 2, cap: int = TOTAL_BYTES) -> DataFrame:
+    """Files (path, content) and what they hold, down to `depth` archives within archives: path, content, parent_sha256, depth. Each is opened once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                data = bytes(content or b"")
-                parent = hashlib.sha256(data).hexdigest()
-                for name, member in members(path, data, cap):  # one member at a time in memory
-                    yield pd.DataFrame({"path": [f"{path}!{name}"], "content": [member], "parent_sha256": [parent]})
+                for row in _inside(path, bytes(content or b""), None, 0, depth, cap):
+                    yield pd.DataFrame([row], columns=["path", "content", "parent_sha256", "depth"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, content binary, parent_sha256 string")
+    return files.select("path", "content").mapInPandas(run, "path string, content binary, parent_sha256 string, depth int")
 
 
-def unpacked(files: DataFrame, *, depth: int = 2, cap: int = TOTAL_BYTES) -> DataFrame:
-    """Files and what they hold, down to `depth` archives within archives: path, content, parent_sha256, depth."""
-    level = files.select("path", "content", F.lit(None).cast("string").alias("parent_sha256"))
-    out = level.withColumn("depth", F.lit(0))
-    for k in range(1, depth + 1):
-        level = expand(level, cap=cap)
-        out = out.unionByName(level.withColumn("depth", F.lit(k)))
-    return out
+def expand(files: DataFrame, *, cap: int = TOTAL_BYTES) -> DataFrame:
+    """(path, content, parent_sha256) of the members of each archive among `files` (path, content)."""
+    return unpacked(files, depth=1, cap=cap).filter("depth = 1").drop("depth")
 
 
 def encrypted_payloads(entries: DataFrame) -> DataFrame:

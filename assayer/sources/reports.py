@@ -86,6 +86,32 @@ def sandbox_c(reports: DataFrame) -> DataFrame:
     return out.unionByName(_finding(dropped, "triage", F.lit("dropped:file"), F.lit("medium"), F.col("e.filename")))
 
 
+def events_a(reports: DataFrame) -> DataFrame:
+    """(artifact, source, kind, summary): the processes that ran."""
+    rows = _rows(reports, "$.behavior.processes", "struct<process_name: string, pid: long, ppid: long>")
+    return _events(rows, "cape", "process", _process("e.process_name", "e.pid"))
+
+
+def events_b(reports: DataFrame, *, most: int = 50) -> DataFrame:
+    """The first `most` system calls of each report."""
+    calls = F.slice(F.from_json(F.get_json_object("report", "$.syscalls"), "array<struct<name: string>>"), 1, most)
+    return _events(reports.select("artifact", F.explode(calls).alias("e")), "drakvuf", "syscall", F.concat(F.lit("Syscall: "), F.coalesce("e.name", F.lit("unknown"))))
+
+
+def events_c(reports: DataFrame) -> DataFrame:
+    """The processes of all tasks of all targets; targets whose tasks are no object have none."""
+    rows = _rows(reports, "$.targets", "struct<tasks: map<string, struct<name: string, pid: long>>>")
+    return _events(rows.select("artifact", F.explode(F.map_values("e.tasks")).alias("e")), "triage", "process", _process("e.name", "e.pid"))
+
+
+def _process(name: str, pid: str) -> Column:
+    return F.concat(F.lit("Process: "), F.coalesce(name, F.lit("unknown")), F.lit(" (PID "), F.coalesce(F.col(pid).cast("string"), F.lit("?")), F.lit(")"))
+
+
+def _events(rows: DataFrame, source: str, kind: str, summary: Column) -> DataFrame:
+    return rows.select("artifact", F.lit(source).alias("source"), F.lit(kind).alias("kind"), summary.alias("summary"))
+
+
 def with_fallback(report_rows: DataFrame, heuristic_rows: DataFrame) -> DataFrame:
     """Findings by report where the artifact has any of the tool's, else the heuristic ones; both (artifact, tool, …)."""
     real = report_rows.select("artifact", "tool").distinct()
