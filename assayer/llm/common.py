@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions.arrays import let, running
+
+__all__ = ["SPACES", "cut", "held_out", "let", "running", "scratch", "small_batches", "table", "text_or_empty"]
+
 #: Separators of words: space and the ASCII controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -17,11 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a new temporary one only where none is set (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is set a process of its own (tests) takes a new one; a cluster fails.
+
+    What operators leave there (checkpoints, token files, stages) may be removed once their results are no longer read.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
+        current = context._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     return folder
 
 
@@ -33,11 +49,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once a row, also where a lambda inside `body` reads it for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -47,8 +58,19 @@ def held_out(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string")) % 5 == 0
 
 
-def small_batches(batches, rows: int = 512):
-    """The same rows in smaller Arrow batches, so that what a task makes of a batch stays small too."""
+def small_batches(batches, rows: int = 512, column: str | int | None = None, size: int = 1 << 20):
+    """The same rows in smaller Arrow batches, so that what a task makes of a batch stays small too.
+
+    At most `rows` rows each, and about `size` bytes of the text (or elements of the list) in `column`, if one is named; a longer row comes alone.
+    """
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        ends = np.arange(batch.num_rows)
+        if column is not None:
+            cells = batch.column(column)
+            lengths = pc.list_value_length(cells) if pa.types.is_list(cells.type) else pc.binary_length(cells)
+            ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i, before = 0, 0
+        while i < batch.num_rows:
+            j = min(i + rows, max(i + 1, int(np.searchsorted(ends, before + size, "right")))) if column is not None else i + rows
+            yield batch.slice(i, j - i)
+            i, before = j, int(ends[min(j, batch.num_rows) - 1])

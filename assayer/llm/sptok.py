@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton reports, for each place of a text, all pieces that end there, longest first (its output links). Each one
-relaxes the best path of that place. What makes a path best depends on the model:
+relaxes the best path of that place: the best path to its start and its own score, if that is more than what is known. Of equal
+sums the longer last piece stays. What a piece scores depends on the model:
 
-- scores (unigram models): the greatest sum of piece scores; of equal sums the one with the longer last piece.
-- merges (the default, for models of merges as piece_bpe_32k is): only paths on which merging would give every two neighbouring
-  pieces back as they are have a finite score. Each place has exactly one, and the whole text's is what merging in
-  order of scores gives: the same ids as the library's. A sum of merge ranks would prefer rare splits of common words.
+- scores (unigram models): its score.
+- merges (the default, for models of merges as piece_bpe_32k is): its score after a neighbour that merging would leave beside it,
+  else minus infinity. Each place then has one finite path only, and the whole text's is what merging in
+  order of scores gives: the same ids as the library's. A plain sum of merge ranks would prefer rare splits of common words.
 
 A character without a piece becomes its bytes. Text is normalised as the model asks: a space in front, spaces as
 U+2581, nothing else. No piece crosses from another character to U+2581, and none holds a line feed, so texts are
-segmented unit by unit between such places; units are remembered in a table of at most MEMO entries a task.
+segmented unit by unit between such places; each different word of a slice of texts once, many are remembered.
 
-Defined results: null and empty texts have no ids and decode to an empty text. U+2581 in a text decodes to a space.
+Defined results: null and empty texts have no ids and decode to an empty text. U+2581 in a text decodes to a space. Repeated rows are each
+encoded. Columns named as results are replaced, others stay as they are. Empty tables give empty tables. Very long texts are
+held a few at a time; one text's ids are held whole.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
 from .common import small_batches, table
 
 MEMO = 300_000
@@ -67,7 +72,7 @@ class Pieces:
                 score = sp.get_score(i)
                 least = min(least, score)
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
-                self.automaton.add_word(piece, (len(piece), score, i))
+                self.automaton.add_word(piece, (len(piece), score, i, piece))
                 if len(piece) == 1:
                     self.single[piece] = (i, score)
                 crossing |= re.search(f"[^{SPACE}]{SPACE}", piece) is not None
@@ -75,14 +80,9 @@ class Pieces:
         self.automaton.make_automaton()
         self.unknown = least - UNKNOWN_PENALTY
         self.units = None if crossing else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if feed else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.memo: dict[str, bytes] = {}
-        self.score = {p: s for p, (_, s, _) in self.automaton.items()}
-        self.fits: dict[str, dict[str, bool]] = {}
-        self.matches = ahocorasick.Automaton()
-        for p, (size, _, i) in self.automaton.items():
-            self.matches.add_word(p, (size, i, p))
-        self.matches.make_automaton()
-        self.best = self.best_by_scores if order == "scores" else self.best_by_merges
+        self.score = {p: s for p, (_, s, _, _) in self.automaton.items()}
+        self.fits: dict[str, dict[str, bool]] | None = {} if order == "merges" else None
+        self.known = words.Memo(self._of_units)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: the neighbours with the best joint piece first, of equal ones the leftmost."""
@@ -102,95 +102,72 @@ class Pieces:
         """Whether merging leaves a and b (or b alone, if a is empty) as two pieces."""
         return self.merged(a + b) == ([a, b] if a else [b])
 
-    def best_by_merges(self, text: str) -> list[int]:
-        n = len(text)
-        last: list = [""] + [None] * n  # the piece that ends at each place
-        ids: list = [None] * (n + 1)
-        if len(self.fits) > MEMO // 10:
+    def best(self, text: str) -> list[int]:
+        """Ids of the best segmentation of normalised text."""
+        score: list = [0.0] + [None] * len(text)
+        back: list = [None] * (len(text) + 1)  # id and text of the last piece
+        strange = [i for i, c in enumerate(text) if c not in self.single]
+        done = 0
+        if self.fits is not None and len(self.fits) > MEMO // 10:
             self.fits.clear()
-        for end, (size, piece, name) in self.matches.iter(text):
-            end += 1
-            if last[end] is None:
-                before = last[end - size]
-                if before is None:  # no piece ends there: the character itself, to become bytes
-                    before = last[end - size] = text[end - size - 1]
-                row = self.fits.get(before)
-                if row is None:
-                    row = self.fits[before] = {}
-                fit = row.get(name)
-                if fit is None:
-                    fit = row[name] = self._fit(before, name)
-                if fit:
-                    last[end], ids[end] = name, piece
-        out, at = [], n
-        while at:
-            if ids[at] is None:
-                out += [self.byte_id[b] for b in reversed(text[at - 1].encode("utf-8", "replace"))]
-                at -= 1
-            else:
-                out.append(ids[at])
-                at -= len(last[at])
-        out.reverse()
-        return out
-
-    def best_by_scores(self, text: str) -> list[int]:
-        """Ids of the segmentation of normalised text with the greatest sum of scores."""
-        n = len(text)
-        score = [0.0] + [None] * n
-        back: list = [None] * (n + 1)
-        known = all(c in self.single for c in text)
-        done = 0  # places up to here have had their chance of an unknown character
-        for last, (size, gain, piece) in self.automaton.iter(text):
+        for last, (size, gain, piece, name) in self.automaton.iter(text):
+            while done < len(strange) and strange[done] < last:
+                self._take_strange(text, strange[done], score, back)
+                done += 1
             end = last + 1
-            if not known:
-                while done < last:
-                    done += 1
-                    self._fall_back(text, done, score, back)
             before = score[end - size]
-            if before is not None:
-                total = before + gain
-                if score[end] is None or total > score[end]:
-                    score[end], back[end] = total, (size, piece)
-        while not known and done < n:
+            if before is None:
+                continue
+            now, total = score[end], before + gain
+            if (now is None or total > now) and (self.fits is None or self._beside(back[end - size], name)):
+                score[end], back[end] = total, (piece, name)
+        while done < len(strange):
+            self._take_strange(text, strange[done], score, back)
             done += 1
-            self._fall_back(text, done, score, back)
-        ids, at = [], n
+        out, at = [], len(text)
         while at:
-            size, piece = back[at]
+            piece, name = back[at]
             if piece is None:
-                ids += [self.byte_id[b] for b in reversed(text[at - 1].encode("utf-8", "replace"))]
+                out += [self.byte_id[b] for b in reversed(name.encode("utf-8", "replace"))]
             else:
-                ids.append(piece)
-            at -= size
-        ids.reverse()
-        return ids
-
-    def _fall_back(self, text: str, end: int, score: list, back: list) -> None:
-        if text[end - 1] not in self.single and score[end - 1] is not None:
-            total = score[end - 1] + self.unknown
-            if score[end] is None or total > score[end]:
-                score[end], back[end] = total, (1, None)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        text = SPACE + text.replace(" ", SPACE)
-        if self.units is None:
-            return array("I", self.best(text)).tobytes()
-        units, memo = self.units.findall(text), self.memo
-        new = set(units).difference(memo)
-        for u in new:
-            memo[u] = array("I", self.best(u)).tobytes()
-        out = b"".join([memo[u] for u in units])
-        if len(memo) > MEMO:
-            memo.clear()
-        else:
-            for u in new:
-                if len(u) > 64:
-                    del memo[u]
+                out.append(piece)
+            at -= len(name)
+        out.reverse()
         return out
 
+    def _take_strange(self, text: str, at: int, score: list, back: list) -> None:
+        """Relaxes the place after a character without a piece."""
+        if score[at] is not None:
+            score[at + 1], back[at + 1] = score[at] + self.unknown, (None, text[at])
+
+    def _beside(self, back: tuple | None, name: str) -> bool:
+        """Whether merging leaves a piece beside the one before, if there is one."""
+        before = back[1] if back else ""
+        row = self.fits.get(before)
+        if row is None:
+            row = self.fits[before] = {}
+        fit = row.get(name)
+        if fit is None:
+            fit = row[name] = self._fit(before, name)
+        return fit
+
+    def _of_units(self, units: list[str]) -> list[bytes]:
+        """Ids of words with their space in front."""
+        return [array("I", [i for u in self.units.findall(w.replace(" ", SPACE)) for i in self.best(u)]).tobytes() for w in units]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = [(SPACE + t.replace(" ", SPACE)) if t else "" for t in texts]
+        units = [self.units.findall(t) if self.units else [t] * bool(t) for t in found]
+        ids = {u: array("I", self.best(u)).tobytes() for u in {u for us in units for u in us}}
+        return [b"".join([ids[u] for u in us]) for us in units]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # Where a space does not begin a unit: at the start, after another one, beside U+2581.
+        unclear = pc.match_substring_regex(texts, f"^$|^ |  |{SPACE}") if self.units else pa.array([True] * len(texts))
+        return words.encoded(texts, unclear, self._whole, self.known, " ")
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
@@ -214,8 +191,8 @@ def encode(docs: DataFrame, model: str | None = None, order: str = "merges") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path, order)
-        for batch in small_batches(batches):
-            found = [pieces.encode(t) for t in batch.column(place).to_pylist()]
+        for batch in small_batches(batches, 4096, place, 4 << 20):
+            found = pieces.encode(batch.column(place))
             ends = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
             more = [ids, pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(f) for f in found], pa.int64())]
@@ -233,7 +210,7 @@ def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4096, place):
             texts = [pieces.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
