@@ -10,7 +10,8 @@ system, user, assistant and tool are written as `=name`. The loss mask is a list
 assistant text.
 
 Defined results: a null text or role is as an empty one. A parent that does not exist makes its child a root; messages on a cycle
-have no leaf and so no path. Rows without a tree are one more tree. Of equal path scores the path with the least leaf comes first.
+have no path, nor have leaves below one. Rows without a tree are one more tree. Repeated rows of one message (tree, node) each appear where
+it does. Empty tables give no paths. Only the named columns are read. A conversation is held whole by one task, with its texts. Of equal path scores the path with the least leaf comes first.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, let, running, table
 
 END = "</turn>\n"
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
@@ -59,30 +60,33 @@ def paths(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
 
     messages: tree, node, parent, score. best: paths a tree, or None for all.
     """
-    links = messages.select("tree", "node", "parent")
+    links = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("s"))
     nodes = links.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    up = cut(links.join(nodes, same("tree", "t") & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("above")))
-    depth = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    parents = up.filter("above IS NOT NULL").select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
-    on = up.join(parents, same("tree", "t") & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
-    # Jumps of 1, 2, 4 ...; each one doubles what a leaf has collected.
+    every = cut(links.join(nodes, same("tree", "t") & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("above"), "s"))
+    up = every.filter("above IS NOT NULL").select("tree", "node", "above")
+    parents = up.select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
+    on = every.join(parents, same("tree", "t") & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
+    most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
+    # Jumps of 1, 2, 4 ...; each one doubles what a leaf has collected, until no message has an ancestor so far up.
     reach = 1
-    while reach < depth:
-        jump = up.filter("above IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
+    while reach < most and not up.isEmpty():
+        jump = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
         further = on.join(jump, same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
         on = cut(on.unionByName(further))  # else the plan would double each round
         reach *= 2
-        if reach < depth:
-            up = cut(up.filter("above IS NOT NULL").join(jump.select("t", "n", F.col("above").alias("next")), same("tree", "t") & (F.col("above") == F.col("n"))).select("tree", "node", F.col("next").alias("above")))
-    scores = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("score", F.lit(0.0)).alias("s"))
+        if reach < most:
+            up = cut(up.join(jump.select("t", "n", F.col("above").alias("next")), same("tree", "t") & (F.col("above") == F.col("n"))).select("tree", "node", F.col("next").alias("above")))
+    scores = every.select(F.col("tree").alias("t"), F.col("node").alias("n"), "s", F.col("above").isNull().alias("root"))
     scored = on.join(scores, same("tree", "t") & (F.col("node") == F.col("n"))).drop("t", "n")
-    total = scored.groupBy("tree", "leaf").agg(F.sum("s").alias("score"), F.max("up").alias("top"))
+    # Summed in the order of the path, so that ties are the same in every run.
+    inward = F.transform(F.array_sort(F.collect_list(F.struct("up", "s"))), lambda x: x["s"])
+    total = scored.groupBy("tree", "leaf").agg(F.aggregate(inward, F.lit(0.0), lambda a, x: a + x).alias("score"), F.bool_or("root").alias("whole")).filter("whole").drop("whole")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
     ranked = total.withColumn("rank", F.row_number().over(order))
     ranked = ranked.filter(F.col("rank") <= best) if best else ranked
     chosen = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "rank", "score")
-    return scored.drop("s").join(chosen, same("tree", "t") & (F.col("leaf") == F.col("l"))).drop("t", "l")
+    return scored.drop("s", "root").join(chosen, same("tree", "t") & (F.col("leaf") == F.col("l"))).drop("t", "l")
 
 
 def conversations(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
@@ -94,17 +98,14 @@ def conversations(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
     found = paths(messages, best=best).join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     turn = F.struct((-F.col("up")).alias("place"), "role", header(F.col("role")).alias("head"), escape(F.col("text")).alias("body"))
     turns = found.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    empty = F.expr("CAST(array() AS array<struct<start: int, end: int>>)")
+    ends = running(F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END)))
 
-    def step(state, t):
-        start = state["at"] + F.length(t["head"])
-        end = start + F.length(t["body"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(
-            (end + len(END)).alias("at"), F.when(t["role"] == "assistant", F.concat(state["loss"], span)).otherwise(state["loss"]).alias("loss")
-        )
+    def spans(es):
+        end = lambda i: F.get(es, i) - len(END)
+        said = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", F.struct((end(i) - F.length(t["body"])).alias("start"), end(i).alias("end"))))
+        return F.filter(said, lambda x: x.isNotNull())
 
-    loss = F.aggregate("turns", F.struct(F.lit(0).alias("at"), empty.alias("loss")), step, lambda s: s["loss"])
+    loss = let(ends, spans)
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
     return turns.select("tree", "leaf", "rank", "score", text.alias("formatted"), loss.alias("loss"))
 

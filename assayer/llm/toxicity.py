@@ -5,11 +5,16 @@ one of its ends is hashed to a row of an embedding table, so a misspelt word sha
 bag of a window of WINDOW words is the mean of its rows; a linear softmax turns it into two classes. A document's
 logit is that of its most toxic window, wherever it is, so a few words count in a text of any length.
 
-Training sees at most TRAIN_ROWS labelled texts of each class, of at most TRAIN_CHARS characters, those with the least hashed ids;
-rows held out (see `held_out`) never. First whole texts as bags, then the window that scores highest in each text. A scale and offset, fitted on
-a quarter of the sample, make 0.5 the point where both labels are equally likely.
+Training sees at most TRAIN_ROWS labelled documents of each class, those with the least hashed ids, and of a text over TRAIN_CHARS
+characters PIECES parts spread over it, with as many characters together; rows held out (see `held_out`) never. First whole texts as
+bags, then the window that scores highest in each text. A scale and offset, fitted on a quarter of the sample, make 0.5 the point
+where both labels are equally likely.
 
-Defined results: null and empty texts have the logit of an empty bag. Without labelled rows of both classes every score is 0.
+Row weights are whole multiples of 2**-FRACTION, so sums are exact: a score does not depend on the rows beside it.
+
+Defined results: null and empty texts have the logit of an empty bag. Without labelled rows of both classes every score is 0, as in
+empty tables of labels. Documents labelled both ways are not learned from; of a repeated id the least text is. Repeated rows get equal
+scores. Long texts are scored in parts that share a word, so that all their windows count; only doc_id and text are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -27,7 +32,10 @@ from .common import held_out, small_batches, table
 BITS, DIM = 16, 8
 SIZES = (3, 4, 5)
 WINDOW = 2
-TRAIN_ROWS, TRAIN_CHARS = 1_000, 10_000
+TRAIN_ROWS, TRAIN_CHARS, PIECES = 1_000, 10_000, 10
+#: Characters of a text that are scored at a time.
+PART = 1 << 18
+FRACTION = 24
 _KEEP = np.full(256, 32, np.uint8)
 for _c in range(256):
     if _c >= 128 or chr(_c).isalnum():
@@ -59,6 +67,23 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(space[:-1] & ~space[1:])
 
 
+def parts(text: str | None) -> Iterator[str]:
+    """A text in parts of about PART characters, cut at spaces, each beginning with the last WINDOW - 1 words of the one before or more."""
+    text = text or ""
+    start = 0
+    while len(text) - start > PART:
+        cut = text.find(" ", start + PART)
+        if cut < 0:
+            break
+        yield text[start:cut]
+        start = cut
+        for _ in range(WINDOW - 1):
+            while start > 0 and not text[start - 1].isalnum():
+                start -= 1
+            start = text.rfind(" ", 0, start) + 1
+    yield text[start:]
+
+
 @dataclass
 class Model:
     table: np.ndarray  # rows x DIM
@@ -74,28 +99,31 @@ class Model:
     def windows(self, texts: list[str | None]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
         """For each text the logit of its best window and that window's range of places; the bytes that places refer to."""
         row, base = self.weights()
+        row = np.round(row * (1 << FRACTION)).astype(np.int64)
         data, at = _bytes(texts)
-        total, count = np.zeros(len(data)), np.zeros(len(data))
+        total, count = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
         for there, rows in _rows(data):
-            total[: len(rows)] += np.where(there, row[rows], 0)
-            count[: len(rows)] += there
+            total[1 : len(rows) + 1] += np.where(there, row[rows], 0)
+            count[1 : len(rows) + 1] += there
+        np.cumsum(total, out=total)
+        np.cumsum(count, out=count)
         first = _words(data)
         ends = np.append(first[1:], len(data))
-        sums = np.concatenate(([0], np.cumsum(np.concatenate(([0], np.cumsum(total)))[ends] - np.concatenate(([0], np.cumsum(total)))[first])))
-        counts = np.concatenate(([0], np.cumsum(np.concatenate(([0], np.cumsum(count)))[ends] - np.concatenate(([0], np.cumsum(count)))[first])))
         bound = np.searchsorted(first, at)
         logits, ranges = np.full(len(texts), base), [(0, 0)] * len(texts)
         for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
             if b > a:
                 w = min(WINDOW, b - a)
-                means = (sums[a + w : b + 1] - sums[a : b + 1 - w]) / np.maximum(counts[a + w : b + 1] - counts[a : b + 1 - w], 1)
+                begin, end = first[a : b + 1 - w], ends[a + w - 1 : b]
+                means = (total[end] - total[begin]) / (np.maximum(count[end] - count[begin], 1) << FRACTION)
                 k = int(means.argmax())
                 logits[i] = means[k] + base
                 ranges[i] = (int(first[a + k]), int(ends[a + k + w - 1]))
         return logits, ranges, data
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.clip(self.scale * self.windows(texts)[0] + self.shift, -30, 30)
+        logits = np.array([max(self.windows([p])[0][0] for p in parts(t)) for t in texts]) if any(len(t or "") > PART for t in texts) else self.windows(texts)[0]
+        x = np.clip(self.scale * logits + self.shift, -30, 30)
         return 1 / (1 + np.exp(-x))
 
 
@@ -156,11 +184,15 @@ def train(texts: list[str], labels: list[int], *, seed: int = 7, whole_rounds: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | None:
-    """A model of at most `rows` texts of each label (doc_id, toxic), none held out."""
-    known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]).filter(~held_out())
+    """A model of at most `rows` documents of each label (doc_id, toxic), none held out."""
+    known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("_most"))
+    known = known.filter("toxic = _most").filter(~held_out()).select("doc_id", "toxic")
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    found = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").filter(F.length("text") <= chars)
-    sample = found.select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * rows).collect()
+    size = F.lit(chars // PIECES)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring("text", (k * (F.length("text") - size) / (PIECES - 1)).cast("int") + 1, size))
+    text = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.array_join(spread, " "))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * rows ids
+    sample = found.filter("text IS NOT NULL").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return train([r.text for r in sample], [r.toxic for r in sample])
 
 
@@ -168,7 +200,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score (0 to 1) of every row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 256):
+        for batch in small_batches(batches, 256, 1):
             texts = batch.column("text").to_pylist()
             scores = model.score(texts) if model else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])

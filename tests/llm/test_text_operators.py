@@ -1,9 +1,11 @@
 import hashlib
+import math
 import random
 import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from assayer.llm import chat, decontam, pii, secret_scan, sptok
 from pyspark.sql import functions as F
@@ -63,6 +65,52 @@ def test_secrets(spark, sf, documents, edges, empty):
     assert secret_scan.scan(edges).count() == edges.count() and secret_scan.scan(empty).count() == 0
 
 
+def test_secrets_of_many_matches(spark):
+    """Some thousand matches in one text, at their places."""
+    text = "0123456789abcdef01234567 ok " * 4000
+    r = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in r.spans if s.kind == 2] == [(28 * k, 28 * k + 24) for k in range(4000)]
+
+
+def test_random_secrets_against_plain_models(spark):
+    """Spans of kind random equal those of models counted and compared token by token."""
+    rnd = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    token = lambda n: "".join(rnd.choices(letters, k=n))
+    word = lambda: "".join(rnd.choices(["get", "set", "Item", "value", "_of", "list", "count2", "index"], k=rnd.randint(1, 6)))
+    texts = [" ".join([word(), word(), f"token={token(24)}", word(), token(rnd.randint(10, 40)) if k % 6 == 0 else word(), word() + word() + word() + "7"]) for k in range(240)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=0.0).collect()}
+    base = re.compile(r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}""", re.A)
+    count = [{}, {}]
+
+    def cells(t):
+        return list(zip(["", *t], t, strict=False))
+
+    masked = []
+    for t in texts:
+        for m in base.finditer(t):
+            for c in cells(m[1] or m[0]):
+                count[0][c] = count[0].get(c, 0) + 1
+        masked.append(base.sub(lambda m: "\x02" * len(m[0]), t))
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{3,}", masked[-1]):
+            for c in cells(m[0]):
+                count[1][c] = count[1].get(c, 0) + 1
+    totals = [{}, {}]
+    for k in (0, 1):
+        for (a, _), n in count[k].items():
+            totals[k][a] = totals[k].get(a, 0) + n
+    chance = lambda k, c: math.log((count[k].get(c, 0) + 1) / (totals[k].get(c[0], 0) + secret_scan.ALPHABET))
+    for i, t in enumerate(masked):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % secret_scan.TOKEN_CHARS, t):
+            ratio = sum(chance(0, c) - chance(1, c) for c in cells(m[0])) / len(m[0])
+            assert abs(ratio) > 1e-9
+            if re.search("[0-9]", m[0]) and ratio >= 0:
+                want.append((m.start(), m.end()))
+        assert got[i] == want, t
+    assert 5 < sum(map(len, got.values())) < len(texts)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return sptok.Pieces(sptok.model_path())
@@ -74,30 +122,41 @@ def test_sentencepiece_equals_library(pieces, documents):
     sp, rnd = sentencepiece.SentencePieceProcessor(model_file=sptok.model_path()), random.Random(3)
     parts = ["the", " ", "a", " of", "ing", "é", "ß", "\n", "x", "er", "  ", "日", "T", "ion", "=", "==", "...", "12", "②"]
     texts = [*documents.text[:100], "", " ", "   x ", "\n\n\n a", "x" * 300, "\0 ab", *("".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(3000))]
-    for t in texts:
-        ids = np.frombuffer(pieces.encode(t), "<u4").tolist()
+    for t, found in zip(texts, pieces.encode(pa.array(texts)), strict=True):
+        ids = np.frombuffer(found, "<u4").tolist()
         assert ids == sp.encode(t), t[:60]
         assert pieces.decode(ids) == t
 
 
-def test_best_scores_against_all_segmentations(pieces):
-    rnd = random.Random(4)
+def segmentations(pieces, text):
+    """All ways to cut a text into pieces, characters without one as themselves."""
+    if not text:
+        yield []
+    for end in range(1, len(text) + 1):
+        if text[:end] in pieces.score or (end == 1 and text[0] not in pieces.single):
+            for rest in segmentations(pieces, text[end:]):
+                yield [text[:end], *rest]
+
+
+@pytest.mark.parametrize("order", ["scores", "merges"])
+def test_best_against_all_segmentations(order):
+    pieces, rnd = sptok.Pieces(sptok.model_path(), order), random.Random(4)
     for _ in range(300):
-        t = "".join(rnd.choices(["▁", "the", "a", "of", "in", "er", "日"], k=rnd.randint(1, 5)))
-        best = {0: 0.0}
-        for end in range(1, len(t) + 1):
-            options = [best[s] + pieces.score[t[s:end]] for s in range(end) if t[s:end] in pieces.score]
-            if t[end - 1] not in pieces.single:
-                options.append(best[end - 1] + pieces.unknown)
-            best[end] = max(options)
-        ids = pieces.best_by_scores(t)
-        total, i = 0.0, 0
-        while i < len(ids):
-            if ids[i] in pieces.byte_id:
-                total, i = total + pieces.unknown, i + 3
+        t = "".join(rnd.choices(["▁", "the", "a", "of", "in", "er", "日", "s"], k=rnd.randint(1, 5)))
+
+        def worth(parts):
+            fit = order == "scores" or all(pieces.merged(a + b) == [a, b] for a, b in zip(parts, parts[1:], strict=False)) and pieces.merged(parts[0]) == [parts[0]]
+            return sum(pieces.score.get(p, pieces.unknown) for p in parts) if fit else -math.inf
+
+        every = sorted(((worth(p), p) for p in segmentations(pieces, t)), key=lambda x: -x[0])
+        ids, parts = pieces.best(t), []
+        while ids:
+            if ids[0] in pieces.byte_id:  # three bytes of a character
+                parts, ids = [*parts, b"".join(pieces.bytes_of[i] for i in ids[:3]).decode()], ids[3:]
             else:
-                total, i = total + pieces.score[pieces.bytes_of[ids[i]].decode().replace(" ", "▁")], i + 1
-        assert total == best[len(t)]
+                parts, ids = [*parts, pieces.bytes_of[ids[0]].decode().replace(" ", "▁")], ids[1:]
+        assert worth(parts) == every[0][0] and "".join(parts) == t
+        assert order == "scores" or len(every) == 1 or every[1][0] == -math.inf
 
 
 def test_sentencepiece_edges(edges, empty):
@@ -227,7 +286,7 @@ def test_aligner_against_plain_distances():
 def test_chat_trees(spark):
     rows = [
         ("t", 1, None, "user", "root", 0.0), ("t", 2, 1, "assistant", "bad", 1.0), ("t", 3, 1, "assistant", "good", 2.0), ("t", 4, 3, "user", "more", 0.5),
-        ("t", 5, 4, "assistant", "end", 0.0), ("t", 6, 4, "assistant", "tie", 0.0), ("c", 1, 2, "user", "cycle", 0.0), ("c", 2, 1, "user", "cycle", 0.0),
+        ("t", 5, 4, "assistant", "end", 0.0), ("t", 6, 4, "assistant", "tie", 0.0), ("c", 1, 2, "user", "cycle", 0.0), ("c", 2, 1, "user", "cycle", 0.0), ("c", 3, 1, "user", "below a cycle", 0.0),
         (None, 1, 99, None, None, None),
     ]
     m = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
@@ -237,6 +296,14 @@ def test_chat_trees(spark):
     assert {r.leaf for r in chat.conversations(m, best=None).collect()} == {2, 5, 6, 1}
 
 
+def test_chat_bushy_tree(spark):
+    """Rounds follow the depth: a tree of many replies to one message has two."""
+    rows = [("b", 0, None, "user", "root", 0.0)] + [("b", i, 0, "assistant", f"r{i}", i / 7) for i in range(1, 400)]
+    m = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    got = chat.conversations(m, best=3).orderBy("rank").collect()
+    assert [r.leaf for r in got] == [399, 398, 397] and got[0].formatted == "### User: root</turn>\n### Assistant: r399</turn>\n"
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "\\h\\\\t", "####", "</turn></turn>\n", "", None, "a: b\\", "\\\\###\\"]
     roles = ["user", "assistant", "system", "tool", "Od:d ###", "", None, "=x"]
