@@ -11,6 +11,12 @@ def verified(keys: DataFrame, raw: DataFrame) -> DataFrame:
     return keys.filter("revoked_at IS NULL").join(raw.select(F.sha2("raw", 256).alias("key_hash")).distinct(), "key_hash")
 
 
+def issued(requests: DataFrame) -> DataFrame:
+    """Rows of the table of keys for requests (raw, name, scopes, rate_limit): the hash is kept, never the key; to be appended. Defaults where scopes or rate are null."""
+    key = F.sha2("raw", 256)
+    return requests.select(F.substring(F.sha2(F.concat_ws("\u0001", "name", key), 256), 1, 32).alias("id"), key.alias("key_hash"), "name", F.coalesce("scopes", F.array(F.lit("submit"), F.lit("read"))).alias("scopes"), F.coalesce("rate_limit", F.lit(60)).alias("rate_limit"), F.lit(None).cast("timestamp").alias("revoked_at"))
+
+
 def allowed(scopes: Column, scope: str) -> Column:
     return F.array_contains(scopes, scope)
 

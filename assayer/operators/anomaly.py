@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions import paths
+from assayer.operators import patterns as P
+
 MIN_PEERS, HIGH_SCORE = 3, 0.7
 
 
+def eligible(path: Column) -> Column:
+    """Whether a file is in a language that the capabilities describe."""
+    return paths.extension(path).isin(*P.ANOMALY_EXTENSIONS)
+
+
 def directory_anomalies(tags: DataFrame, *, min_peers: int = MIN_PEERS) -> DataFrame:
     """Score of each file that has a capability that is unusual in its directory.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,24 @@ def case_rates(results: DataFrame) -> DataFrame:
     return r.withColumns(rates)
 
 
+def selected(cases: DataFrame, *order: str, kind: str | None = None, most: int | None = None) -> DataFrame:
+    """Cases (format, …) of one format, if named, and the first `most` of them in `order`."""
+    kept = cases.filter(F.col("format") == kind) if kind else cases
+    return kept.orderBy(*order).limit(most) if most else kept
+
+
+def report(counts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(place, value): lines of a report on a row of `confusion` and on verdicts (verdict), in order of place."""
+    share = lambda name, c: F.format_string(f"- **{name}**: %.2f%%", F.col(c) * 100)
+    cells = F.array(
+        F.lit("# Evaluation"), share("Accuracy", "accuracy"), share("Precision", "precision"), share("Recall", "recall"), share("F1 Score", "f1"),
+        F.format_string("Actual MAL %5d %5d", "tp", "fn"), F.format_string("Actual BEN %5d %5d", "fp", "tn"), F.lit("## Verdicts"),
+    )
+    head = counts.select(F.posexplode(cells).alias("place", "value")).select(F.col("place").cast("long"), "value")
+    each = verdicts.groupBy("verdict").agg(F.count("*").alias("n")).select((F.lit(100).cast("long") + F.dense_rank().over(Window.orderBy("verdict"))).alias("place"), F.format_string("- %s: %d", "verdict", "n").alias("value"))
+    return head.unionByName(each)
+
+
 def markdown(rows: DataFrame) -> DataFrame:
     """Each row of a small report as a line of a markdown table (value)."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns]), F.lit(" |")).alias("value"))

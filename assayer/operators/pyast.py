@@ -164,7 +164,7 @@ def trees(files: DataFrame) -> DataFrame:
                     rows.append((path, False, [], []))
             yield pd.DataFrame(rows, columns=["path", "parses", "flags", "folded"])
 
-    python = files.filter(F.lower("path").endswith(".py")).select("path", "content")
+    python = files.filter(F.lower("path").endswith(".py")).select("path", "content").dropDuplicates(["path"])
     return python.mapInPandas(run, "path string, parses boolean, flags array<string>, folded array<string>")
 
 
@@ -188,24 +188,27 @@ def text_flags(content: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in flags]))
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """(path, capabilities, exec_of_unknown) of each file: by syntax tree for Python that parses, by text for all else."""
-    t = trees(files).filter("parses").select("path", "flags")
+def fingerprints(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """(path, capabilities, exec_of_unknown) of each file: by syntax tree for Python that parses, by text for all else.
+
+    parsed: the `trees` of the files, where they are at hand already (as for the two functions below).
+    """
+    t = (trees(files) if parsed is None else parsed).filter("parses").select("path", "flags")
     j = files.select("path", text_flags(F.coalesce("content", F.lit(""))).alias("by_text")).join(t, "path", "left")
     flags = F.array_sort(F.coalesce("flags", "by_text"))
     return j.select("path", F.array_remove(flags, "exec_of_unknown").alias("capabilities"), F.array_contains(flags, "exec_of_unknown").alias("exec_of_unknown"))
 
 
-def with_folded(files: DataFrame) -> DataFrame:
+def with_folded(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Files with what their trees fold to appended to the content, so that text patterns see it."""
-    t = trees(files).filter(F.size("folded") > 0).select("path", "folded")
+    t = (trees(files) if parsed is None else parsed).filter(F.size("folded") > 0).select("path", "folded")
     more = F.concat(F.lit("\n"), F.array_join(F.transform("folded", lambda s: F.concat(F.lit('__folded = "'), s, F.lit('"'))), "\n"))
     return files.join(t, "path", "left").withColumn("content", F.when(F.col("folded").isNotNull(), F.concat("content", more)).otherwise(F.col("content"))).drop("folded")
 
 
-def folded_findings(files: DataFrame) -> DataFrame:
+def folded_findings(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """(path, source, category, severity, hits) for each file that folds to some string."""
-    t = trees(files).filter(F.size("folded") > 0)
+    t = (trees(files) if parsed is None else parsed).filter(F.size("folded") > 0)
     return t.select("path", F.lit("ast-resolver").alias("source"), F.lit("ast:resolved_obfuscation").alias("category"), F.lit("medium").alias("severity"), F.size("folded").alias("hits"))
 
 

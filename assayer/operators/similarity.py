@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_WEIGHT, FUNCTION_WEIGHT, MATCHED_BELOW, REGIONS = 0.6, 0.4, 0.2, 10
+BROADCAST_ELEMENTS = 500_000
 
 
 def candidates(artifacts: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -55,14 +56,16 @@ def build(artifacts: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def nearest_by_elements(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each id of `left` (id, element) the `right` id whose element set is nearest in Jaccard distance, of those that share an element.
+    """For each id of `left` (id, elements) the `right` id whose element set is nearest in Jaccard distance, of those that share an element.
 
-    An equi-join on elements and counts: what a nested comparison would find, without pairs that share nothing. Ties go to the
-    smallest right id. Result: id, nearest, distance.
+    An equi-join on elements and counts: what a nested comparison would find, without pairs that share nothing. Elements of `right` are
+    broadcast while there are at most BROADCAST_ELEMENTS (counted); elements of `left` are then never shuffled, only counts of pairs, summed
+    first. Ties go to the smallest right id. Ids without elements have no row. Result: id, nearest, distance.
     """
-    a, b = left.distinct(), right.select(F.col("id").alias("other"), "element").distinct()
-    sizes_a, sizes_b = a.groupBy("id").agg(F.count("*").alias("na")), b.groupBy("other").agg(F.count("*").alias("nb"))
-    shared = a.join(b, "element").groupBy("id", "other").agg(F.count("*").alias("n"))
-    j = shared.join(sizes_a, "id").join(sizes_b, "other")
+    sets = lambda rows, name: rows.select(F.col("id").alias(name), F.array_distinct("elements").alias("e"))
+    b = sets(right, "other").select("other", F.size("e").alias("nb"), F.explode("e").alias("element"))
+    a = sets(left, "id").select("id", F.size("e").alias("na"), F.explode("e").alias("element"))
+    few = b.limit(BROADCAST_ELEMENTS + 1).count() <= BROADCAST_ELEMENTS
+    j = a.join(F.broadcast(b) if few else b, "element").groupBy("id", "other", "na", "nb").agg(F.count("*").alias("n"))
     j = j.withColumn("distance", F.round(1.0 - F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6))
     return j.groupBy("id").agg(F.min_by("other", F.struct("distance", "other")).alias("nearest"), F.min("distance").alias("distance"))

@@ -347,8 +347,9 @@ _SHINGLES = "SELECT DISTINCT {id} AS id, list_aggregate(w[i : i + 2], 'string_ag
 )
 def baseline_nearest(spark, sf_dir):
     def shingles(name, key):
-        w = table(spark, sf_dir, name).select(F.col(key).alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w")).filter(F.size("w") >= 3)
-        return w.select("id", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 2).alias("a"), F.slice("w", 2, F.size("w") - 2).alias("b"), F.slice("w", 3, F.size("w") - 2).alias("c"))).alias("t")).select("id", F.concat_ws(" ", "t.a", "t.b", "t.c").alias("element"))
+        w = spread(table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")).select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
+        three = lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2))
+        return w.select("id", F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), three).alias("elements"))
 
     found = similarity.nearest_by_elements(shingles("documents", "doc_id"), shingles("benchmark", "item_id"))
     return found.select(F.col("id").alias("doc_id"), F.col("nearest").alias("item_id"), "distance")

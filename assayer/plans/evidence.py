@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import binary, paths
-from assayer.operators import access, artifacts, dependencies, graph, metrics, pyast, rank, repository, responses, rules, similarity, verdict
+from assayer.operators import access, anomaly, artifacts, dependencies, graph, metrics, pyast, rank, repository, responses, rules, similarity, verdict
 from assayer.operators import patterns as P
 from assayer.plans.catalog import FINDINGS_SQL, findings, query, sample_files, spread, table
 from assayer.sources import archive, files, reports, tables
@@ -639,3 +639,36 @@ def set_operations(spark, sf_dir):
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
 def keyed_lookup(spark, sf_dir):
     return tables.lookup(table(spark, sf_dir, "orders"), "o_orderpriority", "1-URGENT").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, k IN (0, 1, 2) AS eligible FROM (SELECT p_partkey, p_size % 5 AS k FROM part)")
+def anomaly_languages(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, ("a.py", "b.TSX", "x/c.mjs", "d.go", "py"))), F.col("p_size") % 5)
+    return table(spark, sf_dir, "part").select("p_partkey", anomaly.eligible(name).alias("eligible"))
+
+
+@query("SELECT sha256(c_name) AS key_hash, CAST(c_custkey AS VARCHAR) AS name, CASE WHEN c_nationkey > 3 THEN [lower(c_mktsegment)] ELSE ['submit', 'read'] END AS scopes, CASE WHEN c_nationkey > 3 THEN c_nationkey ELSE 60 END AS rate_limit FROM customer")
+def issued_keys(spark, sf_dir):
+    own = F.col("c_nationkey") > 3
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("raw"), _text("c_custkey").alias("name"), F.when(own, F.array(F.lower("c_mktsegment"))).alias("scopes"), F.when(own, F.col("c_nationkey")).alias("rate_limit"))
+    return access.issued(c).select("key_hash", "name", "scopes", "rate_limit")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def selected_cases(spark, sf_dir):
+    """The 25 dearest finished orders, as the first cases of one format."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("format"), (-F.col("o_totalprice")).alias("_p"))
+    return metrics.selected(o, "_p", "o_orderkey", kind="F", most=25).select("o_orderkey")
+
+
+@query(
+    """WITH c AS (SELECT count(*) FILTER (q = 0 AND t = 1) AS tp, count(*) FILTER (q <> 0 AND t = 1) AS fp, count(*) FILTER (q <> 0 AND t <> 1) AS tn, count(*) FILTER (q = 0 AND t <> 1) AS fn FROM (SELECT quality AS q, toxic AS t FROM labels)),
+       r AS (SELECT *, round((tp + tn)::DOUBLE / (tp + fp + tn + fn), 4) AS a, CASE WHEN tp + fp = 0 THEN 0 ELSE round(tp::DOUBLE / (tp + fp), 4) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE round(tp::DOUBLE / (tp + fn), 4) END AS r, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE round((2 * tp)::DOUBLE / (2 * tp + fp + fn), 4) END AS f FROM c)
+       SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7])::BIGINT AS place, unnest(['# Evaluation', printf('- **Accuracy**: %.2f%%', a * 100), printf('- **Precision**: %.2f%%', p * 100), printf('- **Recall**: %.2f%%', r * 100), printf('- **F1 Score**: %.2f%%', f * 100),
+         printf('Actual MAL %5d %5d', tp, fn), printf('Actual BEN %5d %5d', fp, tn), '## Verdicts']) AS value FROM r
+       UNION ALL SELECT 100 + row_number() OVER (ORDER BY v), '- ' || v || ': ' || n FROM (SELECT CASE WHEN toxic = 1 THEN 'malicious' ELSE 'clean' END AS v, count(*) AS n FROM labels GROUP BY 1)"""
+)
+def evaluation_report(spark, sf_dir):
+    l = table(spark, sf_dir, "labels")
+    counts = metrics.confusion(l.select((F.col("quality") == 0).alias("label"), (F.col("toxic") == 1).alias("verdict")))
+    return metrics.report(counts, l.select(F.when(F.col("toxic") == 1, "malicious").otherwise("clean").alias("verdict")))

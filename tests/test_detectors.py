@@ -116,3 +116,30 @@ def test_trees(spark):
     assert ("home.py", "unresolved:path_construction") in odd
     assert "sshx" in {r.path: r.content for r in pyast.with_folded(files).collect()}["fold.py"]
     assert [r.path for r in pyast.folded_findings(files).collect()] == ["fold.py"]
+
+
+def test_typosquats_against_plain_similarity(spark):
+    """The cheap bounds leave out no name that the plain comparison finds."""
+    import random
+    from difflib import SequenceMatcher
+
+    rnd, popular = random.Random(3), dependencies.P.POPULAR_PYTHON
+    names = {"".join(rnd.choices("reqnumpyfls", k=rnd.randint(1, 9))) for _ in range(300)} | {"", "Flask", "a" * 200}
+    for p in popular:
+        for _ in range(12):
+            t = list(p)
+            for _ in range(rnd.randint(1, 3)):
+                t[rnd.randrange(len(t))] = rnd.choice(["", "x", "e", "Z", t[0] * 2])
+            names.add("".join(t))
+
+    def plain(name):
+        for known in popular:
+            if name == known:
+                return None
+            if 0.75 < SequenceMatcher(None, name.lower(), known.lower()).ratio() < 1.0:
+                return known
+        return None
+
+    want = {(n, plain(n)) for n in names if plain(n)}
+    got = dependencies.typosquats(spark.createDataFrame([(n,) for n in names], "name string"), popular)
+    assert {(r.name, r.resembles) for r in got.collect()} == want and len(want) > 50
