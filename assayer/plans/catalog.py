@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.functions import binary, paths
+from assayer.functions import arrays, binary, paths
 from assayer.operators import anomaly, detectors, graph, metrics, rank, rules, similarity, verdict
 from assayer.operators import patterns as P
 from assayer.plans import samples
@@ -348,8 +348,8 @@ _SHINGLES = "SELECT DISTINCT {id} AS id, list_aggregate(w[i : i + 2], 'string_ag
 def baseline_nearest(spark, sf_dir):
     def shingles(name, key):
         w = spread(table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")).select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
-        three = lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2))
-        return w.select("id", F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), three).alias("elements"))
+        three = lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(ws, i + 1), F.get(ws, i + 2)))
+        return w.select("id", arrays.let(F.col("w"), three).alias("elements"))
 
     found = similarity.nearest_by_elements(shingles("documents", "doc_id"), shingles("benchmark", "item_id"))
     return found.select(F.col("id").alias("doc_id"), F.col("nearest").alias("item_id"), "distance")
