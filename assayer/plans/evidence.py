@@ -59,11 +59,11 @@ def _disassembled(spark, sf_dir):
 
 @query(
     f"""WITH {_LINES} SELECT l_orderkey AS artifact, ordinal, 'f' || l_linenumber AS symbol, lower(to_hex(l_partkey * 16)) AS start, lower(to_hex(l_partkey * 16 + CAST(l_quantity AS BIGINT))) AS "end",
-        l_discount > 0 AS decompiled, greatest(0.1, 0.9 - 0.02 * ordinal)::DOUBLE AS triage_score,
+        l_discount > 0 AS decompiled, round(greatest(0.1, 0.9 - 0.02 * ordinal), 4)::DOUBLE AS triage_score,
         sha256(CASE WHEN l_discount > 0 THEN 'return ' || l_partkey ELSE 'f' || l_linenumber || ':' || lower(to_hex(l_partkey * 16)) END) AS normalized_hash FROM lines"""
 )
 def report_functions(spark, sf_dir):
-    return _disassembled(spark, sf_dir).drop("size").withColumn("ordinal", F.col("ordinal").cast("long"))
+    return _disassembled(spark, sf_dir).drop("size").withColumns({"ordinal": F.col("ordinal").cast("long"), "triage_score": F.round("triage_score", 4)})
 
 
 @query(f"WITH {_LINES} SELECT l_orderkey AS artifact, 'f' || l_linenumber AS symbol, ordinal + 1 AS rank FROM lines WHERE ordinal < 3")
