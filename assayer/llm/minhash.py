@@ -1,20 +1,23 @@
 """MinHash near-duplicate groups by an LSH forest.
 
-1. Each text becomes the set of its hashed shingles and a MinHash signature; equal sets become one class.
+1. Each text becomes the set of its hashed shingles, a MinHash signature and a sketch (the least hash in each of BINS ranges); equal sets
+   become one class.
 2. The forest: every tree reads the signature in an order of its own. Classes whose signatures share the first DEPTH values
    form a region. Members of a region are candidates of each other; a region of more than REGION members is sorted by the whole
    signature instead, and candidates are the neighbours there, those with the longest common prefixes: as deep as it takes to
    have REGION / 2 of them on each side. The sort is by range over all tasks, so a large region is no single task's.
-   Candidates whose signatures agree in ESTIMATE of the places are linked, as stars.
+   So depth follows the region: 3 where that leaves few, as deep as needed where many agree. Candidates whose sketches agree
+   in ESTIMATE of the ranges are linked, as stars.
 3. Components of these links are coarse clusters: they hold every pair at or above the limit that some tree brings together.
    Neighbours are not all pairs, so members of regions over REGION are joined once more, by a prefix filter: two sets at the limit
    share one of the first elements of each, in any order common to all sets; the order here is rarest first. Members of different
-   clusters that share such an element are compared, in blocks where many do, and clusters with agreeing signatures are merged.
+   clusters that share such an element are compared, in blocks where many do, and clusters with agreeing sketches are merged.
 4. Inside a cluster, links are decided on full sets. Clusters over BLOCK members are dealt out as pairs of blocks,
    so no task holds more than two blocks. Each task returns a spanning star of what it linked, never all pairs.
 
-Chance that a pair exactly at the limit (0.8) is missed: no tree of 24 has its first 3 values equal, 3e-8; fewer than 60 % of
-72 values agree, 2e-5. It is the same in regions of any size.
+Chance that a pair exactly at the limit (0.8) is missed: no tree of 24 has its first 3 values equal, 3e-8; fewer than ESTIMATE (0.68) of 256
+ranges agree, 1e-6. Texts that share half of their elements agree so far with a chance of 5e-9, so strangers seldom chain. Both are the same
+in regions of any size.
 
 Defined results: null and empty texts (or white space) have an empty set, no links and themselves as component. Repeated
 ids: every row is kept in the result. Rows without an id have no component and are kept; only rows with one are linked. A text shorter than a shingle has one shingle, its whole word sequence.
@@ -36,7 +39,7 @@ from .components import components
 TREES, SIZE = 24, 72
 DEPTH = 3
 REGION = 512
-ESTIMATE = 0.6
+BINS, ESTIMATE = 256, 0.68
 BLOCK = 1024
 #: Counters of elements that share them by hash; they only order elements, so a shared one costs time, never a pair.
 COUNTERS = 1 << 18
@@ -45,22 +48,23 @@ BROADCAST_IDS = 500_000
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (keys of the set) and sig (null where the set is empty)."""
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
+    """doc_id, n_shingles, k1 and k2 (keys of the set), sig and sketch (null where the set is empty)."""
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, sig array<smallint>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature = shingles.MinHash(SIZE)
         for batch in batches:
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, bins = [], [], [], [], []
             for s in shingles.sets_of(batch.column("text"), width):
                 a, b = shingles.set_key(s)
                 n.append(len(s))
                 k1.append(a)
                 k2.append(b)
                 sig.append(signature(s) if len(s) else None)
+                bins.append(shingles.sketch(s, BINS).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "k1", "k2", "sig"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.list_(pa.int16())), pa.array(bins, pa.binary())],
+                names=["doc_id", "n_shingles", "k1", "k2", "sig", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -107,25 +111,27 @@ def _edges(ids: list, roots: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], schema=_EDGE)
 
 
-def _agreeing(ids: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
-    """A star for each set of rows whose signatures agree in ESTIMATE of the places, directly or over others."""
+def _agreeing(ids: np.ndarray, sketches: np.ndarray) -> tuple[list, list]:
+    """A star for each set of rows whose sketches agree in ESTIMATE of the ranges, directly or over others."""
     if len(ids) == 2:
-        return ([ids[1]], [ids[0]]) if (sig[0] == sig[1]).sum() >= ESTIMATE * SIZE else ([], [])
-    root = _stars(lambda k: (sig == sig[k]).sum(axis=1) >= ESTIMATE * SIZE, len(ids))
+        return ([ids[1]], [ids[0]]) if shingles.alike(sketches[0], sketches[1], ESTIMATE) else ([], [])
+    root = _stars(lambda k: shingles.alike(sketches, sketches[k], ESTIMATE), len(ids))
     other = np.flatnonzero(root != np.arange(len(ids)))
     return ids[other].tolist(), ids[root[other]].tolist()
 
 
-def _signatures(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = rows.column("rep").to_numpy()
-    return ids, rows.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), SIZE)
+def _sketches(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    column = rows.column("sketch").combine_chunks()
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+    return rows.column("rep").to_numpy(), data.reshape(len(column), BINS)
 
 
 def _region_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links inside regions of at most REGION members; rows sorted by key."""
 
     def handle(rows: pa.Table, cuts: np.ndarray):
-        ids, sig = _signatures(rows)
+        ids, sig = _sketches(rows)
         a, b = [], []
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
             if j - i > 1:
@@ -145,27 +151,27 @@ def _neighbour_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         now = pa.Table.from_batches([batch])
         rest = pa.concat_tables([rest, now]) if rest is not None else now
         while rest.num_rows > REGION:
-            a, b = _agreeing(*_signatures(rest.slice(0, REGION)))
+            a, b = _agreeing(*_sketches(rest.slice(0, REGION)))
             yield _edges(a, b)
             rest = rest.slice(max(1, REGION // 2))
         rest = rest.combine_chunks()
     if rest is not None and rest.num_rows > 1:
-        yield _edges(*_agreeing(*_signatures(rest)))
+        yield _edges(*_agreeing(*_sketches(rest)))
 
 
 def forest_links(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate links (a, b) of the classes `reps` (rep, sig), a sparse graph; members (rep) of regions over REGION, if any."""
+    """Candidate links (a, b) of the classes `reps` (rep, sig, sketch), a sparse graph; members (rep) of regions over REGION, if any."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     first = reps.select("rep", "sig", trees).select("rep", "tree", F.xxhash64("tree", F.slice(_turned(), 1, DEPTH)).alias("key"))
     sizes = first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(first.join(sizes, "key"))
-    small = shared.filter(F.col("n") <= REGION).select("key", "rep").join(reps, "rep")
-    links = small.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "sig").mapInArrow(_region_links, "a long, b long")
+    small = shared.filter(F.col("n") <= REGION).select("key", "rep").join(reps.select("rep", "sketch"), "rep")
+    links = small.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "sketch").mapInArrow(_region_links, "a long, b long")
     large, crowded = shared.filter(F.col("n") > REGION), None
     if not large.isEmpty():
         crowded = large.select("rep").distinct()
-        order = large.select("rep", "tree", "key").join(reps, "rep").select("rep", "sig", "key", _turned().alias("turned"))
-        ordered = order.repartitionByRange("key", "turned").sortWithinPartitions("key", "turned", "rep").select("rep", "sig")
+        order = large.select("rep", "tree", "key").join(reps, "rep").select("rep", "sketch", "key", _turned().alias("turned"))
+        ordered = order.repartitionByRange("key", "turned").sortWithinPartitions("key", "turned", "rep").select("rep", "sketch")
         links = links.unionByName(ordered.mapInArrow(_neighbour_links, "a long, b long"))
     return links.filter("a <> b"), crowded
 
@@ -202,10 +208,10 @@ def _prefixes(width: int, percent: int, counts: np.ndarray):
 
 
 def _merging_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between clusters of the same key that have members with agreeing signatures, a spanning forest; rows sorted by key."""
+    """Links between clusters of the same key that have members with agreeing sketches, a spanning forest; rows sorted by key."""
 
     def handle(rows: pa.Table, cuts: np.ndarray):
-        every, sigs = _signatures(rows)
+        every, sigs = _sketches(rows)
         roots = rows.column("root").to_numpy()
         a, b = [], []
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(every)], strict=True):
@@ -213,7 +219,7 @@ def _merging_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             # Of two members in different clusters one at least is outside the largest.
             for k in np.flatnonzero(root != size.argmax()).tolist() if len(size) > 1 else []:
                 other = np.flatnonzero(root != root[k])
-                other = other[(sig[other] == sig[k]).sum(axis=1) >= ESTIMATE * SIZE]
+                other = other[shingles.alike(sig[other], sig[k], ESTIMATE)]
                 for r, at in zip(*np.unique(root[other], return_index=True), strict=True):
                     a.append(ids[k])
                     b.append(ids[other[at]])
@@ -245,8 +251,8 @@ def crowded_links(docs: DataFrame, reps: DataFrame, crowded: DataFrame, clusters
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = first.join(lists.select("element", blocks.alias("blocks")), "element").withColumn("block", block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select(F.xxhash64("element", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "root").join(reps, "rep")
-    return cells.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "root", "sig").mapInArrow(_merging_links, "a long, b long")
+    cells = dealt.select(F.xxhash64("element", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "root").join(reps.select("rep", "sketch"), "rep")
+    return cells.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "root", "sketch").mapInArrow(_merging_links, "a long, b long")
 
 
 def _exact_links(width: int, percent: int):
@@ -294,9 +300,9 @@ def exact_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int)
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id linked directly or not, itself included) and kept (it is that document)."""
     every = cut(signatures(docs, width))
-    classes = every.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep"))
-    classes = cut(classes.filter("rep IS NOT NULL"))
-    reps = classes.select("rep", "sig")
+    classes = every.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min_by(F.struct("sig", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("rep"))
+    classes = cut(classes.filter("rep IS NOT NULL").select("n_shingles", "k1", "k2", "rep", "s.*"))
+    reps = classes.select("rep", "sig", "sketch")
     candidates, crowded = forest_links(reps)
     coarse = components(candidates, "a", "b")
     if crowded is not None:
@@ -308,9 +314,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         found = components(links, "a", "b")
     else:
         found = cut(links.select(F.col("a").alias("id"), F.col("b").alias("root")))
-    roots = classes.drop("sig").join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    roots = classes.drop("sig", "sketch").join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
     roots = roots.select("n_shingles", "k1", "k2", F.least(F.coalesce("root", "rep"), "rep").alias("component_id"))
-    out = every.drop("sig").join(roots, ["n_shingles", "k1", "k2"], "left")
+    out = every.drop("sig", "sketch").join(roots, ["n_shingles", "k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -116,7 +116,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class MinHash:
-    """Signatures of `size` values: for each of as many random hash functions, the least hash of the set."""
+    """Signatures of `size` values: for each of as many random hash functions, 16 bits of the least hash of the set."""
 
     def __init__(self, size: int):
         seeds = mix(np.arange(1, 2 * size + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -126,4 +126,20 @@ class MinHash:
         low = np.full(len(self.a), np.uint64((1 << 64) - 1))
         for i in range(0, len(s), 2048):
             np.minimum(low, (self.a * s[None, i : i + 2048] + self.b).min(axis=1), out=low)
-        return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return (low >> np.uint64(16)).astype(np.uint16).view(np.int16)  # not the upper bits, which are few in the least hash of a large set
+
+
+def sketch(s: np.ndarray, bins: int) -> np.ndarray:
+    """For each of `bins` (a power of two) equal ranges of hashes 8 bits of the least hash of the set in it; 0 for none, else 1 or more."""
+    shift = np.uint64(65 - bins.bit_length())
+    at = np.searchsorted(s, np.arange(bins, dtype=np.uint64) << shift)
+    there = at < np.append(at[1:], len(s))
+    out = np.zeros(bins, np.uint8)
+    out[there] = (mix(s[at[there]]) >> np.uint64(48)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def alike(sketches: np.ndarray, one: np.ndarray, least: float) -> np.ndarray:
+    """Whether the share of ranges with equal hashes, of those that are not empty in both, is at least `least`."""
+    same = (sketches == one) & (one != 0)
+    return same.sum(axis=-1) >= least * ((sketches | one) != 0).sum(axis=-1)

@@ -137,3 +137,37 @@ def test_pipeline_against_brute_force(spark, sf, documents):
             ids = library.encode(pii.redacted(t, finder.spans(t)))
             want[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
+def test_sketches_tell_strangers_apart():
+    """Of texts that share half of their elements no two are alike, of pairs at the limit all are."""
+    import numpy as np
+    from assayer.llm import shingles
+
+    rnd = np.random.default_rng(9)
+    new = lambda n: rnd.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    sketch = lambda *parts: shingles.sketch(np.unique(np.concatenate(parts)), minhash.BINS)
+    passage = new(400)
+    strangers = np.array([sketch(passage, new(200)) for _ in range(1500)])
+    assert sum(shingles.alike(strangers, s, minhash.ESTIMATE).sum() for s in strangers) == len(strangers)
+    for size in (5, 40, 200, 3000):
+        for _ in range(300):
+            common, a, b = new(8 * size // 10), new(size // 10), new(size - 8 * size // 10 - size // 10)
+            assert shingles.alike(sketch(common, a), sketch(common, b), minhash.ESTIMATE)
+    assert sketch(np.zeros(0, np.uint64)).sum() == 0
+
+
+def test_many_strangers_with_a_common_passage(spark):
+    """Thousands of texts with a Jaccard index of 0.45 to each other: planted pairs are linked, strangers are not, even coarsely."""
+    random.seed(10)
+    passage, rows, pairs = " ".join(f"c{k}" for k in range(64)), [], []
+    for i in range(5000):
+        own = [f"o{i}w{k}" for k in range(38)]
+        rows.append((2 * i, f"{passage} {' '.join(own)}"))
+        if i % 50 == 0:
+            rows.append((2 * i + 1, f"{passage} {' '.join(own[:-4])} x{i} y{i} z{i} q{i}"))
+            pairs.append((2 * i, 2 * i + 1))
+    random.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert found == {i: (i - 1 if i % 2 else i) for i, _ in rows} and len(pairs) == 100
