@@ -6,7 +6,9 @@ number, an address with a login, or an account identifier, and validates it. Bas
 have the leftmost non-overlapping matches of their patterns; a match that fails validation is consumed, not retried.
 
 Spans are code points, end exclusive. Defined results: a null text is as an empty one: no spans. Spans of different kinds may
-overlap; `redact` replaces a run of overlapping spans once, under the kind that starts first.
+overlap, and of equal starts the order of KINDS counts; `redact` replaces a run of overlapping spans once, under the kind that starts first.
+Repeated rows are each scanned. `find` reads doc_id and text only; `redact` keeps all columns, whatever their names. Empty tables give empty
+tables. A long text is scanned in one pass, whole.
 """
 
 from __future__ import annotations
