@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, linededup, minhash, pii, quality, secret_scan, sptok, tokenbin, toxicity
+from . import chat, convtrie, decontam, langid, linededup, minhash, pii, quality, secret_scan, sptok, tokenbin, toxicity
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
         "op10_pii": pii.op10_pii,
+        "op12_conversation_trie": convtrie.op12_conversation_trie,
         "op13_line_dedup": linededup.op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL, "op6_minhash_near_dedup": minhash.OP6_SQL, "op13_line_dedup": linededup.OP13_SQL}
+    return {"op2_chat_format": chat.OP2_SQL, "op6_minhash_near_dedup": minhash.OP6_SQL, "op12_conversation_trie": convtrie.OP12_SQL, "op13_line_dedup": linededup.OP13_SQL}
