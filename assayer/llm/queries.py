@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, convtrie, decontam, langid, linededup, minhash, pii, quality, secret_scan, sptok, tokenbin, toxicity
+from . import alignment, chat, convtrie, decontam, langid, linededup, minhash, pii, quality, secret_scan, sptok, tokenbin, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
         "op10_pii": pii.op10_pii,
+        "op11_token_alignment": alignment.op11_token_alignment,
         "op12_conversation_trie": convtrie.op12_conversation_trie,
         "op13_line_dedup": linededup.op13_line_dedup,
     }
