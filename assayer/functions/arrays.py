@@ -11,15 +11,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running(values: Column) -> Column:
-    """Sums of the first 1, 2, … elements of an array of ints.
+def running(values: Column, join=lambda a, b: a + b) -> Column:
+    """Sums of the first 1, 2, … elements of an array of ints that are not negative; or what `join` makes of them (associative, 0 changes nothing).
 
     Appending to an array copies it, so sums over n elements at once would copy n * n; here about n ** 1.5: sums inside runs of
     sqrt(n) elements, then over the runs.
     """
     none = F.array().cast("array<int>")
-    add = lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x))
-    total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x)
+    add = lambda done, x: F.concat(done, F.array(join(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)), x)))
+    total = lambda run: F.aggregate(run, F.lit(0), join)
 
     def summed(v):
         step = F.ceil(F.sqrt(F.size(v))).cast("int")
@@ -28,6 +28,6 @@ def running(values: Column) -> Column:
         return let(runs, inside)
 
     def shifted(run, sums, k):
-        return F.transform(F.aggregate(run, none, add), lambda x: x + F.coalesce(F.get(sums, k - 1), F.lit(0)))
+        return F.transform(F.aggregate(run, none, add), lambda x: join(F.coalesce(F.get(sums, k - 1), F.lit(0)), x))
 
     return F.when(F.size(values) == 0, none).otherwise(let(values, summed))

@@ -1,7 +1,7 @@
-"""Detectors over text files: content to findings (path, ordinal, source, category, severity, hits).
+"""Detectors over text files: content to findings (path, ordinal, source, category, severity, hits), on demand with message, values and places.
 
 All patterns of a file are counted in one projection; a second one turns counts into an array of findings, which is
-exploded. Nothing shuffles.
+exploded. Nothing shuffles. Places are looked for only where something was found.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import paths
+from assayer.functions import arrays, paths, places
 from assayer.operators import patterns as P
 
 #: Patterns of which the number of matches counts, and those of which only presence does.
@@ -52,22 +52,39 @@ BESIDE = {
     "in_install": ("curl_pipe", "remote_fetch", "install_exec"),
     "dynamic_imports": ("exec_compile",),
 }
+#: What evidence of a finding looks for: the first of these patterns that matches, by the names above.
+LOOKED_FOR = {
+    "obfuscation:char_list_join": ("char_list",), "obfuscation:objc_string_array": ("objc",), "obfuscation:cpp_string_concat_chain": ("cpp",), "obfuscation:eval_exec": ("eval_exec",),
+    **{f"obfuscation:{k}": (k,) for k in ("fromcharcode", "atob", "js_obfusc", "packed_js", "hex_escape", "marshal", "rot13")},
+    "obfuscation:unicode_decoder": ("decoder",), "obfuscation:xor_transform": ("xor",), "obfuscation:import_exec_chain": ("exec_compile", "eval_exec"), "obfuscation:nested_decode": ("nested",),
+    "crypto:btc_addr": ("btc",), "crypto:eth_addr": ("eth",), "payload:embedded_pe": ("embedded_pe",), "payload:shellcode": ("shellcode",), "payload:data_uri": ("data_uri",),
+    "secret:private_key": ("private_key",), "secret:aws_key": ("aws",), "secret:github_token": ("github",), "secret:api_key": ("api_key",),
+    **{c: ("sensitive_path", "sensitive_literal", "sensitive_bare") for c in (
+        "behavioral:install_hook_credential_exfil", "behavioral:credential_access_exfil", "behavioral:bulk_credential_access", "behavioral:migration_credential_theft",
+    )},
+    "behavioral:git_exfiltration": ("git_py", "git_js"), "obfuscation:indirect_exec:getattr_concat": ("getattr_concat",), "obfuscation:indirect_exec:getattr_builtins": ("getattr_builtins",),
+    "obfuscation:indirect_exec:dict_builtins": ("dict_builtins",), "obfuscation:indirect_exec:global_computed": ("global_computed",), "supply_chain:install_dropper": ("curl_pipe", "remote_fetch"),
+    "compound:credential_theft_with_evasion": ("getattr_concat", "getattr_builtins", "dict_builtins", "global_computed"),
+}
+#: Places and values that evidence keeps of a finding, code points of a value, and of one in a message.
+FIRST, VALUE, VALUE_SHOWN = 5, 200, 60
 FINDING = "array<struct<source: string, category: string, severity: string, hits: int>>"
 _NONE = "CAST(array() AS array<string>)"
 
 
-def _base64_blob(content: Column) -> Column:
-    """Whether some base64 run decodes to more than 20 bytes, over half of them printable. Padding may be too long, not too short."""
+def _readable(run: Column) -> Column:
+    """Whether a base64 run decodes to more than 20 bytes, over half of them printable. Padding may be too long, not too short."""
+    data = F.rtrim(run, F.lit("="))
+    need = F.pmod(-F.length(data), F.lit(4))
+    whole = (need < 3) & (F.length(run) - F.length(data) >= need)
+    raw = F.when(whole, F.try_to_binary(F.concat(data, F.repeat(F.lit("="), need)), F.lit("base64")))
+    text = F.decode(raw, "ISO-8859-1")
+    return F.coalesce((F.length(text) > 20) & (2 * F.regexp_count(text, F.lit(r"[\x20-\x7E]")) > F.length(text)), F.lit(False))
 
-    def readable(run):
-        data = F.rtrim(run, F.lit("="))
-        need = F.pmod(-F.length(data), F.lit(4))
-        whole = (need < 3) & (F.length(run) - F.length(data) >= need)
-        raw = F.when(whole, F.try_to_binary(F.concat(data, F.repeat(F.lit("="), need)), F.lit("base64")))
-        text = F.decode(raw, "ISO-8859-1")
-        return F.coalesce((F.length(text) > 20) & (2 * F.regexp_count(text, F.lit(r"[\x20-\x7E]")) > F.length(text)), F.lit(False))
 
-    return content.rlike(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}") & F.exists(F.regexp_extract_all(content, F.lit(P.BASE64), 0), readable)
+def _base64_blob(content: Column) -> Column:
+    """Whether some base64 run is readable."""
+    return content.rlike(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}") & F.exists(F.regexp_extract_all(content, F.lit(P.BASE64), 0), _readable)
 
 
 def _any(source: Column, words: tuple[str, ...]) -> Column:
@@ -124,11 +141,92 @@ def _finding(when: Column, category, severity, hits=None, source: str = "source-
     category = F.lit(category) if isinstance(category, str) else category
     severity = F.lit(severity) if isinstance(severity, str) else severity
     hits = F.lit(1) if hits is None else hits.cast("int")
-    return F.when(when, F.struct(F.lit(source).alias("source"), category.alias("category"), severity.alias("severity"), hits.alias("hits")))
+    return F.when(when, F.struct(F.lit(source).alias("source"), category.alias("category"), severity.alias("severity"), hits.alias("hits"), F.lit(0).alias("nth")))
+
+
+def _looked_for(category: Column) -> Column:
+    """The pattern whose places are the evidence of a category, null for none."""
+    c = F.col("content")
+    any_of = lambda names: F.lit("|".join(rf"\Q{n}\E" for n in names))
+    there = lambda k: F.col(f"n_{k}") > 0 if k in COUNTED else F.col(f"is_{k}")
+    modules = f"(?:{'|'.join(P.ENCODING_MODULES_DYNAMIC)})"
+    low = F.lower("path")
+    out = (
+        F.when(category == "obfuscation:base64", F.concat(F.lit(r"\Q"), F.element_at(F.filter(F.regexp_extract_all(c, F.lit(P.BASE64), F.lit(0)), _readable), 1), F.lit(r"\E")))
+        .when(category == "obfuscation:invisible_unicode", f"{P.VARIATION_SELECTOR}|{P.PRIVATE_USE}")
+        .when(category == "obfuscation:dynamic_import", "|".join(x.replace(r"(\w+)", modules) for x in (P.DUNDER_IMPORT, P.IMPORTLIB_MODULE)))
+        .when(category == "import:suspicious", F.when(low.endswith(".py"), any_of(P.PYTHON_IMPORTS)).when(low.endswith(".go"), any_of(P.GO_IMPORTS)).otherwise(any_of(P.JS_IMPORTS)))
+        .when(category == "payload:long_string", P.LONG_STRING)
+        .when(category == "behavioral:dns_exfiltration", r"\.sendto\(")
+    )
+    for name, keys in LOOKED_FOR.items():
+        out = out.when(category == name, F.coalesce(*[F.when(there(k), F.lit(COUNTED.get(k) or PRESENT[k])) for k in keys]))
+    return out
+
+
+def _with_evidence(m: DataFrame) -> DataFrame:
+    """Rows with findings (array): each finding with message, values and places. What a secret says is left out."""
+    c = F.col("content")
+    m = m.withColumns({k: F.when(F.size(found) > 0, places.places(c, p)) for k, found, p in (("url_at", "urls", P.HARDCODED_IP), ("socket_at", "sockets", P.SOCKET_IP))})
+
+    # One column a step: nested in one expression, the types of the steps would be worked out again at each level.
+    get = lambda name: lambda i: F.get(name, i)
+    pattern, hits, gaps, at, feeds, begin = map(get, ("patterns", "hits", "gaps", "starts", "feeds", "begins"))
+    most = lambda i: F.when(F.get("findings", i)["category"] == "payload:long_string", 1 << 30).otherwise(FIRST)
+    steps = {
+        "patterns": F.transform("findings", lambda f: F.when(f["nth"] == 0, _looked_for(f["category"]))),
+        "hits": F.transform("patterns", lambda p, i: F.slice(F.regexp_extract_all(c, p, F.lit(0)), F.lit(1), most(i))),
+        "gaps": F.transform("patterns", lambda p, i: F.split(c, p, most(i) + 1)),
+        "starts": F.transform("hits", lambda h, i: places.starts(h, gaps(i))),
+        "feeds": F.transform("hits", lambda h, i: places.feeds_before(h, gaps(i))),
+        "begins": F.transform("hits", lambda h, i: places.begins(h, gaps(i), at(i))),
+        "spots": F.transform("hits", lambda h, i: places.placed(h, gaps(i), at(i), feeds(i), begin(i))),
+    }
+    for name, make in steps.items():
+        m = m.withColumn(name, make)
+
+    # Long strings are those on one line; addresses have places of their own.
+    def spots(f, i):
+        own = F.coalesce(F.get("spots", i), F.expr(places.NONE))
+        one_line = F.slice(F.filter(own, lambda x: ~x["hit"].contains("\n")), 1, FIRST)
+        address = F.array(F.coalesce(F.get("url_at", f["nth"] - 1), F.get("socket_at", -f["nth"] - 1)))
+        return F.when(f["nth"] != 0, address).when(f["category"] == "payload:long_string", one_line).otherwise(own)
+
+    def shown(f, i):
+        secret = f["category"].startswith("secret:")
+        hide = lambda x: F.struct(x["start"], x["line"], x["column"], F.concat(F.left(x["hit"], F.lit(4)), F.lit("…")).alias("hit"), F.lit("…").alias("excerpt"))
+        bound = lambda x: F.struct(x["start"], x["line"], x["column"], F.left(x["hit"], F.lit(VALUE)).alias("hit"), x["excerpt"])
+        return F.transform(F.get("spots", i), lambda x: F.when(secret, hide(x)).otherwise(bound(x)))
+
+    def values(f, i):
+        at = F.get("places", i)
+        given = (
+            F.when(f["category"] == "import:suspicious", F.col("imports"))
+            .when(f["category"] == "obfuscation:dynamic_import", F.col("dynamic"))
+            .when(f["category"] == "obfuscation:combined", F.array(f["hits"].cast("string")))
+            .when(f["nth"] > 0, F.array(F.get("urls", f["nth"] - 1)))
+            .when(f["nth"] < 0, F.array(F.get("sockets", -f["nth"] - 1), F.regexp_extract(F.get(at, F.lit(0))["hit"], P.SOCKET_IP, 2)))
+        )
+        return F.transform(F.slice(F.coalesce(given, F.array_distinct(F.transform(at, lambda x: x["hit"]))), 1, FIRST), lambda v: F.left(v, F.lit(VALUE)))
+
+    def told(f, i):
+        at, said = F.get("places", i), F.get("values", i)
+        line = F.coalesce(F.concat(F.lit(":"), F.get(at, F.lit(0))["line"].cast("string")), F.lit(""))
+        times = F.when(f["hits"] > 1, F.concat(F.lit(" ("), f["hits"].cast("string"), F.lit(" times)"))).otherwise("")
+        first = F.when(F.size(said) > 0, F.concat(F.lit(": "), F.array_join(F.transform(said, lambda v: F.left(v, F.lit(VALUE_SHOWN))), ", "))).otherwise("")
+        message = F.concat(F.translate(F.regexp_replace(f["category"], "^[^:]*:", ""), "_:", "  "), F.lit(" in "), F.col("path"), line, times, first)
+        return f.withField("message", message).withField("values", said).withField("places", at)
+
+    for name, make in (("spots", spots), ("places", shown), ("values", values), ("findings", told)):
+        m = m.withColumn(name, F.transform("findings", make))
+    return m
+
 
+def observations(files: DataFrame, *, evidence: bool = False) -> DataFrame:
+    """Findings of files (path, content): path, ordinal (from 1, in the order of detectors), source, category, severity, hits.
 
-def observations(files: DataFrame) -> DataFrame:
-    """Findings of files (path, content): path, ordinal (from 1, in the order of detectors), source, category, severity, hits."""
+    evidence: with message, values (what was matched, imported or called, FIRST of them) and places (the FIRST ones, see functions.places) too.
+    """
     m = _measure(files.select("path", F.coalesce("content", F.lit("")).alias("content")))
     n, has, col = (lambda k: F.col(f"n_{k}")), (lambda k: F.col(f"is_{k}")), F.col
     m = m.withColumns(
@@ -176,13 +274,14 @@ def observations(files: DataFrame) -> DataFrame:
         _finding(col("indicators") >= 3, "obfuscation:combined", "high", col("indicators")),
         _finding(F.size("imports") > 0, "import:suspicious", F.when(overlap(P.EXEC_IMPORTS) & overlap(P.NETWORK_IMPORTS), "medium").otherwise("low"), F.size("imports")),
     ]
-    made = lambda category, severity: F.struct(F.lit("source-heuristic").alias("source"), F.lit(category).alias("category"), severity.alias("severity"), F.lit(1).alias("hits"))
-    url = lambda u: (
-        F.when(paths.is_metadata_address(u), made("import:cloud_metadata", F.lit("high")))
-        .when(paths.is_private_address(u), F.when(~col("in_test"), made("import:hardcoded_ip", F.lit("medium"))))
-        .otherwise(made("import:hardcoded_ip", F.when(col("in_test"), "medium").otherwise("high")))
+    # nth: which of the urls (1 and up) or sockets (-1 and down) it is.
+    made = lambda category, severity, nth: F.struct(F.lit("source-heuristic").alias("source"), F.lit(category).alias("category"), severity.alias("severity"), F.lit(1).alias("hits"), nth.alias("nth"))
+    url = lambda u, i: (
+        F.when(paths.is_metadata_address(u), made("import:cloud_metadata", F.lit("high"), i + 1))
+        .when(paths.is_private_address(u), F.when(~col("in_test"), made("import:hardcoded_ip", F.lit("medium"), i + 1)))
+        .otherwise(made("import:hardcoded_ip", F.when(col("in_test"), "medium").otherwise("high"), i + 1))
     )
-    socket = lambda a: F.when(~paths.is_private_address(a) & ~col("in_test"), made("import:hardcoded_ip", F.lit("high")))
+    socket = lambda a, i: F.when(~paths.is_private_address(a) & ~col("in_test"), made("import:hardcoded_ip", F.lit("high"), -i - 1))
     after = [
         _finding(n("btc") > 0, "crypto:btc_addr", "medium", n("btc")),
         _finding(n("eth") > 0, "crypto:eth_addr", "medium", n("eth")),
@@ -212,5 +311,8 @@ def observations(files: DataFrame) -> DataFrame:
         _finding(credential & ~col("in_install") & indirect, "compound:credential_theft_with_evasion", "high"),
     ]
     every = F.array_compact(F.concat(F.array(*before), F.transform("urls", url), F.transform("sockets", socket), F.array(*after)))
-    rows = m.select("path", F.posexplode(every).alias("place", "o"))
-    return rows.select("path", (F.col("place") + 1).alias("ordinal"), "o.*")
+    m = m.withColumn("findings", every)
+    m = _with_evidence(m) if evidence else m
+    # The outer form: of the plain one the optimizer derives a filter on the size of the array, for which all findings are made once more.
+    rows = m.select("path", F.posexplode_outer("findings").alias("place", "o")).filter("o IS NOT NULL")
+    return rows.select("path", (F.col("place") + 1).alias("ordinal"), "o.*").drop("nth")

@@ -20,6 +20,7 @@ PROJECT_WORDS = (
 )
 OTHER_PROJECT = "software project"
 HOOK_SCRIPTS = (".js", ".ts", ".sh", ".py")
+RUN_WORDS = ("child_process", "execSync", "subprocess")
 DOWNLOAD_WORDS = ("curl", "wget", "fetch(", "https.get", "http.get", "execSync", "spawn(", "bun.sh/install", "downloadAndSetup")
 
 
@@ -54,7 +55,8 @@ def project_types(files: DataFrame, key: str, words=PROJECT_WORDS) -> DataFrame:
 def hook_droppers(files: DataFrame, findings: DataFrame) -> DataFrame:
     """(path, hook, script, severity): install hooks whose script is in the repository and downloads code or has suspicious imports.
 
-    files: path, content; findings: path, category. The manifest that declares the hook carries the finding.
+    files: path, content; findings: path, category and, if there, values (what was matched): words of RUN_WORDS in them count as well. The manifest
+    that declares the hook carries the finding.
     """
     j = files.filter(F.lower("path").endswith("package.json")).select("path", F.from_json("content", "struct<scripts: map<string, string>>").alias("j"))
     h = j.select("path", F.explode("j.scripts").alias("hook", "command")).filter(F.col("hook").isin("preinstall", "postinstall", "preuninstall"))
@@ -64,7 +66,10 @@ def hook_droppers(files: DataFrame, findings: DataFrame) -> DataFrame:
     downloads = F.lit(False)
     for word in DOWNLOAD_WORDS:
         downloads = downloads | F.col("content").contains(word)
-    bad = files.filter(downloads).select("path").unionByName(findings.filter("category = 'import:suspicious'").select("path")).distinct()
+    runs = F.col("category") == "import:suspicious"
+    if "values" in findings.columns:
+        runs = runs | F.exists("values", lambda v: v.contains(RUN_WORDS[0]) | v.contains(RUN_WORDS[1]) | v.contains(RUN_WORDS[2]))
+    bad = files.filter(downloads).select("path").unionByName(findings.filter(runs).select("path")).distinct()
     k = found.join(bad, "path")
     return k.select(F.split_part("hook", F.lit("\u0001"), F.lit(1)).alias("path"), F.split_part("hook", F.lit("\u0001"), F.lit(2)).alias("hook"), F.col("path").alias("script"), F.lit("high").alias("severity"))
 

@@ -195,6 +195,36 @@ def rule_n_of(spark, sf_dir):
     return rules.matches(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), _PAGE_RULES)
 
 
+_PLACED = {"secret:api_key": P.API_KEY, "crypto:eth_addr": P.ETH, "payload:shellcode": P.SHELLCODE, "obfuscation:js_obfusc": P.JS_OBFUSC, "payload:data_uri": P.DATA_URI}
+
+
+@query(
+    f"""WITH {samples.FILES_SQL}, looked AS (SELECT path, content, unnest([{", ".join(f"{{'category': '{c}', 'hits': regexp_extract_all(content, {samples.quoted(p)}), 'gaps': string_split_regex(content, {samples.quoted(p)})}}" for c, p in _PLACED.items())}]) AS x FROM files),
+      hits AS (SELECT path, content, x, unnest(range(1, least(len(x.hits), 5) + 1)) AS i FROM looked),
+      placed AS (SELECT path, x.category AS category, i, content, length(x.hits[i]) AS size, CAST(list_sum(list_transform(x.gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(x.hits[:i - 1], lambda h: length(h))), 0) AS BIGINT) AS start FROM hits),
+      shown AS (SELECT *, left(content, start) AS before FROM placed)
+    SELECT path, category, i AS nth, start, 1 + length(before) - length(replace(before, chr(10), '')) AS line, 1 + length(string_split(before, chr(10))[-1]) AS "column" FROM shown"""
+)
+def finding_places(spark, sf_dir):
+    """Where the first matches of five detectors are in all files; the SQL finds lines and columns from the text before each match."""
+    found = detectors.observations(sample_files(spark, sf_dir).select("path", "content"), evidence=True).filter(F.col("category").isin(*_PLACED))
+    rows = found.select("path", "category", F.posexplode("places").alias("nth", "p"))
+    return rows.select("path", "category", (F.col("nth") + 1).cast("long").alias("nth"), *[F.col(f"p.{c}").cast("long").alias(c) for c in ("start", "line", "column")])
+
+
+@query(
+    f"""WITH {samples.FILES_SQL}, urls AS (SELECT path, content, unnest(regexp_extract_all(content, {samples.quoted(P.HARDCODED_IP)}, 1)) AS url FROM files)
+    SELECT path, 'http' AS kind, url AS value, count(*) AS n FROM urls WHERE url NOT LIKE 'http://10.%' GROUP BY ALL
+    UNION ALL SELECT path, 'eval', list_distinct(regexp_extract_all(content, '(?:eval|exec)\\s*\\('))[1], 1 FROM files WHERE path LIKE '%/a.py' OR path LIKE '%/j.js'"""
+)
+def finding_values(spark, sf_dir):
+    """What findings quote: each public address on its own, and the call of files whose snippet has one."""
+    found = detectors.observations(sample_files(spark, sf_dir).select("path", "content"), evidence=True)
+    urls = found.filter("category IN ('import:hardcoded_ip', 'import:cloud_metadata') AND size(values) = 1 AND values[0] NOT LIKE 'http://10.%'").select("path", F.lit("http").alias("kind"), F.get("values", F.lit(0)).alias("value"))
+    calls = found.filter("category = 'obfuscation:eval_exec' AND (path LIKE '%/a.py' OR path LIKE '%/j.js')").select("path", F.lit("eval").alias("kind"), F.get("values", F.lit(0)).alias("value"))
+    return urls.unionByName(calls).groupBy("path", "kind", "value").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {FINDINGS_SQL} SELECT category, severity, count(*) AS n_files, CAST(sum(hits) AS BIGINT) AS hits FROM found GROUP BY 1, 2")
 def detector_rollup(spark, sf_dir):
     return findings(spark, sf_dir).groupBy("category", "severity").agg(F.count("*").alias("n_files"), F.sum("hits").alias("hits"))

@@ -54,10 +54,13 @@ def files(docs: DataFrame) -> DataFrame:
 # ---- the same in SQL
 
 
-def _q(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_q = quoted
+
+
 def _n(pattern: str) -> str:
     return f"len(regexp_extract_all(content, {_q(pattern)}))"
 
