@@ -5,52 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import binary
-from assayer.operators import rules
+from assayer.functions import arrays, binary
+from assayer.operators import rulefile, rules
 from assayer.sources.archive import BUNDLE_MAGIC
 
 HIGH_ENTROPY = 7.2
 NEEDLE_LIMIT = 8
 
 
-def _finding(rows: DataFrame, source: str, category, severity, message) -> DataFrame:
-    column = lambda x: F.lit(x) if isinstance(x, str) else x
-    return rows.select("path", F.lit(source).alias("source"), column(category).alias("category"), column(severity).alias("severity"), column(message).alias("message"))
-
+def observations(files: DataFrame, *, rule_text: str | None = None) -> DataFrame:
+    """(path, source, category, severity, message) of files (path, content binary); empty files have none.
 
-def observations(files: DataFrame) -> DataFrame:
-    """(path, source, category, severity, message) of files (path, content binary); empty files have none."""
+    One projection measures a file, one array of findings is exploded. rule_text: rules of files (see rulefile) instead of the bundled ones.
+    """
     c = F.col("content")
     f = files.select("path", "content").filter(F.length("content") > 0)
-    facts = f.select("path", F.length(c).alias("size"), binary.file_format(F.col("path"), c).alias("format"), F.round(binary.byte_entropy(c), 4).alias("entropy"))
-    out = _finding(facts, "ingest", "file", "info", F.concat_ws(" ", "format", F.col("size").cast("string")))
-    out = out.unionByName(_finding(facts, "ingest", "entropy", F.when(F.col("entropy") >= HIGH_ENTROPY, "medium").otherwise("info"), F.col("entropy").cast("string")))
-    bundle = f.filter(binary.latin(c).contains(BUNDLE_MAGIC.decode("latin-1")))
-    out = out.unionByName(_finding(bundle, "ingest", "packer:pyinstaller", "medium", "self-extracting bundle"))
-    text = f.select("path", binary.latin(c).alias("text"))
-    found = rules.matches(text)
-    out = out.unionByName(_finding(found, "yara", F.concat(F.lit("rule:"), "rule"), F.col("severity"), F.col("category")))
+    # Both functions over bytes are evaluated in one pass of Python.
+    m = f.select("path", "content", binary.byte_entropy(c).alias("entropy"), binary.score_components(c).alias("parts"))
     # Capabilities look at the printable runs that an artifact keeps.
-    strings = f.select("path", F.array_join(binary.printable_runs(c), "\n").alias("text"))
-    able = rules.capabilities(strings)
-    out = out.unionByName(_finding(able, "capa", F.concat(F.lit("capability:"), "capability"), F.col("severity"), F.col("capability")))
-    scored = f.select("path", binary.heuristic_score(binary.score_components("content"), c).alias("score")).withColumn("severity", binary.score_severity(F.col("score")))
-    return out.unionByName(_finding(scored.filter("severity IS NOT NULL"), "ember", "ml:classification", F.col("severity"), F.round("score", 4).cast("string")))
+    m = m.select(
+        "path", F.length(c).alias("size"), binary.file_format(F.col("path"), c).alias("format"), F.round("entropy", 4).alias("entropy"), binary.heuristic_score(F.col("parts"), c).alias("score"),
+        binary.latin(c).alias("text"), F.array_join(binary.printable_runs(c), "\n").alias("strings"),
+    )
+    text = F.col("text")
+    column = lambda x: F.lit(x) if isinstance(x, str) else x
+    made = lambda source, category, severity, message: F.struct(*[column(x).alias(n) for n, x in (("source", source), ("category", category), ("severity", severity), ("message", message))])
+    ruled = [] if rule_text is not None else rules.rule_cells(text)
+    held = lambda cells, make: [arrays.let(x, lambda v: F.when(v.isNotNull(), make(v))) for x in cells]
+    severity = binary.score_severity(F.col("score"))
+    cells = [
+        made("ingest", "file", "info", F.concat_ws(" ", "format", F.col("size").cast("string"))),
+        made("ingest", "entropy", F.when(F.col("entropy") >= HIGH_ENTROPY, "medium").otherwise("info"), F.col("entropy").cast("string")),
+        F.when(text.contains(BUNDLE_MAGIC.decode("latin-1")), made("ingest", "packer:pyinstaller", "medium", "self-extracting bundle")),
+        *held(ruled, lambda v: made("yara", F.concat(F.lit("rule:"), v["rule"]), v["severity"], v["category"])),
+        *held(rules.capability_cells(F.col("strings")), lambda v: made("capa", F.concat(F.lit("capability:"), v["capability"]), v["severity"], v["capability"])),
+        F.when(severity.isNotNull(), made("ember", "ml:classification", severity, F.round("score", 4).cast("string"))),
+    ]
+    out = m.select("path", F.explode_outer(F.array_compact(F.array(*cells))).alias("o")).select("path", "o.*")
+    if rule_text is None:
+        return out
+    found = rulefile.matches(f, rule_text)
+    return out.unionByName(found.select("path", F.lit("yara").alias("source"), "category", "severity", "message"))
 
 
 def heuristic_functions(files: DataFrame, *, limit: int = NEEDLE_LIMIT) -> DataFrame:
-    """(path, ordinal, needle, category, at, start, end, triage_score, region_hash): the first needles of each file, by offset.
+    """(path, ordinal, at, needle, category, start, end, triage_score, region_hash): the first needles of each file, by offset.
 
     The region hash is over the first 64 bytes of the window around the needle.
     """
-    text = files.select("path", binary.latin(F.col("content")).alias("text"))
-    rows = rules.needle_offsets(text).groupBy("path").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "needle", "category"))), 1, limit).alias("m"))
-    first = rows.select("path", F.posexplode("m").alias("ordinal", "m")).select("path", "ordinal", "m.*")
+    c = F.col("content")
+    found = F.transform(rules.needle_list(binary.latin(c)), lambda x: F.struct(x["at"].alias("at"), x["needle"].alias("needle"), x["category"].alias("category")))
+    rows = files.select("path", "content", F.slice(F.array_sort(found), 1, limit).alias("m"))
+    hashed = lambda x: x.withField("region_hash", F.sha2(F.substring(c, F.greatest(x["at"] - 0x80, F.lit(0)) + 1, F.lit(64)), 256))
+    first = rows.select("path", F.posexplode_outer(F.transform("m", hashed)).alias("ordinal", "m")).filter("m IS NOT NULL").select("path", "ordinal", "m.*")
     around = binary.region(F.col("at"))
-    first = first.select("*", around["start"].alias("start"), around["end"].alias("end"), F.greatest(F.lit(0.1), 0.9 - 0.05 * F.col("ordinal")).alias("triage_score"))
-    from_ = F.greatest(F.col("at") - 0x80, F.lit(0)) + 1
-    j = first.join(files.select("path", "content"), "path")
-    return j.withColumn("region_hash", F.sha2(F.substring("content", from_, F.lit(64)), 256)).drop("content")
+    score = F.greatest(F.lit(0.1), 0.9 - 0.05 * F.col("ordinal"))
+    return first.select("path", "ordinal", "at", "needle", "category", around["start"].alias("start"), around["end"].alias("end"), score.alias("triage_score"), "region_hash")
 
 
 def baseline_rows(files: DataFrame, product: str, signer: str | None = None) -> DataFrame:

@@ -43,28 +43,37 @@ def has_string(text: Column, rule: Rule, string: str) -> Column:
     return found
 
 
-def matches(files: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
-    """The columns of `files` but the text, with rule, category, severity and n_strings for each rule that holds."""
-    t = F.col(text)
+def rule_cells(text: Column, rules: tuple[Rule, ...] = RULES) -> list[Column]:
+    """For each rule a struct of rule, category, severity and n_strings where it holds, else null."""
     cells = []
     for r in rules:
-        n = sum(has_string(t, r, s).cast("int") for s in r.strings)
-        holds = (n >= r.least) & (t.rlike(r.regex) if r.regex else F.lit(True))
+        n = sum(has_string(text, r, s).cast("int") for s in r.strings)
+        holds = (n >= r.least) & (text.rlike(r.regex) if r.regex else F.lit(True))
         cells.append(F.when(holds, F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), n.alias("n_strings"))))
+    return cells
+
+
+def matches(files: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
+    """The columns of `files` but the text, with rule, category, severity and n_strings for each rule that holds."""
     others = [c for c in files.columns if c != text]
-    return files.select(*others, F.explode(F.array_compact(F.array(*cells))).alias("_m")).select(*others, "_m.*")
+    return files.select(*others, F.explode(F.array_compact(F.array(*rule_cells(F.col(text), rules)))).alias("_m")).select(*others, "_m.*")
 
 
-def capabilities(files: DataFrame, table=P.CAPABILITIES, *, text: str = "text") -> DataFrame:
-    """The columns of `files` but the text, with capability and severity for each entry all of whose words occur."""
+def capability_cells(text: Column, table=P.CAPABILITIES) -> list[Column]:
+    """For each entry a struct of capability and severity where all of its words occur, else null."""
     cells = []
     for words, name, severity in table:
         holds = F.lit(True)
         for w in words:
-            holds = holds & F.col(text).contains(w)
+            holds = holds & text.contains(w)
         cells.append(F.when(holds, F.struct(F.lit(name).alias("capability"), F.lit(severity).alias("severity"))))
+    return cells
+
+
+def capabilities(files: DataFrame, table=P.CAPABILITIES, *, text: str = "text") -> DataFrame:
+    """The columns of `files` but the text, with capability and severity for each entry all of whose words occur."""
     others = [c for c in files.columns if c != text]
-    return files.select(*others, F.explode(F.array_compact(F.array(*cells))).alias("_m")).select(*others, "_m.*")
+    return files.select(*others, F.explode(F.array_compact(F.array(*capability_cells(F.col(text), table)))).alias("_m")).select(*others, "_m.*")
 
 
 def needle_offsets(files: DataFrame, needles=P.NEEDLES, *, text: str = "text") -> DataFrame:
@@ -74,16 +83,20 @@ def needle_offsets(files: DataFrame, needles=P.NEEDLES, *, text: str = "text") -
     folded: other letters may change their length.
     """
     others = [c for c in files.columns if c != text]
+    return files.select(*others, F.explode(needle_list(F.col(text), needles)).alias("_m")).select(*others, "_m.*")
+
+
+def needle_list(text: Column, needles=P.NEEDLES) -> Column:
+    """The same occurrences in one array, needle by needle."""
     cells = []
     for needle, category in needles:
         if any(needle.startswith(needle[k:]) for k in range(1, len(needle))):
             raise ValueError(f"{needle!r} overlaps itself")
         pattern = ("(?i)" if needle == needle.lower() else "") + r"\Q" + needle + r"\E"
-        parts = F.split(F.col(text), pattern)
+        parts = F.split(text, pattern)
         sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p) + len(needle))  # noqa: B023
-        cells.append(F.when(F.col(text).rlike(pattern), F.transform(arrays.running(sizes), _occurrence(needle, category))))
-    found = F.flatten(F.array_compact(F.array(*cells)))
-    return files.select(*others, F.explode(found).alias("_m")).select(*others, "_m.*")
+        cells.append(F.when(text.rlike(pattern), F.transform(arrays.running(sizes), _occurrence(needle, category))))
+    return F.flatten(F.array_compact(F.array(*cells)))
 
 
 def _occurrence(needle: str, category: str):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import binary, paths
-from assayer.operators import access, anomaly, artifacts, dependencies, graph, metrics, pyast, rank, repository, responses, rules, similarity, verdict
+from assayer.operators import access, anomaly, artifacts, dependencies, graph, metrics, pyast, rank, repository, responses, rulefile, similarity, verdict
 from assayer.operators import patterns as P
 from assayer.plans.catalog import FINDINGS_SQL, findings, query, sample_files, spread, table
 from assayer.sources import archive, files, reports, tables
@@ -227,36 +227,73 @@ def _strung(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", _text("doc_id").alias("path"), F.encode(F.concat(more, F.lit(" "), "text"), "UTF-8").alias("content"))
 
 
-def _rule_sql() -> str:
-    out = []
-    for i, s in enumerate(_STRINGS):
-        text = " ".join(s)
-        for r in rules.RULES:
-            n = 0
-            for x in r.strings:
-                source, needle = (text.lower(), x.lower()) if x in r.nocase else (text, x)
-                n += needle in source or (x in r.wide and "".join(c + "\0" for c in needle) in source)
-            if n >= r.least and (r.regex is None or "://" in text):
-                out.append((i, f"rule:{r.name}", r.severity))
-        for words, name, severity in P.CAPABILITIES:
-            if all(w in text for w in words):
-                out.append((i, f"capability:{name}", severity))
-        if "MEI\014" in text:
-            out.append((i, "packer:pyinstaller", "medium"))
-        out.append((i, "file", "info"))
-    return ", ".join(f"({i}, '{c}', '{s}')" for i, c, s in out)
-
-
-@query(f"WITH expected(number, category, severity) AS (VALUES {_rule_sql()}) SELECT CAST(doc_id AS VARCHAR) AS path, category, severity FROM documents JOIN expected ON number = doc_id % {len(_STRINGS)}")
+#: What the strings of each number must give, besides the file itself; found by reading the rules, not by running them.
+_EXPECTED = """(1, 'rule:ProcessInjection', 'high'), (1, 'capability:process_injection', 'high'), (2, 'rule:ShellExecution', 'medium'), (3, 'rule:SuspiciousNetwork', 'medium'),
+  (4, 'rule:AntiAnalysis', 'high'), (4, 'capability:anti_analysis', 'medium'), (5, 'rule:MemoryManipulation', 'high'), (5, 'capability:memory_exec', 'high'), (6, 'rule:ShellExecution', 'medium'),
+  (7, 'capability:downloader', 'high'), (8, 'packer:pyinstaller', 'medium'), (9, 'rule:ShellExecution', 'medium'), (9, 'capability:script_execution', 'medium')"""
+
+
+@query(
+    f"""WITH expected(number, category, severity) AS (VALUES {_EXPECTED})
+    SELECT CAST(doc_id AS VARCHAR) AS path, category, severity FROM documents JOIN expected ON number = doc_id % {len(_STRINGS)} UNION ALL SELECT CAST(doc_id AS VARCHAR), 'file', 'info' FROM documents"""
+)
 def artifact_findings(spark, sf_dir):
-    """Findings of rules, capabilities and bundles in bytes; what each kind of string must give is stated by hand in SQL."""
+    """Findings of rules, capabilities and bundles in bytes; what each kind of string must give is stated by hand in SQL. Entropy and score: see artifact_measures."""
     found = artifacts.observations(_strung(spark, sf_dir).select("path", "content"))
     return found.filter("category NOT IN ('entropy', 'ml:classification')").select("path", "category", "severity")
 
 
 @query(
-    """WITH sized AS (SELECT doc_id, octet_length(encode(text)) AS before, n FROM (SELECT *, (['WinExec', 'dlopen', 'LoadLibrary', 'socket'])[doc_id % 4 + 1] AS n FROM documents))
-       SELECT doc_id, n AS needle, before + 1 AS at FROM sized UNION ALL SELECT doc_id, 'curl', before + length(n) + 2 FROM sized UNION ALL SELECT doc_id, n, before + length(n) + 7 FROM sized"""
+    f"""WITH {_SCORES} SELECT path, 'entropy' AS category, CASE WHEN entropy >= 7.2 THEN 'medium' ELSE 'info' END AS severity FROM scored
+    UNION ALL SELECT path, 'ml:classification', CASE WHEN score >= 0.95 THEN 'critical' WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END FROM scored WHERE score >= 0.3"""
+)
+def artifact_measures(spark, sf_dir):
+    """Findings of entropy and heuristic score of every artifact."""
+    found = artifacts.observations(_blobs(spark, sf_dir).select("path", "content"))
+    return found.filter("category IN ('entropy', 'ml:classification')").select("path", "category", "severity")
+
+
+_RULE_TEXT = r"""
+rule Often { meta: severity = "high" category = "often" strings: $a = "th" nocase condition: #a > 40 }
+rule Opens { meta: category = "opens" strings: $t = "Th" $u = "L" condition: $t at 0 or $u at 0 }
+rule Near : place { strings: $e = "error" fullword $f = "password" $g = /[0-9]{5}/ condition: any of them and not Opens and filesize < 4KB }
+rule Wide { meta: severity = "low" strings: $w = "cmd.exe" wide nocase condition: $w }
+rule Never { strings: $x = "\x01\x02never" condition: all of them }
+"""
+
+
+@query(
+    r"""WITH said AS (SELECT CAST(doc_id AS VARCHAR) AS path, text, strlen(text) AS size, starts_with(text, 'Th') OR starts_with(text, 'L') AS opens,
+        len(regexp_extract_all(text, '(?i)th')) AS often, (regexp_matches(text, '(^|[^A-Za-z0-9])error([^A-Za-z0-9]|$)')) AS e, contains(text, 'password') AS f, regexp_matches(text, '[0-9]{5}') AS g FROM documents)
+    SELECT path, 'Often' AS rule, 'rule:often' AS category, 'high' AS severity, often AS n FROM said WHERE often > 40
+    UNION ALL SELECT path, 'Opens', 'rule:opens', 'medium', NULL FROM said WHERE opens
+    UNION ALL SELECT path, 'Near', 'rule:Near', 'medium', NULL FROM said WHERE (e OR f OR g) AND NOT opens AND size < 4096"""
+)
+def rule_file_findings(spark, sf_dir):
+    """Rules given as text, over the bytes of all documents; n is the number of matches where SQL counts them too."""
+    files = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(_text("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    found = rulefile.matches(files, _RULE_TEXT)
+    return found.select("path", "rule", "category", "severity", F.when(F.col("rule") == "Often", F.col("n_matches")).alias("n"))
+
+
+@query(
+    """WITH said AS (SELECT CAST(doc_id AS VARCHAR) AS path, text, regexp_extract_all(text, '[0-9]{5}') AS hits FROM documents),
+       first AS (SELECT path, text, hits[1] AS hit, strlen(string_split_regex(text, '[0-9]{5}')[1]) AS place FROM said WHERE len(hits) > 0)
+    SELECT path, '$d' AS identifier, place AS "at", hit AS data, printf('0x%x', place) AS address FROM first"""
+)
+def rule_file_offsets(spark, sf_dir):
+    """Byte offset and bytes of the first match of a pattern of a rule text."""
+    files = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(_text("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    found = rulefile.matches(files, "rule Digits { strings: $d = /[0-9]{5}/ condition: $d }").select("path", F.get("strings", F.lit(0)).alias("s"), F.get("addresses", F.lit(0)).alias("address"))
+    return found.select("path", "s.identifier", "s.at", "s.data", "address")
+
+
+@query(
+    """WITH sized AS (SELECT doc_id, octet_length(encode(text)) AS before, n FROM (SELECT *, (['WinExec', 'dlopen', 'LoadLibrary', 'socket'])[doc_id % 4 + 1] AS n FROM documents)),
+       found AS (SELECT doc_id, n AS needle, before + 1 AS place FROM sized UNION ALL SELECT doc_id, 'curl', before + length(n) + 2 FROM sized UNION ALL SELECT doc_id, n, before + length(n) + 7 FROM sized)
+       SELECT f.doc_id, needle, place AS "at", printf('0x%x', greatest(place - 128, 0)) AS start, printf('0x%x', place + 384) AS "end",
+         sha256(unhex(substr(hex(encode(text || ' ' || s.n || ' CURL ' || s.n)), 2 * greatest(place - 128, 0) + 1, 128))) AS region_hash
+       FROM found f JOIN sized s USING (doc_id) JOIN documents d USING (doc_id)"""
 )
 def needle_functions(spark, sf_dir):
     """The needles written after each text are the last three of its heuristic functions (texts hold none of their own that follow)."""
@@ -264,7 +301,7 @@ def needle_functions(spark, sf_dir):
     n = F.get(F.array(*map(F.lit, ("WinExec", "dlopen", "LoadLibrary", "socket"))), (F.col("doc_id") % 4).cast("int"))
     f = artifacts.heuristic_functions(d.select(_text("doc_id").alias("path"), F.encode(F.concat("text", F.lit(" "), n, F.lit(" CURL "), n), "UTF-8").alias("content")), limit=1 << 30)
     last = f.groupBy("path").agg(F.max("ordinal").alias("last"))
-    return f.join(last, "path").filter("ordinal > last - 3").select(F.col("path").cast("long").alias("doc_id"), "needle", F.col("at").cast("long").alias("at"))
+    return f.join(last, "path").filter("ordinal > last - 3").select(F.col("path").cast("long").alias("doc_id"), "needle", F.col("at").cast("long").alias("at"), "start", "end", "region_hash")
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
