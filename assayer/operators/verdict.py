@@ -18,13 +18,14 @@ def prefix(category: Column) -> Column:
 
 
 def severity_counts() -> list[Column]:
-    """Aggregates that the ladders need: n_high (high or critical), n_medium, n_vectors, n."""
+    """Aggregates that the ladders need: n_high (high or critical), n_medium, n_vectors, vectors (kinds of attack, sorted), n_findings, coverage_gap."""
     medium = F.col("severity") == "medium"
     vector = F.when(medium & ~prefix(F.col("category")).isin(*P.NON_ATTACK_PREFIXES), prefix(F.col("category")))
     return [
         F.count_if(F.col("severity").isin("high", "critical")).alias("n_high"),
         F.count_if(medium).alias("n_medium"),
-        F.count_distinct(vector).alias("n_vectors"),
+        F.size(F.collect_set(vector)).cast("long").alias("n_vectors"),
+        F.array_sort(F.collect_set(vector)).alias("vectors"),
         F.count("*").alias("n_findings"),
         F.max(F.when(F.col("category") == "coverage_gap", 1).otherwise(0)).alias("coverage_gap"),
     ]
@@ -39,7 +40,8 @@ def submission_verdicts(findings: DataFrame, roots: DataFrame) -> DataFrame:
     """The ladder for each submission.
 
     findings: submission, severity, category (of all artifacts); roots: submission, trusted, baseline_id, matched, distance, dynamic_gap
-    (of the root artifact; distance 1 where there is no baseline). Submissions without findings have a verdict too.
+    (of the root artifact; distance 1 where there is no baseline). Submissions without findings have a verdict too. reasons: why the state is what it is;
+    summary: what the state means.
     """
     found = findings.groupBy("submission").agg(*severity_counts())
     j = roots.join(found, "submission", "left").fillna(0, ["n_high", "n_medium", "n_vectors", "n_findings", "coverage_gap"])
@@ -61,21 +63,66 @@ def submission_verdicts(findings: DataFrame, roots: DataFrame) -> DataFrame:
             F.when(F.col("baseline_id").isNull(), "register_baseline"),
         )
     )
-    return j.select("submission", "state", "n_high", "n_medium", "n_vectors", "n_findings", pending.alias("pending"))
+    # Of the steps that set the state the last one that did is the reason.
+    known = cleared & (quiet | ((F.col("n_high") == 0) & ~is_compound()))
+    reasons = (
+        F.when(~F.col("trusted") & F.col("baseline_id").isNull() & quiet, F.array(F.lit("neither trusted provenance nor a baseline")))
+        .when(known, F.array(F.lit("trusted provenance and a matching baseline, nothing left open")))
+        .when(F.col("n_high") > 0, F.array(F.concat(F.col("n_high").cast("string"), F.lit(" findings of high severity"))))
+        .when(is_compound(), F.array(_chain()))
+        .when((F.col("n_medium") > 0) | (F.col("distance") >= 0.2), F.array_compact(F.array(F.when(F.col("n_medium") > 0, _mediums()), F.when(F.col("distance") >= 0.2, "far from every baseline"))))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    j = j.withColumns({"reasons": reasons, "summary": summary(F.col("state"))})
+    return j.select("submission", "state", "n_high", "n_medium", "n_vectors", "n_findings", pending.alias("pending"), "reasons", "summary")
+
+
+SUMMARIES = {
+    "clean": "meets the conditions of a clean verdict", "suspicious": "to be looked at before release", "malicious": "malicious with high confidence", "inconclusive": "not cleared by the evidence there is",
+}
+
+
+def summary(state: Column) -> Column:
+    """What a state means."""
+    return F.coalesce(*[F.when(state == s, F.lit(said)) for s, said in SUMMARIES.items()])
+
 
+def _mediums() -> Column:
+    return F.concat(F.col("n_medium").cast("string"), F.lit(" findings of medium severity"))
 
-def repository_verdicts(findings: DataFrame, key: str, every: DataFrame | None = None) -> DataFrame:
-    """The ladder for each repository: of `every` (key), clean where nothing was found, or else of those with findings."""
+
+def _chain() -> Column:
+    """An attack in several steps: how many medium findings, over which kinds."""
+    return F.concat(_mediums(), F.lit(" over "), F.col("n_vectors").cast("string"), F.lit(" kinds of attack: "), F.array_join("vectors", ", "))
+
+
+def repository_verdicts(findings: DataFrame, key: str, every: DataFrame | None = None, binaries: DataFrame | None = None) -> DataFrame:
+    """The ladder for each repository: of `every` (key), clean where nothing was found, or else of those with findings or binaries.
+
+    binaries: key, state of each binary in the repository; a malicious one makes it malicious, a suspicious one at least suspicious. reasons: why, all that apply to the state.
+    """
+    none = ["n_high", "n_medium", "n_vectors", "n_findings", "bad_binaries", "odd_binaries"]
     found = findings.groupBy(key).agg(*severity_counts())
+    if binaries is not None:
+        of = binaries.groupBy(key).agg(F.count_if(F.col("state") == "malicious").alias("bad_binaries"), F.count_if(F.col("state") == "suspicious").alias("odd_binaries"))
+        found = found.join(of, key, "full")
+    else:
+        found = found.withColumns({"bad_binaries": F.lit(0).cast("long"), "odd_binaries": F.lit(0).cast("long")})
     if every is not None:
-        found = every.select(key).distinct().join(found, key, "left").fillna(0, ["n_high", "n_medium", "n_vectors", "n_findings"])
-    state = (
-        F.when((F.col("n_high") > 0) | is_compound(), "malicious")
-        .when(F.col("n_medium") > 0, "suspicious")
-        .when(F.col("n_findings") > 0, "inconclusive")
-        .otherwise("clean")
+        found = every.select(key).distinct().join(found, key, "left")
+    found = found.fillna(0, none)
+    high, bad, chain = F.col("n_high") > 0, F.col("bad_binaries") > 0, is_compound()
+    medium, odd = F.col("n_medium") > 0, F.col("odd_binaries") > 0
+    state = F.when(high | bad | chain, "malicious").when(medium | odd, "suspicious").when(F.col("n_findings") > 0, "inconclusive").otherwise("clean")
+    count = lambda c, said: F.concat(F.col(c).cast("string"), F.lit(said))
+    reasons = (
+        F.when(high | bad, F.array(F.when(high, count("n_high", " findings of high severity")), F.when(bad, count("bad_binaries", " malicious binaries"))))
+        .when(chain, F.array(_chain()))
+        .when(medium | odd, F.array(F.when(medium, _mediums()), F.when(odd, count("odd_binaries", " suspicious binaries"))))
+        .when(F.col("n_findings") > 0, F.array(F.lit("only weak findings")))
+        .otherwise(F.array(F.lit("nothing found")))
     )
-    return found.select(key, state.alias("state"), "n_high", "n_medium", "n_vectors", "n_findings")
+    return found.select(key, state.alias("state"), "n_high", "n_medium", "n_vectors", "n_findings", F.array_compact(reasons).alias("reasons"))
 
 
 def statistics(files: DataFrame, findings: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import arrays, binary, paths
-from assayer.operators import anomaly, detectors, graph, metrics, rank, rules, similarity, verdict
+from assayer.operators import anomaly, detectors, graph, lineage, metrics, rank, rules, similarity, verdict
 from assayer.operators import patterns as P
 from assayer.plans import samples
 from assayer.sources import sinks
@@ -241,7 +241,31 @@ _LADDER = """SELECT repo, n_high, n_medium, n_vectors, n_findings,
 
 @query(f"WITH {FINDINGS_SQL} {_LADDER}")
 def verdict_by_group(spark, sf_dir):
-    return verdict.repository_verdicts(findings(spark, sf_dir), "repo", sample_files(spark, sf_dir))
+    return verdict.repository_verdicts(findings(spark, sf_dir), "repo", sample_files(spark, sf_dir)).drop("reasons")
+
+
+_CHAINED = "n_medium >= 3 AND n_vectors >= 3"
+_MEDIUM_SQL = "n_medium || ' findings of medium severity'"
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, tallied AS (SELECT repo, count(*) FILTER (severity IN ('high', 'critical')) AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) AS n_findings,
+        list_sort(list(DISTINCT split_part(category, ':', 1)) FILTER (severity = 'medium' AND split_part(category, ':', 1) NOT IN ({", ".join(map(repr, P.NON_ATTACK_PREFIXES))}))) AS vectors FROM found GROUP BY 1),
+      binaries AS (SELECT source || '-' || (doc_id % {samples.REPOSITORIES}) AS repo, count(*) FILTER (toxic = 1) AS bad, count(*) FILTER (toxic = 0 AND quality = 0) AS odd FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+      joined AS (SELECT repo, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(n_findings, 0) AS n_findings, coalesce(bad, 0) AS bad, coalesce(odd, 0) AS odd, vectors, coalesce(len(vectors), 0) AS n_vectors
+        FROM (SELECT DISTINCT repo FROM files) LEFT JOIN tallied USING (repo) LEFT JOIN binaries USING (repo))
+    SELECT repo, CASE WHEN n_high > 0 OR bad > 0 OR ({_CHAINED}) THEN 'malicious' WHEN n_medium > 0 OR odd > 0 THEN 'suspicious' WHEN n_findings > 0 THEN 'inconclusive' ELSE 'clean' END AS state,
+      CASE WHEN n_high > 0 OR bad > 0 THEN list_filter([CASE WHEN n_high > 0 THEN n_high || ' findings of high severity' END, CASE WHEN bad > 0 THEN bad || ' malicious binaries' END], lambda x: x IS NOT NULL)
+        WHEN {_CHAINED} THEN [{_MEDIUM_SQL} || ' over ' || n_vectors || ' kinds of attack: ' || array_to_string(vectors, ', ')]
+        WHEN n_medium > 0 OR odd > 0 THEN list_filter([CASE WHEN n_medium > 0 THEN {_MEDIUM_SQL} END, CASE WHEN odd > 0 THEN odd || ' suspicious binaries' END], lambda x: x IS NOT NULL)
+        WHEN n_findings > 0 THEN ['only weak findings'] ELSE ['nothing found'] END AS reasons FROM joined"""
+)
+def repository_reasons(spark, sf_dir):
+    """Verdicts of repositories that hold binaries too (labelled documents: toxic ones malicious, bad ones suspicious), and why."""
+    repo = F.concat("source", F.lit("-"), (F.col("doc_id") % samples.REPOSITORIES).cast("string"))
+    labelled = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    binaries = labelled.select(repo.alias("repo"), F.when(F.col("toxic") == 1, "malicious").when((F.col("toxic") == 0) & (F.col("quality") == 0), "suspicious").otherwise("clean").alias("state"))
+    return verdict.repository_verdicts(findings(spark, sf_dir), "repo", sample_files(spark, sf_dir), binaries).select("repo", "state", "reasons")
 
 
 @query(
@@ -257,6 +281,10 @@ def verdict_by_group(spark, sf_dir):
        FROM counts"""
 )
 def submission_verdicts(spark, sf_dir):
+    return verdict.submission_verdicts(*_submissions(spark, sf_dir)).select(F.col("submission").alias("day"), "state", "n_high", "n_medium", "n_vectors", "n_findings")
+
+
+def _submissions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     found = e.select(
         F.to_date("ts").alias("submission"),
@@ -267,7 +295,38 @@ def submission_verdicts(spark, sf_dir):
     roots = found.select("submission").distinct().select(
         "submission", even.alias("trusted"), F.when(even, "b").alias("baseline_id"), even.alias("matched"), F.when(even, 0.1).otherwise(1.0).alias("distance"), F.lit(False).alias("dynamic_gap")
     )
-    return verdict.submission_verdicts(found, roots).select(F.col("submission").alias("day"), "state", "n_high", "n_medium", "n_vectors", "n_findings")
+    return found, roots
+
+
+@query(
+    """WITH found AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN value >= 300 THEN 'high' WHEN value >= 20 THEN 'medium' ELSE 'info' END AS severity, event_type, event_type = 'purchase' AND value < 1 AS gap FROM events),
+      c AS (SELECT day, day(day) % 2 = 0 AS good, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m, bool_or(gap) AS gap,
+        list_sort(list(DISTINCT event_type) FILTER (severity = 'medium' AND NOT gap)) AS v FROM found GROUP BY 1)
+    SELECT day, CASE WHEN NOT good AND h = 0 AND m = 0 THEN ['neither trusted provenance nor a baseline'] WHEN good AND NOT gap AND h = 0 AND NOT (m >= 3 AND len(v) >= 3) THEN ['trusted provenance and a matching baseline, nothing left open']
+        WHEN h > 0 THEN [h || ' findings of high severity'] WHEN m >= 3 AND len(v) >= 3 THEN [m || ' findings of medium severity over ' || len(v) || ' kinds of attack: ' || array_to_string(v, ', ')]
+        WHEN m > 0 OR NOT good THEN list_filter([CASE WHEN m > 0 THEN m || ' findings of medium severity' END, CASE WHEN NOT good THEN 'far from every baseline' END], lambda x: x IS NOT NULL) ELSE [] END AS reasons FROM c"""
+)
+def submission_reasons(spark, sf_dir):
+    """Why each day's submission has its verdict."""
+    return verdict.submission_verdicts(*_submissions(spark, sf_dir)).select(F.col("submission").alias("day"), "reasons")
+
+
+@query(
+    """WITH RECURSIVE links AS (SELECT 'c' || o_custkey AS parent, 'o' || o_orderkey AS child FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || p_partkey, p_brand FROM part
+        UNION SELECT p_brand, 'm' || right(p_brand, 1) FROM part UNION SELECT 'm' || right(p_brand, 1), p_brand FROM part),
+      walk AS (SELECT DISTINCT 'c' || o_custkey AS root, 'c' || o_custkey AS content, 0 AS depth FROM orders UNION SELECT root, child, depth + 1 FROM walk JOIN links ON parent = content WHERE depth < 8)
+    SELECT root, content, min(depth) AS depth FROM walk GROUP BY 1, 2"""
+)
+def lineage_reach(spark, sf_dir):
+    """What every customer holds through orders, parts and brands, which lie in each other in a cycle."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    o, l, p = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+    maker = F.concat(F.lit("m"), F.right("p_brand", F.lit(1)))
+    pairs = [o.select(name("c", "o_custkey"), name("o", "o_orderkey")), l.select(name("o", "l_orderkey"), name("p", "l_partkey")), p.select(name("p", "p_partkey"), "p_brand"), p.select("p_brand", maker), p.select(maker, "p_brand")]
+    edges = pairs[0].toDF("parent", "child")
+    for more in pairs[1:]:
+        edges = edges.union(more)
+    return lineage.reached(o.select(name("c", "o_custkey").alias("root")), edges, depth=8)
 
 
 @query(

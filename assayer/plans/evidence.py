@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import binary, paths
-from assayer.operators import access, anomaly, artifacts, dependencies, graph, metrics, pyast, rank, repository, responses, rulefile, similarity, verdict
+from assayer.operators import access, anomaly, artifacts, dependencies, detectors, graph, lineage, metrics, pyast, rank, repository, responses, rulefile, similarity, verdict
 from assayer.operators import patterns as P
 from assayer.plans.catalog import FINDINGS_SQL, findings, query, sample_files, spread, table
 from assayer.sources import archive, files, reports, tables
+from assayer.sources.shared import checkpointed
 
 
 def _text(c: str) -> Column:
@@ -333,6 +334,45 @@ def archive_members(spark, sf_dir):
     return found.filter("path LIKE '%.txt'").select("path", "depth", F.sha2("content", 256).alias("sha256"))
 
 
+def _buried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each file at the bottom of as many zips in each other as its id says, 1 to 8; every second one twice, under two names."""
+    for batch in batches:
+        rows = []
+        for doc, path, text in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
+            name, data = path.split("/", 2)[2], text.encode()
+            for level in range(doc % 8 + 1):
+                packed = io.BytesIO()
+                with zipfile.ZipFile(packed, "w") as z:
+                    z.writestr(zipfile.ZipInfo(name), data)
+                    if doc % 2 and not level:
+                        z.writestr(zipfile.ZipInfo(f"copy/{name}"), data)
+                name, data = f"{level}.zip", packed.getvalue()
+            rows.append((str(doc), f"{doc}.zip", data))
+        yield pd.DataFrame(rows, columns=["root_path", "path", "content"])
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, c AS (SELECT split_part(path, '/', 2) AS root_path, count(*) FILTER (severity IN ('high', 'critical')) AS h, count(*) FILTER (severity = 'medium') AS m,
+        len(list(DISTINCT split_part(category, ':', 1)) FILTER (severity = 'medium' AND split_part(category, ':', 1) NOT IN ('unresolved', 'ast', 'coverage_gap', 'llm'))) AS v FROM found GROUP BY 1)
+    SELECT CAST(doc_id AS VARCHAR) AS root_path, CASE WHEN h > 0 OR (m >= 3 AND v >= 3) THEN 'malicious' WHEN m > 0 THEN 'suspicious' ELSE 'inconclusive' END AS state, doc_id % 8 + 1 AS depth
+    FROM documents LEFT JOIN c ON root_path = CAST(doc_id AS VARCHAR)"""
+)
+def nested_verdicts(spark, sf_dir):
+    """What lies up to eight archives deep counts for the archive that was sent in."""
+    sent = sample_files(spark, sf_dir).select("doc_id", "path", "content").mapInPandas(_buried, "root_path string, path string, content binary")
+    every = checkpointed(archive.unpacked(sent, depth=9).withColumn("content_sha256", F.sha2("content", 256)))
+    roots = every.filter("depth = 0").select(F.col("content_sha256").alias("root"), F.split_part("path", F.lit("."), F.lit(1)).alias("root_path"))
+    pairs = lineage.reached(roots, every.select(F.col("parent_sha256").alias("parent"), F.col("content_sha256").alias("child")), depth=9)
+    # Each content is looked at once, under one of its names, without the folder of copies.
+    texts = every.filter("path NOT LIKE '%.zip'").groupBy(F.col("content_sha256").alias("content")).agg(F.min(F.struct(F.replace(F.element_at(F.split("path", "!"), -1), F.lit("copy/"), F.lit("")).alias("name"), F.col("content").alias("data"))).alias("t"))
+    named = texts.select(F.concat_ws("/", "content", "t.name").alias("path"), F.decode("t.data", "UTF-8").alias("content"))
+    found = detectors.observations(named).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("content"), "severity", "category")
+    one = roots.select(F.col("root").alias("submission"), F.lit(False).alias("trusted"), F.lit("b").alias("baseline_id"), F.lit(False).alias("matched"), F.lit(0.1).alias("distance"), F.lit(False).alias("dynamic_gap")).distinct()
+    states = lineage.root_verdicts(found, pairs, one).select(F.col("submission").alias("root"), "state")
+    deep = pairs.groupBy("root").agg(F.max("depth").alias("depth"))
+    return roots.join(states, "root").join(deep, "root").select("root_path", "state", F.col("depth").cast("long").alias("depth"))
+
+
 @query("SELECT user_id AS parent, count(*) FILTER (value >= 50 AND event_type <> 'view' AND value / 10 > 7.8) AS n FROM events GROUP BY 1 HAVING n > 2")
 def encrypted_members(spark, sf_dir):
     entries = table(spark, sf_dir, "events").select(F.col("user_id").alias("parent"), F.when(F.col("event_type") == "view", "a.DLL").otherwise("a.bin").alias("path"), F.col("value").alias("size"), (F.col("value") / 10).alias("entropy"))
