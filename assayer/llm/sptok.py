@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from . import words
 from .common import small_batches, table
 
-MEMO = 100_000
+MEMO = 200_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, model: str | None = None, order: str = "merges") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path, order)
-        for batch in small_batches(batches, 4096, place, 1 << 20):
+        for batch in small_batches(batches, 4096, place, 2 << 20):
             found = pieces.encode(batch.column(place))
             ends = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))

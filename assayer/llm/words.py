@@ -46,7 +46,7 @@ def encoded(texts: pa.Array, unclear: pa.Array, whole: Callable, units: Callable
 class Memo:
     """Ids of words that were encoded before: the first `most` of at most `chars` characters, which in a text are the usual ones."""
 
-    def __init__(self, encode: Callable, most: int = 200_000, chars: int = 48):
+    def __init__(self, encode: Callable, most: int = 300_000, chars: int = 48):
         self.encode, self.most, self.chars, self.known = encode, most, chars, {}
 
     def __call__(self, units: list[str]) -> list[bytes]:
