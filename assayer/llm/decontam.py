@@ -1,21 +1,22 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
-An item is found in a document if some part of the document's normalised text is within the item's edit budget
-(ERROR of its length) of the whole normalised item. A part within k edits shares at least m + 1 - q * (k + 1) of
-the item's q-grams, near one diagonal. So the scan hashes every q-gram of every document, looks it up among the items'
-q-grams, counts hits in diagonal bands of twice the budget that overlap by half, keeps the bands that reach the bound,
-and aligns the item with those parts only, inside the band. An alignment keeps the differences of neighbouring cells in the bits of
-two integers, a step of the band at a time; items that share their beginning share its steps.
+An item is found in a document if some part of the document's normalised text is within the edit budget (ERROR of its length) of the whole normalised item, or within
+PART_ERROR of one of its parts: its first, middle and last half, cut at words, where an item has LONG bytes or more (shorter ones: only whole, by PART_ERROR).
+Edits come in bursts: a replaced word of w bytes takes w + q - 1 of the m + 1 - q q-grams with it. A text within k edits in at most BURSTS places (or any
+(k + BURSTS * (q - 1)) / q edits) so shares m + 1 - q - k - BURSTS * (q - 1) q-grams, near one diagonal; LEAST_SHARE of all are asked for at least.
+The scan hashes every q-gram of every document, looks it up among those of items and parts, counts hits in diagonal bands of twice the budget that
+overlap by half, keeps the bands that reach the bound, and aligns with those parts only, inside the band. An alignment keeps the
+differences of neighbouring cells in the bits of two integers, a step of the band at a time; items that share their beginning share its steps.
 
 Normalised text: lower case, ASCII punctuation and white space as single spaces. Lengths and edits count UTF-8 bytes of it.
 Items of at most q bytes have no q-grams to spare: they are found as they are, from word to word, anywhere in a text.
 
 While the items have at most BLOCK_BYTES together (checked), every task holds them all, and documents are not shuffled. Beyond that,
-hits (only of q-grams that a bitmap of fixed size lets through) are joined with the items' q-grams by hash and counted, and only
-pairs that reach the bound meet their texts. Either way documents are read once and the driver holds no more than BLOCK_BYTES of items.
+hits (only of q-grams that a bitmap of fixed size lets through) are joined by hash with each item's rarest q-grams, as many as leave fewer than the bound needs: a pair
+that reaches the bound shares one of them, and a q-gram of many items joins with few. Only such pairs are counted, and only pairs that reach the bound meet their texts. Either way documents are read once and the driver holds no more than BLOCK_BYTES of items.
 
 Defined results: null or empty documents hold nothing; null or empty items, and those without an id, are never found. Equal items are each
-reported, equal rows of items once; repeated documents are each reported. Of equal distances the earliest end counts. Very long texts are
+reported, equal rows of items once; repeated documents are each reported. A whole item goes before its parts; of equal distances the earliest end counts. Very long texts are
 scanned in slices of rows, a long row as one; empty tables give no matches. Other columns of documents stay as they are.
 """
 
@@ -26,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-Q = 12
-ERROR = 0.06
+Q = 8
+ERROR, PART_ERROR = 0.2, 0.06
+LONG, BURSTS, LEAST_SHARE = 64, 3, 0.3
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
 #: Pairs of a hit and an item that are held at a time.
@@ -47,9 +49,23 @@ def normalise(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_SPACED).split())
 
 
-def budget(m: int, q: int = Q, error: float = ERROR) -> int:
-    """Edits allowed for an item of m bytes: its share of errors, or fewer, so that one shared q-gram at least is left."""
-    return max(0, min(int(m * error), (m - q) // q))
+def parts_of(item: bytes) -> list[bytes]:
+    """A normalised item and, if it is long, its first, middle and last half, cut at words."""
+    out, m = [item], len(item)
+    for start in (0, m // 4, m // 2) if m >= LONG else ():
+        end = start + m // 2
+        begin = item.find(b" ", start) + 1 if start and item[start - 1 : start] != b" " else start
+        stop = item.rfind(b" ", 0, end + 1) if end < m and item[end : end + 1] != b" " else end
+        if stop - begin >= LONG // 3:
+            out.append(item[begin:stop])
+    return out
+
+
+def budget(m: int, whole: bool, q: int = Q, error: float = ERROR, part_error: float = PART_ERROR) -> tuple[int, int]:
+    """Edits allowed for an item or part of m bytes, and how many q-grams a text must share with it."""
+    k = int(m * (error if whole and m >= LONG else part_error))
+    n = m + 1 - q
+    return k, max(1, int(np.ceil(LEAST_SHARE * n)), n - k - BURSTS * (q - 1))
 
 
 def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
@@ -129,17 +145,19 @@ def _band(item_bytes: int, k: int, band: int) -> tuple[int, int, int, int]:
 class Items:
     """Items in memory, indexed by q-gram; those of at most q bytes by an Aho-Corasick automaton."""
 
-    def __init__(self, rows: list[tuple[int, str]], q: int, error: float):
+    def __init__(self, rows: list[tuple[int, str]], q: int, error: float, part_error: float):
         import ahocorasick
 
         self.q = q
         short: dict[bytes, list[int]] = defaultdict(list)
-        self.ids, self.texts = [], []
+        self.ids, self.texts, self.whole = [], [], []
         for item, text in rows:
             norm = normalise(text)
             if len(norm) > q:
-                self.ids.append(item)
-                self.texts.append(norm)
+                for i, part in enumerate(parts_of(norm)):
+                    self.ids.append(item)
+                    self.texts.append(part)
+                    self.whole.append(not i)
             elif norm:
                 short[norm].append(item)
         self.short = ahocorasick.Automaton()
@@ -149,8 +167,8 @@ class Items:
             self.short.make_automaton()
         size = [len(t) for t in self.texts]
         self.size = np.array(size, np.int64)
-        self.k = np.array([budget(m, q, error) for m in size], np.int64)
-        self.need = self.size + 1 - q * (self.k + 1)
+        bounds = [budget(m, w, q, error, part_error) for m, w in zip(size, self.whole, strict=True)]
+        self.k, self.need = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
         found = [grams(np.frombuffer(t, np.uint8), q) for t in self.texts]
         every = np.concatenate(found) if found else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(size)), [len(f) for f in found]) if found else np.zeros(0, np.int64)
@@ -214,15 +232,16 @@ class Items:
         parts = defaultdict(list)
         for d, o, b in zip(docs.tolist(), owners.tolist(), bands.tolist(), strict=True):
             parts[d, *_band(int(self.size[o]), int(self.k[o]), b)].append(o)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
         for (d, start, end, low, high), items in parts.items():
             aligner = Aligner(texts[d][start:end], low, high)
             for o in sorted(items, key=self.texts.__getitem__):
                 got = aligner.best(self.texts[o], int(self.k[o]))
-                if got and ((d, o) not in best or (got[0], start + got[1]) < best[d, o][:2]):
-                    best[d, o] = got[0], start + got[1], max(0, start + got[1] - len(self.texts[o]))
-        for (d, o), (distance, end, start) in sorted(best.items()):
-            yield d, self.ids[o], distance, start, end
+                if got:
+                    match = not self.whole[o], got[0], start + got[1], max(0, start + got[1] - len(self.texts[o]))
+                    best[d, self.ids[o]] = min(match, best.get((d, self.ids[o]), match))
+        for (d, item), (_, distance, end, start) in sorted(best.items()):
+            yield d, item, distance, start, end
 
 
 _MATCH = "array<struct<item_id: long, distance: int, start: int, end: int>>"
@@ -283,22 +302,23 @@ def _word_runs(text: bytes, q: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(names)
 
 
-def _item_grams(q: int, error: float):
+def _item_grams(q: int, error: float, part_error: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 norm = normalise(text)
-                k, m = budget(len(norm), q, error), len(norm)
-                if m > q:
-                    h, need = grams(np.frombuffer(norm, np.uint8), q), m + 1 - q * (k + 1)
-                elif norm:
-                    at, h = _word_runs(norm, q)
-                    h, need = h[at == 0][-1:], 1  # the whole item
-                else:
-                    continue
-                n = len(h)
-                columns = pa.array(h.view(np.int64)), pa.array([item] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array([m] * n, pa.int64()), pa.array([k] * n, pa.int64()), pa.array([need] * n, pa.int64())
-                yield pa.RecordBatch.from_arrays(list(columns), names=["gram", "item_id", "place", "m", "k", "need"])
+                for part, piece in enumerate(parts_of(norm) if norm else ()):
+                    m = len(piece)
+                    if m > q:
+                        h = grams(np.frombuffer(piece, np.uint8), q)
+                        k, need = budget(m, not part, q, error, part_error)
+                    else:
+                        at, h = _word_runs(piece, q)
+                        h, k, need = h[at == 0][-1:], 0, 1  # the whole item
+                    n = len(h)
+                    columns = [pa.array(h.view(np.int64)), pa.array(np.arange(n))] + [pa.array([v] * n, pa.int64()) for v in (item, part, n, m, k, need)]
+                    # Equal items with one id are told apart by their text.
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([text] * n, pa.string())], names=["gram", "place", "item_id", "part", "n", "m", "k", "need", "item"])
 
     return run
 
@@ -322,48 +342,59 @@ def _doc_hits(q: int, seen: np.ndarray):
 
 
 def _aligned(q: int):
-    """Matches of pairs (key, text, item_id, item, k, bands)."""
+    """Matches of pairs (key, text, item_id, item, found: part, k and bands of each part that reaches its bound)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                text, item, k, best = normalise(r["text"]), normalise(r["item"]), r["k"], None
-                for b in r["bands"] if len(item) > q else ():
-                    start, end, low, high = _band(len(item), k, b)
-                    got = Aligner(text[start:end], low, high).best(item, k)
-                    if got and (best is None or (got[0], start + got[1]) < best):
-                        best = got[0], start + got[1]
+                text, item, best = normalise(r["text"]), normalise(r["item"]), None
+                pieces = parts_of(item)
+                for f in r["found"] if len(item) > q else ():
+                    piece = pieces[f["part"]]
+                    for b in f["bands"]:
+                        start, end, low, high = _band(len(piece), f["k"], b)
+                        got = Aligner(text[start:end], low, high).best(piece, f["k"])
+                        if got:
+                            match = f["part"] > 0, got[0], start + got[1], max(0, start + got[1] - len(piece))
+                            best = min(match, best or match)
                 if len(item) <= q and (at := (b" " + text + b" ").find(b" " + item + b" ")) >= 0:
-                    best = 0, at + len(item)
+                    best = False, 0, at + len(item), at
                 if best:
-                    out.append((r["key"], {"item_id": r["item_id"], "distance": best[0], "start": max(0, best[1] - len(item)), "end": best[1]}))
+                    out.append((r["key"], {"item_id": r["item_id"], "distance": best[1], "start": best[3], "end": best[2]}))
             keys, found = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, _ARROW.value_type)], names=["key", "m"])
 
     return run
 
 
-def _joined(docs: DataFrame, known: DataFrame, q: int, error: float) -> DataFrame:
-    """key (of a text), matches: each text that holds an item, by an equi-join of q-gram hashes."""
-    entries = cut(known.mapInArrow(_item_grams(q, error), "gram long, item_id long, place long, m long, k long, need long"))
+def _joined(docs: DataFrame, known: DataFrame, q: int, error: float, part_error: float) -> DataFrame:
+    """key (of a text), matches: each text that holds an item, by equi-joins of q-gram hashes."""
+    one = ["item_id", "item", "part"]
+    entries = cut(known.mapInArrow(_item_grams(q, error, part_error), "gram long, place long, item_id long, part long, n long, m long, k long, need long, item string").withColumn("item", F.md5("item")))
     bit = F.shiftrightunsigned("gram", 64 - _WIDE_BITS)
     words = entries.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(gram, {64 - _WIDE_BITS}) & 63 AS int))").alias("bits"))
     words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**20 rows, whatever the items
     seen = np.zeros(1 << (_WIDE_BITS - 6), np.uint64)
     seen[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    texts = docs.select("key", "text").filter("text <> ''")
-    hits = texts.mapInArrow(_doc_hits(q, seen), "key string, gram long, at long").distinct()  # copies of a text count once
+    texts = docs.select("key", "text").filter("text <> ''").dropDuplicates(["key"])  # copies of a text count once
+    hits = cut(texts.mapInArrow(_doc_hits(q, seen), "key string, gram long, at long").distinct())
+    # Of n q-grams with `need` shared, any n - need + 1 hold a shared one: the rarest of each item or part.
+    often = entries.groupBy("gram").agg(F.count("*").alias("often"))
+    rare = entries.join(often, "gram").withColumn("_r", F.row_number().over(Window.partitionBy(*one).orderBy("often", "gram", "place"))).filter("_r <= n - need + 1")
+    pairs = hits.select("key", "gram").distinct().join(rare.select("gram", *one).distinct(), "gram").select("key", *one).distinct()
     band = F.expr("(at - place + m) div (k + 1)")
-    pairs = hits.join(entries, "gram").select("key", "item_id", "k", "need", F.explode(F.array(band, band + 1)).alias("band"))
-    reached = pairs.groupBy("key", "item_id", "k", "need", "band").agg(F.count("*").alias("n")).filter("n >= need")
-    reached = reached.groupBy("key", "item_id", "k").agg(F.array_sort(F.collect_list("band")).alias("bands"))
-    both = reached.join(known.select("item_id", F.col("text").alias("item")), "item_id").join(texts, "key").dropDuplicates(["key", "item_id", "item"]).select("key", "text", "item_id", "item", "k", "bands")
+    met = pairs.join(entries.drop("n"), one).join(hits, ["key", "gram"]).select("key", *one, "k", "need", F.explode(F.array(band, band + 1)).alias("band"))
+    reached = met.groupBy("key", *one, "k", "need", "band").agg(F.count("*").alias("n")).filter("n >= need")
+    reached = reached.groupBy("key", *one, "k").agg(F.array_sort(F.collect_list("band")).alias("bands"))
+    reached = reached.groupBy("key", "item_id", "item").agg(F.array_sort(F.collect_list(F.struct("part", "k", "bands"))).alias("found"))
+    items = known.select("item_id", F.col("text").alias("_item"), F.md5("text").alias("item"))
+    both = reached.join(items, ["item_id", "item"]).join(texts, "key").select("key", "text", "item_id", F.col("_item").alias("item"), "found")
     found = both.mapInArrow(_aligned(q), "key string, m struct<item_id: long, distance: int, start: int, end: int>")
     return found.groupBy("key").agg(F.array_sort(F.collect_set("m")).alias("matches"))
 
 
-def matches(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERROR) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERROR, part_error: float = PART_ERROR) -> DataFrame:
     """doc_id and matches (item_id, distance, start and end in the normalised text; by item_id) of every row of docs.
 
     docs: doc_id, text; items: item_id, text.
@@ -373,11 +404,11 @@ def matches(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERR
     rows = _held(known)
     if rows is None:
         keyed = source.withColumn("key", F.md5("text"))
-        found = keyed.select("doc_id", "key").join(_joined(keyed, known, q, error), "key", "left")
+        found = keyed.select("doc_id", "key").join(_joined(keyed, known, q, error, part_error), "key", "left")
         return found.select("doc_id", F.coalesce("matches", F.expr(f"CAST(array() AS {_MATCH})")).alias("matches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Items(rows, q, error)
+        block = Items(rows, q, error, part_error)
         names = ("item_id", "distance", "start", "end")
         for batch in batches:
             cells = [[dict(zip(names, m, strict=True)) for m in sorted(f)] for f in _found(block, batch.column("text"))]
@@ -386,18 +417,18 @@ def matches(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERR
     return source.mapInArrow(run, f"doc_id long, matches {_MATCH}")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERROR) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, *, q: int = Q, error: float = ERROR, part_error: float = PART_ERROR) -> DataFrame:
     """The rows of `docs` in which no item is found, with all their columns."""
     known = _known(items)
     rows = _held(known)
     if rows is None:
         keyed = docs.select(F.col("text").cast("string"), F.md5(F.col("text").cast("string")).alias("key"))
-        bad = _joined(keyed, known, q, error).select(F.col("key").alias("_bad_key"))
+        bad = _joined(keyed, known, q, error, part_error).select(F.col("key").alias("_bad_key"))
         return docs.join(bad, F.md5(docs["text"].cast("string")) == F.col("_bad_key"), "left_anti")
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Items(rows, q, error)
+        block = Items(rows, q, error, part_error)
         for batch in batches:
             clean = [not f for f in _found(block, batch.column(place))]
             yield batch.filter(pa.array(clean, pa.bool_()))

@@ -192,15 +192,21 @@ def test_decontamination(spark, edges, empty):
         docs.append((k, text[:150] + " " + "".join(item).upper() + "!! " + text[150:]))
     docs += [(100, "Tiny, one!"), (101, "a tiny one here"), (102, "a tiny onerous thing")]
     got = {r.doc_id: {m.item_id: m.distance for m in r.matches} for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sure = 0
     for i, t in docs[:60]:
-        text = decontam.normalise(t)
-        want = {}
+        text, edits = decontam.normalise(t), i % 14
         for item, s in items[:12]:
-            norm = decontam.normalise(s)
-            d = distance(norm, text)
-            if d <= decontam.budget(len(norm)):
-                want[item] = d
-        assert got[i] == want, i
+            pieces = decontam.parts_of(decontam.normalise(s))
+            bounds = [decontam.budget(len(p), not n) for n, p in enumerate(pieces)]
+            near = [d for p, (k, _) in zip(pieces, bounds, strict=True) if (d := distance(p, text)) <= k]
+            assert item not in got[i] or got[i][item] in near
+            # As many edits, each taking q q-grams, leave enough of the whole: it must be found.
+            m, (k, need) = len(pieces[0]), bounds[0]
+            if item == i % 12 and 2 * edits <= k and m + 1 - decontam.Q - 2 * edits * decontam.Q >= need:
+                assert got[i][item] == distance(pieces[0], text)
+                sure += 1
+            assert item == i % 12 or item not in got[i]
+    assert sure >= 10
     assert got[100] == {90: 0} and got[101] == {90: 0} and got[102] == {}
     some = spark.createDataFrame(items[:3] + [(9, "same row")], "item_id long, text string")
     assert decontam.matches(edges, some).count() == edges.count() and decontam.keep_clean(edges, some).count() == edges.count() - 2
@@ -244,7 +250,7 @@ def test_decontamination_of_a_shared_stem():
     word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 7)))
     stem = " ".join(word() for _ in range(130))
     items = [(i, f"{stem} {word()} {word()} {i}") for i in range(3000)]
-    block = decontam.Items(items, decontam.Q, decontam.ERROR)
+    block = decontam.Items(items, decontam.Q, decontam.ERROR, decontam.PART_ERROR)
     text = decontam.normalise(f"well {stem[:300]}x{stem[300:]} and nothing of theirs")
     some = rnd.sample(range(3000), 5)
     start = time.perf_counter()
@@ -252,8 +258,34 @@ def test_decontamination_of_a_shared_stem():
     assert time.perf_counter() - start < 10
     for i in some:
         norm = decontam.normalise(items[i][1])
-        d = distance(norm, text)
-        assert got.get(i) == (d if d <= decontam.budget(len(norm)) else None)
+        assert got[i] == distance(norm, text) <= decontam.budget(len(norm), True)[0]
+
+
+def test_edited_and_partial_items_are_found():
+    """Recall of planted items: words replaced, halves, ends cut off; texts without items hold none."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rnd.randint(14, 60)))) for i in range(200)]
+    block = decontam.Items(items, decontam.Q, decontam.ERROR, decontam.PART_ERROR)
+
+    def replaced(n):
+        def change(words):
+            for at in rnd.sample(range(len(words)), n):
+                words[at] = word()
+            return words
+
+        return change
+
+    changes = {"one word": replaced(1), "two words": replaced(2), "three words": replaced(3), "first half": lambda w: w[: (len(w) + 1) // 2], "last half": lambda w: w[len(w) // 2 :], "cut": lambda w: w[:-2]}
+    for name, change in changes.items():
+        found = 0
+        for i, t in items:
+            text = decontam.normalise(" ".join([word() for _ in range(80)] + change(t.split()) + [word() for _ in range(80)]))
+            got = {item for _, item, *_ in block.scan([text])}
+            assert got <= {i}
+            found += i in got
+        assert found >= 0.9 * len(items), name
+    assert not list(block.scan([decontam.normalise(" ".join(word() for _ in range(20_000)))]))
 
 
 def test_aligner_against_plain_distances():
