@@ -14,7 +14,6 @@ equal results. Scores are rounded to six places. Long texts are read PART bytes
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ UNKNOWN = "und"
 _SPAN = max(WIDTHS)
 #: Bytes of a text that are in windows at a time, whole windows.
 PART = 1024 * WINDOW
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +84,7 @@ class Network:
         logs = self.sums(rows, held)
         names, scores = [], []
         for i, text in enumerate(texts):
-            if text is None or not _LETTER.search(text):
+            if text is None or not any(map(str.isalpha, text)):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
