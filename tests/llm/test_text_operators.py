@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import time
 
 import numpy as np
@@ -79,22 +80,27 @@ def test_random_secrets_against_plain_models(spark):
     token = lambda n: "".join(rnd.choices(letters, k=n))
     word = lambda: "".join(rnd.choices(["get", "set", "Item", "value", "_of", "list", "count2", "index"], k=rnd.randint(1, 6)))
     texts = [" ".join([word(), word(), f"token={token(24)}", word(), token(rnd.randint(10, 40)) if k % 6 == 0 else word(), word() + word() + word() + "7"]) for k in range(240)]
-    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=0.0).collect()}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secret_scan.scan(frame, threshold=0.0).collect()}
+    left_out = {r[0] for r in frame.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).select("doc_id").collect()}
+    long = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{%d,}[A-Za-z0-9+/_=-]" % (secret_scan.TOKEN_CHARS - 2))
     base = re.compile(r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}""", re.A)
     count = [{}, {}]
 
     def cells(t):
         return list(zip(["", *t], t, strict=False))
 
-    masked = []
-    for t in texts:
-        for m in base.finditer(t):
-            for c in cells(m[1] or m[0]):
-                count[0][c] = count[0].get(c, 0) + 1
+    masked, ordinary, secrets = [], [], []
+    for i, t in enumerate(texts):
         masked.append(base.sub(lambda m: "\x02" * len(m[0]), t))
-        for m in re.finditer(r"[A-Za-z0-9+/_=-]{3,}", masked[-1]):
-            for c in cells(m[0]):
-                count[1][c] = count[1].get(c, 0) + 1
+        plain = [m[0] for m in re.finditer(long.pattern + r"|[A-Za-z0-9+/_=-]{3,}", masked[-1])]
+        if i in left_out:
+            ordinary += [w for w in plain if long.fullmatch(w)]
+            secrets += [m[1] or m[0] for m in base.finditer(t)]
+            continue
+        for k, tokens in ((0, [m[1] or m[0] for m in base.finditer(t)]), (1, plain)):
+            for c in (c for w in tokens for c in cells(w)):
+                count[k][c] = count[k].get(c, 0) + 1
     totals = [{}, {}]
     for k in (0, 1):
         for (a, _), n in count[k].items():
@@ -102,13 +108,40 @@ def test_random_secrets_against_plain_models(spark):
     chance = lambda k, c: math.log((count[k].get(c, 0) + 1) / (totals[k].get(c[0], 0) + secret_scan.ALPHABET))
     for i, t in enumerate(masked):
         want = []
-        for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % secret_scan.TOKEN_CHARS, t):
-            ratio = sum(chance(0, c) - chance(1, c) for c in cells(m[0])) / len(m[0])
+        for m in long.finditer(t):
+            ratio = sum(chance(0, c) - chance(1, c) for c in cells(m[0]))
             assert abs(ratio) > 1e-9
-            if re.search("[0-9]", m[0]) and ratio >= 0:
+            if ratio >= 0:
                 want.append((m.start(), m.end()))
         assert got[i] == want, t
     assert 5 < sum(map(len, got.values())) < len(texts)
+    score = lambda w: sum(chance(0, c) - chance(1, c) for c in cells(w))
+    most = np.mean([score(w) / len(w) for w in secrets]) * secret_scan.TOKEN_CHARS / 2
+    want = max(min(np.percentile([score(w) for w in ordinary], 100 * secret_scan.LEFT), most), secret_scan.LEAST_RATIO)
+    assert abs(secret_scan.fit(frame).first()["threshold"] - want) < 1e-6
+
+
+def test_short_keys_of_any_kind_are_found(spark, documents):
+    """Keys of 12 characters, of letters only, and with dots, one in every second document."""
+    rnd = random.Random(13)
+    letters = string.ascii_letters
+    keys = {
+        "of 12": lambda: "".join(rnd.choices(letters + string.digits, k=12)), "of letters": lambda: "".join(rnd.choices(letters, k=14)), "with dots": lambda: ".".join("".join(rnd.choices(letters + string.digits, k=6)) for _ in range(3)),
+    }
+    texts, at = [], {}
+    for n, (i, text) in enumerate(documents.itertuples(index=False, name=None)):
+        text = text or ""
+        if n % 2:
+            name = list(keys)[n // 2 % 3]
+            key = keys[name]()
+            at[int(i)] = name, (len(text) + 1, len(text) + 1 + len(key))
+            text = f"{text} {key} end"
+        texts.append((int(i), text))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for name in keys:
+        mine = [i for i in at if at[i][0] == name]
+        assert sum(at[i][1] in got[i] for i in mine) >= (0.8 if name == "of 12" else 0.9) * len(mine) > 0, name
+    assert sum(i not in at or s != at[i][1] for i in got for s in got[i]) <= 10
 
 
 @pytest.fixture(scope="module")
