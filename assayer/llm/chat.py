@@ -1,8 +1,8 @@
 """Chat formatting of reply trees, in DataFrame functions only.
 
-A message has a parent in its tree, or none. Self-joins that double their reach give every message its 2**k-th ancestor; a leaf
-collects its path to the root from them, each ancestor once, in as many joins as the depth has binary digits. Paths are
-ranked by the sum of their messages' scores, and each chosen one is formatted as a conversation.
+A message has a parent in its tree, or none. Self-joins that double their reach give every message its 2**k-th ancestor and the sum of the scores up to
+there, one row a message and round, in as many rounds as the depth has binary digits. Leaves are ranked by the sum to their root; only chosen ones then
+collect their path from the same jumps, each ancestor once, and each path is formatted as a conversation.
 
 Template: `### Role: text</turn>\\n` for each turn. In texts and roles the escape is reversible: `\\` is `\\\\`, `###` is `\\h`,
 `</turn>` is `\\t` (in roles also `:` is `\\c`), so neither control string occurs outside the template. Roles other than
@@ -64,29 +64,31 @@ def paths(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
     nodes = links.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     every = cut(links.join(nodes, same("tree", "t") & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("above"), "s"))
-    up = every.filter("above IS NOT NULL").select("tree", "node", "above")
-    parents = up.select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
-    on = every.join(parents, same("tree", "t") & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
     most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    # Jumps of 1, 2, 4 ...; each one doubles what a leaf has collected, until no message has an ancestor so far up.
-    reach = 1
-    while reach < most and not up.isEmpty():
-        jump = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
-        further = on.join(jump, same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
-        on = cut(on.unionByName(further))  # else the plan would double each round
+    # Jumps of 1, 2, 4 ... replies: each message's ancestor so far up, the scores from the message up to below that one. One row a message.
+    # A message whose way ends at a root keeps its whole sum; those on and below cycles never end.
+    # Of repeated rows, and of several ways to one ancestor, the best counts.
+    once = lambda rows: cut(rows.groupBy("tree", "node", "above").agg(F.max("s").alias("s")))
+    now = once(every)
+    jumps, reach = [], 1
+    while reach < most and not now.filter("above IS NOT NULL").isEmpty():
+        jumps.append(now.filter("above IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "above"))
+        further = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("s").alias("more"))
+        now = now.join(further, same("tree", "t") & (F.col("above") == F.col("n")), "left")
+        now = once(now.select("tree", "node", F.col("next").alias("above"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s")))
         reach *= 2
-        if reach < most:
-            up = cut(up.join(jump.select("t", "n", F.col("above").alias("next")), same("tree", "t") & (F.col("above") == F.col("n"))).select("tree", "node", F.col("next").alias("above")))
-    scores = every.select(F.col("tree").alias("t"), F.col("node").alias("n"), "s", F.col("above").isNull().alias("root"))
-    scored = on.join(scores, same("tree", "t") & (F.col("node") == F.col("n"))).drop("t", "n")
-    # Summed in the order of the path, so that ties are the same in every run.
-    inward = F.transform(F.array_sort(F.collect_list(F.struct("up", "s"))), lambda x: x["s"])
-    total = scored.groupBy("tree", "leaf").agg(F.aggregate(inward, F.lit(0.0), lambda a, x: a + x).alias("score"), F.bool_or("root").alias("whole")).filter("whole").drop("whole")
-    order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    ranked = total.withColumn("rank", F.row_number().over(order))
+    parents = every.filter("above IS NOT NULL").select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
+    leaves = now.filter("above IS NULL").join(parents, same("tree", "t") & (F.col("node") == F.col("n")), "left_anti")
+    total = leaves.groupBy("tree", F.col("node").alias("leaf")).agg(F.max("s").alias("score"))
+    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     ranked = ranked.filter(F.col("rank") <= best) if best else ranked
-    chosen = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "rank", "score")
-    return scored.drop("s", "root").join(chosen, same("tree", "t") & (F.col("leaf") == F.col("l"))).drop("t", "l")
+    # Only chosen leaves collect their ancestors: each jump, the longest last, doubles what a leaf has.
+    on = cut(ranked.select("tree", "leaf", "rank", "score", F.col("leaf").alias("node"), F.lit(0).alias("up")))
+    for k, jump in enumerate(jumps):
+        further = on.join(jump, same("tree", "t") & (F.col("node") == F.col("n")))
+        further = further.select("tree", "leaf", "rank", "score", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        on = cut(on.unionByName(further))  # else the plan would double each round
+    return on
 
 
 def conversations(messages: DataFrame, *, best: int | None = 1) -> DataFrame:

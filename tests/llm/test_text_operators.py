@@ -369,6 +369,19 @@ def test_chat_bushy_tree(spark):
     assert [r.leaf for r in got] == [399, 398, 397] and got[0].formatted == "### User: root</turn>\n### Assistant: r399</turn>\n"
 
 
+def test_chat_deep_tree_with_many_leaves(spark):
+    """A leaf at each message of a long way: only the chosen one's ancestors are collected. Repeated rows do not multiply."""
+    n = 600
+    rows = [("d", i, i - 1 if i else None, "user", f"t{i}", 1.0) for i in range(n)] + [("d", n + i, i, "assistant", f"leaf{i}", 0.5 if i != 300 else 900.0) for i in range(n)]
+    rows += [(t, i, i - 1 if i else None, "user", f"r{i}", 1.0) for t in ("r",) for i in range(40) for _ in range(2)]
+    m = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    got = {(r.tree, r["rank"]): r for r in chat.conversations(m, best=2).collect()}
+    first, second = got["d", 1], got["d", 2]
+    assert first.leaf == n + 300 and first.score == 301 + 900 and first.formatted.count("</turn>") == 302 and first.formatted.endswith("### Assistant: leaf300</turn>\n")
+    assert second.leaf == 2 * n - 1 and second.score == n + 0.5 and second.formatted.count("</turn>") == n + 1
+    assert got["r", 1].formatted.count("</turn>") == 80 and got["r", 1].score == 40
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "\\h\\\\t", "####", "</turn></turn>\n", "", None, "a: b\\", "\\\\###\\"]
     roles = ["user", "assistant", "system", "tool", "Od:d ###", "", None, "=x"]
