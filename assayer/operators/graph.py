@@ -125,13 +125,17 @@ def sibling_leads(edges: DataFrame, data: DataFrame, execs: DataFrame, known: Da
     pairs = a.join(b, "src").filter("data_file <> exec_file AND src <> data_file AND src <> exec_file")
     if known is not None:
         pairs = pairs.join(known.select("data_file", "exec_file"), ["data_file", "exec_file"], "left_anti")
-    return pairs.groupBy("data_file", "exec_file").agg(F.slice(F.array_sort(F.collect_set("src")), 1, 3).alias("importers"))
+    # Each pair keeps three rows before it is shuffled.
+    first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("data_file", "exec_file").orderBy("src"))).filter("_n <= 3")
+    return first.groupBy("data_file", "exec_file").agg(F.array_sort(F.collect_list("src")).alias("importers"))
 
 
 def gated(found: DataFrame, key: str) -> DataFrame:
     """Leads with severity high taken down to medium where a repository has more than GATE of them."""
-    many = F.count("*").over(Window.partitionBy(key)) > GATE
-    return found.withColumn("severity", F.when(many & (F.col("severity") == "high"), "medium").otherwise(F.col("severity")))
+    many = found.groupBy(F.col(key).alias("_many")).agg(F.count("*").alias("_n")).filter(F.col("_n") > GATE).select("_many")
+    j = found.join(many, F.col(key).eqNullSafe(F.col("_many")), "left")
+    down = F.col("_many").isNotNull() & (F.col("severity") == "high")
+    return j.withColumn("severity", F.when(down, "medium").otherwise(F.col("severity"))).drop("_many")
 
 
 def hook_targets(hooks: DataFrame, files: DataFrame) -> DataFrame:

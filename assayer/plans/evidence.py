@@ -334,6 +334,33 @@ def archive_members(spark, sf_dir):
     return found.filter("path LIKE '%.txt'").select("path", "depth", F.sha2("content", 256).alias("sha256"))
 
 
+def _doubled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text twice in a zip."""
+    for batch in batches:
+        rows = []
+        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            packed = io.BytesIO()
+            with zipfile.ZipFile(packed, "w") as z:
+                z.writestr("a.txt", text)
+                z.writestr("b.txt", text)
+            rows.append((f"{doc}.zip", packed.getvalue()))
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+
+@query(
+    """WITH sized AS (SELECT doc_id || '.zip' AS path, strlen(text) AS n FROM documents)
+    SELECT path, 'coverage_gap' AS category, CASE WHEN n > 4096 THEN 'left after 0 members of 0 bytes: member of ' || n || ' bytes' ELSE 'left after 1 members of ' || n || ' bytes: over 4096 bytes' END AS message, CASE WHEN n > 4096 THEN 0 ELSE 1 END AS n_members
+    FROM sized WHERE 2 * n > 4096"""
+)
+def archive_gaps(spark, sf_dir):
+    """Archives that hold more than a cap: what was read of them, and a finding that the rest was not."""
+    packed = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInPandas(_doubled, "path string, content binary")
+    found = checkpointed(archive.scanned(packed, depth=1, cap=4096))
+    read = found.filter("gap IS NULL AND depth = 1").groupBy(F.split_part("path", F.lit("!"), F.lit(1)).alias("path")).agg(F.count("*").alias("n_members"))
+    told = archive.coverage_gaps(found).select("path", "category", "message")
+    return told.join(read, "path", "left").fillna(0, ["n_members"])
+
+
 def _buried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each file at the bottom of as many zips in each other as its id says, 1 to 8; every second one twice, under two names."""
     for batch in batches:

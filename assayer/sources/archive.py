@@ -11,7 +11,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +28,16 @@ def clean_name(name: str) -> str:
     return "/".join(p for p in name.replace("\\", "/").split("/") if p not in SKIPPED) or "member"
 
 
+class Stopped(Exception):
+    """What follows in an archive is not unpacked."""
+
+
 def _zip(data: bytes, cap: int) -> Iterator[tuple[str, bytes]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
             if not info.is_dir():
                 if info.file_size > cap:  # declared size first: nothing of a bomb is unpacked
-                    return
+                    raise Stopped(f"member of {info.file_size} bytes")
                 with z.open(info) as f:
                     yield info.filename, f.read(cap + 1)
 
@@ -43,7 +47,7 @@ def _tar(data: bytes, cap: int) -> Iterator[tuple[str, bytes]]:
         for member in t:
             if member.isfile():
                 if member.size > cap:
-                    return
+                    raise Stopped(f"member of {member.size} bytes")
                 yield member.name, t.extractfile(member).read()
 
 
@@ -80,8 +84,9 @@ def _bundle(data: bytes, cap: int) -> Iterator[tuple[str, bytes]]:
             yield name, raw
 
 
-def members(name: str, data: bytes, cap: int = TOTAL_BYTES) -> Iterator[tuple[str, bytes]]:
-    """Members of an archive until `cap` bytes together; none for other files and broken archives."""
+def members(name: str, data: bytes, cap: int = TOTAL_BYTES, gaps: list | None = None) -> Iterator[tuple[str, bytes]]:
+    """Members of an archive until `cap` bytes together; none for other files. Where an archive is left before its end, (members, bytes, why) is added to `gaps`."""
+    total = seen = 0
     try:
         if BUNDLE_MAGIC in data:
             found = ((n, d) for n, d in _bundle(data, cap))
@@ -93,36 +98,66 @@ def members(name: str, data: bytes, cap: int = TOTAL_BYTES) -> Iterator[tuple[st
             found = _gzip(name, data, cap)
         else:
             return
-        total, bundle = 0, BUNDLE_MAGIC in data
+        bundle = BUNDLE_MAGIC in data
         for n, d in found:
+            if total + len(d) > cap:
+                raise Stopped(f"over {cap} bytes")
             total += len(d)
-            if total > cap:
-                return
+            seen += 1
             if not bundle or len(d) > LEAST_MEMBER:
                 yield clean_name(n), d
-    except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, zlib.error, RuntimeError, NotImplementedError):
-        return
+    except (Stopped, zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, zlib.error, RuntimeError, NotImplementedError) as e:
+        if gaps is not None:
+            gaps.append((seen, total, str(e) if isinstance(e, Stopped) else "broken archive"))
 
 
-def _inside(path: str, data: bytes, parent: str | None, level: int, depth: int, cap: int) -> Iterator[tuple[str, bytes, str | None, int]]:
-    """A file and what it holds, outer ones first; one member of each level is in memory at a time."""
-    yield path, data, parent, level
+def _inside(path: str, data: bytes, parent: str | None, level: int, depth: int, cap: int) -> Iterator[tuple]:
+    """A file and what it holds, outer ones first; one member of each level is in memory at a time. After an archive that was left early a row without content says so."""
+    yield path, data, parent, level, None, None, None
     if level < depth:
-        digest = hashlib.sha256(data).hexdigest()
-        for name, member in members(path.rsplit("!", 1)[-1], data, cap):
+        digest, gaps = hashlib.sha256(data).hexdigest(), []
+        for name, member in members(path.rsplit("!", 1)[-1], data, cap, gaps):
             yield from _inside(f"{path}!{name}", member, digest, level + 1, depth, cap)
+        for seen, total, why in gaps:
+            yield path, None, digest, level, why, seen, total
 
 
-def unpacked(files: DataFrame, *, depth: int = 2, cap: int = TOTAL_BYTES) -> DataFrame:
-    """Files (path, content) and what they hold, down to `depth` archives within archives: path, content, parent_sha256, depth. Each is opened once."""
+OUT_BYTES = 4 << 20
+_KINDS = {"path": pa.string(), "content": pa.binary(), "parent_sha256": pa.string(), "depth": pa.int32(), "gap": pa.string(), "n_members": pa.int64(), "n_bytes": pa.int64()}
+
+
+def scanned(files: DataFrame, *, depth: int = 2, cap: int = TOTAL_BYTES) -> DataFrame:
+    """Files (path, content) and what they hold, down to `depth` archives within archives, each opened once: path, content, parent_sha256, depth, gap, n_members, n_bytes.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows with a gap (why) tell of an archive (path, its hash as parent_sha256) that was left before its end, after n_members members of n_bytes together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS.values())], names=list(_KINDS))
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for row in _inside(path, bytes(content or b""), None, 0, depth, cap):
-                    yield pd.DataFrame([row], columns=["path", "content", "parent_sha256", "depth"])
+            for i in range(batch.num_rows):
+                for row in _inside(batch.column("path")[i].as_py(), batch.column("content")[i].as_py() or b"", None, 0, depth, cap):
+                    rows.append(row)
+                    held += len(row[1] or b"")
+                    if held >= OUT_BYTES or len(rows) >= 1024:
+                        yield flush()
+                        rows, held = [], 0
+        if rows:
+            yield flush()
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary, parent_sha256 string, depth int, gap string, n_members long, n_bytes long")
+
+
+def unpacked(files: DataFrame, *, depth: int = 2, cap: int = TOTAL_BYTES) -> DataFrame:
+    """(path, content, parent_sha256, depth) of files and of what they hold, without the rows of gaps."""
+    return scanned(files, depth=depth, cap=cap).filter("gap IS NULL").select("path", "content", "parent_sha256", "depth")
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, content binary, parent_sha256 string, depth int")
+def coverage_gaps(found: DataFrame) -> DataFrame:
+    """(path, source, category, severity, message): a finding for each archive of `scanned` rows that was left before its end."""
+    said = F.concat(F.lit("left after "), F.col("n_members").cast("string"), F.lit(" members of "), F.col("n_bytes").cast("string"), F.lit(" bytes: "), "gap")
+    return found.filter("gap IS NOT NULL").select("path", F.lit("ingest").alias("source"), F.lit("coverage_gap").alias("category"), F.lit("info").alias("severity"), said.alias("message"))
 
 
 def expand(files: DataFrame, *, cap: int = TOTAL_BYTES) -> DataFrame:

@@ -126,6 +126,13 @@ def test_archives(spark):
     got = {r.path: bytes(r.content) for r in archive.unpacked(df).filter("depth > 0").collect()}
     assert got == {"o.zip!i.zip": inner, "o.zip!i.zip!deep.txt": b"deep", "t.tar!x/a.txt": b"abc", "g.gz!g": b"text"}
     assert list(archive.members("z.zip", _zip({"a": b"x" * 60, "b": b"y" * 60}), 100)) == [("a", b"x" * 60)]
+    full, bomb, broken = _zip({"a": b"x" * 60, "b": b"y" * 60}), _zip({"a": b"x", "b": b"y" * 200}), _zip({"a": b"x" * 500})[:-30]
+    frame = spark.createDataFrame([("full.zip", full), ("bomb.zip", bomb), ("broken.zip", broken), ("whole.zip", _zip({"a": b"x" * 60})), ("plain.txt", b"abc"), ("outer.zip", _zip({"in.zip": bomb}))], "path string, content binary")
+    found = archive.scanned(frame, depth=2, cap=190)
+    gaps = {r.path: r.message for r in archive.coverage_gaps(archive.scanned(frame.filter("path <> 'outer.zip'"), depth=2, cap=100)).collect()}
+    assert gaps == {"full.zip": "left after 1 members of 60 bytes: over 100 bytes", "bomb.zip": "left after 1 members of 1 bytes: member of 200 bytes", "broken.zip": "left after 0 members of 0 bytes: broken archive"}
+    inner = [(r.path, r.n_members) for r in archive.scanned(frame.filter("path = 'outer.zip'"), depth=2, cap=1000).filter("gap IS NOT NULL").collect()]
+    assert inner == [] and found.filter("gap IS NULL AND path LIKE 'bomb.zip!%'").count() == 1
 
 
 def test_walk_and_text(spark, tmp_path):
