@@ -45,6 +45,48 @@ def typosquats(names: DataFrame, popular: tuple[str, ...]) -> DataFrame:
     return names.filter(near).withColumn("resembles", similar("name")).filter("resembles IS NOT NULL")
 
 
+def _grams(low):
+    """Different pairs of neighbouring letters; of short names different letters too."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
+    pairs = F.when(F.length(low) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    letters = F.when(F.length(low) <= 6, F.split(low, "")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(pairs, letters))
+
+
+def _shared_letters(a, b):
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+
+
+def lookalikes(names: DataFrame, popular: DataFrame) -> DataFrame:
+    """(ecosystem, name, resembles) of the names that resemble a popular one of their ecosystem, by the rule of `resembles`: the first by rank counts, and an equal one before it clears.
+
+    names: ecosystem, name; popular: ecosystem, known, rank. Each as large as it likes: candidates come from an equi-join, none is lost. A similarity over 0.75 needs M
+    matching letters of L together, M > 0.375 * L, in at most L - 2 * M + 1 blocks, so at least 3 * M - L - 1 > L / 8 - 1 common pairs of neighbours: one, where L is 8 or more;
+    shorter ones share a letter. Lengths (in the join's key) and letters in common bound it further; only what is left is compared. Nulls and empty names resemble nothing.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([0.75 < SequenceMatcher(None, x, y).ratio() < 1.0 for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    n = names.filter("name <> ''").select("ecosystem", "name").distinct().withColumn("low", F.lower("name")).withColumn("size", F.length("low"))
+    p = popular.filter("known <> ''").groupBy("ecosystem", "known").agg(F.min("rank").alias("rank")).withColumn("known_low", F.lower("known"))
+    index = p.select("ecosystem", "known", "known_low", "rank", F.length("known_low").alias("other"), F.explode(_grams(F.col("known_low"))).alias("gram"))
+    # Lengths with 2 * min > 0.75 * (sum): over 3/5 and under 5/3 of the name's.
+    lengths = F.sequence((3 * F.col("size") / 5).cast("int") + 1, F.ceil(5 * F.col("size") / 3).cast("int") - 1)
+    asked = n.withColumn("gram", F.explode(_grams(F.col("low")))).withColumn("other", F.explode(F.when(F.col("size") > 1, lengths).otherwise(F.array("size"))))
+    met = asked.join(index, ["ecosystem", "gram", "other"]).filter((F.length("gram") == 2) | (F.col("size") + F.col("other") < 8))
+    pairs = met.select("ecosystem", "name", "low", "known", "known_low", "rank").distinct()
+    pairs = pairs.filter(2 * _shared_letters(F.col("low"), F.col("known_low")) > 0.75 * (F.length("low") + F.length("known_low")))
+    found = pairs.filter(near("low", "known_low")).groupBy("ecosystem", "name").agg(F.min(F.struct("rank", "known")).alias("first"))
+    equal = p.select("ecosystem", F.col("known").alias("name"), F.col("rank").alias("own"))
+    clear = found.join(equal, ["ecosystem", "name"], "left").filter("own IS NULL OR own > first.rank")
+    return clear.select("ecosystem", "name", F.col("first.known").alias("resembles"))
+
+
 def manifest_names(files: DataFrame) -> DataFrame:
     """(path, name, ecosystem) from package.json and requirements.txt files (path, content); malformed manifests have none."""
     low = F.lower("path")
