@@ -74,8 +74,10 @@ def paths(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
     while reach < most and not now.filter("above IS NOT NULL").isEmpty():
         jumps.append(now.filter("above IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "above"))
         further = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("s").alias("more"))
-        now = now.join(further, same("tree", "t") & (F.col("above") == F.col("n")), "left")
-        now = once(now.select("tree", "node", F.col("next").alias("above"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s")))
+        # Only messages that have not reached their root are joined: fewer each round.
+        stepped = now.filter("above IS NOT NULL").join(further, same("tree", "t") & (F.col("above") == F.col("n")))
+        stepped = stepped.select("tree", "node", F.col("next").alias("above"), (F.col("s") + F.col("more")).alias("s"))
+        now = once(now.filter("above IS NULL").unionByName(stepped))
         reach *= 2
     parents = every.filter("above IS NOT NULL").select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
     leaves = now.filter("above IS NULL").join(parents, same("tree", "t") & (F.col("node") == F.col("n")), "left_anti")
