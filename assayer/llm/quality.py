@@ -1,10 +1,10 @@
 """Quality rules: hashed n-gram log-likelihood ratio between trusted and raw text, in DataFrame functions only.
 
 Words and word pairs of every document are hashed into a fixed number of buckets. Two multinomials over the
-buckets are counted: one of all documents, one of a bounded sample of documents marked as trusted. The score of
+buckets are counted: one of all documents, one of all documents marked as trusted. The score of
 a document is the mean over its n-grams of log(p_trusted / p_raw); it is kept if it passes the base rules and the
 score reaches the threshold. How far scores spread depends on how full the buckets are, so the threshold is read off them: a fifth
-of the trusted sample is left out of the fit, and QUANTILE of it, where it passes the base rules, scores below the threshold.
+of the trusted documents is left out of the fit, and QUANTILE of them, where they pass the base rules, score below the threshold.
 The model is one array of `buckets` doubles, so it has the same size for any corpus.
 
 Defined results: a null text is as an empty one: no words, score 0, base_failed (too few words), not kept. Repeated rows are
@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, held_out, let, table, text_or_empty
+from .common import SPACES, cut, held_out, let, quantile, table, text_or_empty
 
 BUCKETS = 1 << 18
-TRUSTED_ROWS = 20_000
+#: Up to so many trusted ids go to all tasks; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Share of unseen good documents that the threshold may cost.
 QUANTILE = 0.01
 MIN_WORDS = 50
@@ -98,22 +99,29 @@ def base_rules(words: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def trusted_ids(labels: DataFrame, *, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most `rows` ids of documents labelled as good, the same ones in every run."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled as good, each once."""
+    return cut(labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
 
 
-def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS) -> DataFrame:
+def _marked(docs: DataFrame, ids: DataFrame, among: Column | None = None) -> DataFrame:
+    """`docs` with _trusted, 1 for those in `ids`, else 0. Only rows `among` (all, if none is given) can be; beyond BROADCAST_IDS only they are shuffled."""
+    flags = ids.withColumn("_trusted", F.lit(1))
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(flags), "doc_id", "left").fillna(0, ["_trusted"])
+    can = F.col("doc_id").isNotNull() & (F.lit(True) if among is None else F.coalesce(among, F.lit(False)))
+    joined = docs.filter(can).join(flags.hint("shuffle_hash"), "doc_id", "left").fillna(0, ["_trusted"])
+    return joined.unionByName(docs.filter(~can).withColumn("_trusted", F.lit(0)))
+
+
+def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, among: Column | None = None) -> DataFrame:
     """One row, one column `weights`: log(p_trusted / p_raw) of each bucket.
 
-    The raw multinomial counts all documents; the one of `trusted` (doc_id) is smoothed towards it with one pseudo-count a bucket.
+    The raw multinomial counts all documents; the one of `trusted` (doc_id; all of them rows `among`) is smoothed towards it with one pseudo-count a bucket.
     """
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left"
-    )
+    marked = _marked(docs.select("doc_id", "text"), trusted, among)
     pairs = F.arrays_zip(F.col("_hashes").alias("h"), F.slice("_hashes", 2, F.greatest(F.size("_hashes"), F.lit(1))).alias("after"))
-    rows = hashed_words(marked).select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(pairs).alias("x"))
+    rows = hashed_words(marked).select(F.col("_trusted").alias("t"), F.explode(pairs).alias("x"))
     grams = rows.select("t", F.explode(F.array(_bucket(F.col("x.h"), buckets), _bucket(_pair(F.col("x.h"), F.col("x.after")), buckets))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "trusted"])
@@ -139,15 +147,15 @@ def _scored(docs: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
     return scored.withColumn("llr", llr).drop("_hashes", "_weights")
 
 
-def score(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, threshold: float | None = None) -> DataFrame:
     """Every row of `docs` with the base counts, base_failed, llr (mean log ratio) and kept; by default the threshold is QUANTILE of unseen good ones."""
-    trusted = trusted_ids(labels, rows=trusted_rows)
+    trusted = trusted_ids(labels)
     if threshold is not None:
         scored = _scored(docs, fit(docs, trusted, buckets=buckets), buckets)
         return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    weights = cut(fit(docs, trusted.filter(~held_out()), buckets=buckets))
-    unseen = _scored(docs.select("doc_id", "text").join(F.broadcast(trusted.filter(held_out())), "doc_id", "left_semi"), weights, buckets)
-    least = cut(unseen.agg(F.percentile(F.when(~F.col("base_failed"), F.col("llr")), F.lit(QUANTILE)).alias("least")))
+    weights = cut(fit(docs, trusted.filter(~held_out()), buckets=buckets, among=~held_out()))
+    unseen = _marked(docs.select("doc_id", "text").filter(held_out()), trusted.filter(held_out())).filter("_trusted = 1")
+    least = quantile(_scored(unseen, weights, buckets).select(F.when(~F.col("base_failed"), F.col("llr")).alias("value")), QUANTILE)
     enough = F.coalesce(F.col("llr") >= least.scalar(), F.lit(True))
     return _scored(docs, weights, buckets).withColumn("kept", ~F.col("base_failed") & enough)
 

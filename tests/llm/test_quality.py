@@ -3,9 +3,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from assayer.llm import quality
+from assayer.llm.common import held_out, quantile
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,3 +86,26 @@ def test_threshold_follows_the_scores(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(i, 0) for i in range(400, 450)], "doc_id int, quality int")
     kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, "doc_id int, text string"), labels, buckets=1 << 11).collect()}
     assert not any(i >= 400 for i in kept) and sum(i in kept for i in range(300, 400)) >= 95
+
+
+def test_all_trusted_documents_count(spark, monkeypatch):
+    """Every document labelled as good is learned from, however many there are; ids joined by a shuffle give what ids sent to all tasks do."""
+    labels = spark.range(60_000).select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("quality")).withColumnRenamed("id", "doc_id")
+    assert quality.trusted_ids(labels).count() == 30_000
+    rows = [(i, f"good{i % 7} word{i % 5} text") for i in range(300)] + [(None, "good1 word1 text"), (3, "good3 twice"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = ~held_out()
+    ids = quality.trusted_ids(labels).filter(learn)
+    want = quality.fit(docs, ids, buckets=64).first().weights
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert quality.fit(docs, ids, buckets=64).first().weights == want == quality.fit(docs, ids, buckets=64, among=learn).first().weights
+    assert quality.score(docs, labels, buckets=64).count() == len(rows)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.37, 0.9995, 1.0])
+def test_quantile(spark, share):
+    random.seed(4)
+    values = [random.choice([random.gauss(0, 3), -1.5, 2.0, 0.25]) for _ in range(3001)]
+    got = quantile(spark.createDataFrame([(v,) for v in [*values, None]], "value double"), share).first().value
+    assert got == pytest.approx(np.percentile(values, 100 * share), abs=1e-12)
+    assert quantile(spark.createDataFrame([(None,)], "value double"), share).first().value is None
