@@ -121,6 +121,14 @@ def test_random_secrets_against_plain_models(spark):
     assert abs(secret_scan.fit(frame).first()["threshold"] - want) < 1e-6
 
 
+def test_all_documents_teach_the_models(spark):
+    """Every token of every document is counted, however many documents there are, those without an id too."""
+    docs = spark.range(12_000).select("id", F.concat(F.lit("plainword and token=abcDEF"), F.col("id") % 10).alias("text")).withColumnRenamed("id", "doc_id")
+    docs = docs.unionByName(spark.createDataFrame([(None, "plainword without")], "doc_id long, text string"))
+    got = {(r.secret, r.token): r.n for r in secret_scan.labelled(docs).groupBy("secret", "token").agg(F.sum("n").alias("n")).collect()}
+    assert got == {(1, f"abcDEF{k}"): 1200 for k in range(10)} | {(0, "plainword"): 12_001, (0, "and"): 12_000, (0, "without"): 1}
+
+
 def test_short_keys_of_any_kind_are_found(spark, documents):
     """Keys of 12 characters, of letters only, and with dots, one in every second document."""
     rnd = random.Random(13)
