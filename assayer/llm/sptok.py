@@ -47,6 +47,13 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class _Any:
+    """Stands for the pieces that may follow a piece where every piece may."""
+
+    def get(self, name: str) -> _Any:
+        return self
+
+
 class Pieces:
     """A model's pieces and scores, read with the library; encoding and decoding are done here."""
 
@@ -81,7 +88,9 @@ class Pieces:
         self.unknown = least - UNKNOWN_PENALTY
         self.units = None if crossing else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if feed else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.score = {p: s for p, (_, s, _, _) in self.automaton.items()}
-        self.fits: dict[str, dict[str, bool]] | None = {} if order == "merges" else None
+        self.any = None if order == "merges" else _Any()
+        # For a piece, by the next one, the row of that one, or False where merging would not leave the two.
+        self.fits: dict[str, dict] = {}
         self.known = words.Memo(self._of_units)
 
     def merged(self, text: str) -> list[str]:
@@ -104,28 +113,39 @@ class Pieces:
 
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of normalised text."""
-        score: list = [0.0] + [None] * len(text)
-        back: list = [None] * (len(text) + 1)  # id and text of the last piece
-        strange = [i for i, c in enumerate(text) if c not in self.single]
-        done = 0
-        if self.fits is not None and len(self.fits) > MEMO // 10:
-            self.fits.clear()
+        # By the last character; the place before the first one is the last element, index -1.
+        score: list = [None] * len(text) + [0.0]
+        back: list = [None] * len(text)  # id and text of the last piece
+        if len(self.fits) > MEMO // 10:
+            self.fits = {}
+        rows: list = [None] * len(text) + [self._row("")]  # what may follow
+        strange = [] if self.single.keys() >= set(text) else [i for i, c in enumerate(text) if c not in self.single]
+        strange.append(len(text))
+        done, stop = 0, strange[0]
+        one = self.any is None  # of merges one path is finite: a place that has one is done
         for last, (size, gain, piece, name) in self.automaton.iter(text):
-            while done < len(strange) and strange[done] < last:
-                self._take_strange(text, strange[done], score, back)
+            if one and rows[last] is not None:
+                continue
+            while stop < last:
+                self._take_strange(text, stop, score, back, rows)
                 done += 1
-            end = last + 1
-            before = score[end - size]
-            if before is None:
+                stop = strange[done]
+            row = rows[last - size]
+            if row is None:
+                continue
+            after = row.get(name)
+            if after is None:
+                before = back[last - size][1] if last >= size else ""
+                after = row[name] = self._row(name) if self._fit(before, name) else False
+            if after is False:
                 continue
-            now, total = score[end], before + gain
-            if (now is None or total > now) and (self.fits is None or self._beside(back[end - size], name)):
-                score[end], back[end] = total, (piece, name)
-        while done < len(strange):
-            self._take_strange(text, strange[done], score, back)
-            done += 1
-        out, at = [], len(text)
-        while at:
+            now, total = score[last], score[last - size] + gain
+            if now is None or total > now:
+                score[last], back[last], rows[last] = total, (piece, name), after
+        for at in strange[done:-1]:
+            self._take_strange(text, at, score, back, rows)
+        out, at = [], len(text) - 1
+        while at >= 0:
             piece, name = back[at]
             if piece is None:
                 out += [self.byte_id[b] for b in reversed(name.encode("utf-8", "replace"))]
@@ -135,21 +155,14 @@ class Pieces:
         out.reverse()
         return out
 
-    def _take_strange(self, text: str, at: int, score: list, back: list) -> None:
+    def _row(self, name: str) -> dict | _Any:
+        """What may follow a piece (or begin a text, if it is empty), as far as known."""
+        return self.any or self.fits.setdefault(name, {})
+
+    def _take_strange(self, text: str, at: int, score: list, back: list, rows: list) -> None:
         """Relaxes the place after a character without a piece."""
-        if score[at] is not None:
-            score[at + 1], back[at + 1] = score[at] + self.unknown, (None, text[at])
-
-    def _beside(self, back: tuple | None, name: str) -> bool:
-        """Whether merging leaves a piece beside the one before, if there is one."""
-        before = back[1] if back else ""
-        row = self.fits.get(before)
-        if row is None:
-            row = self.fits[before] = {}
-        fit = row.get(name)
-        if fit is None:
-            fit = row[name] = self._fit(before, name)
-        return fit
+        if score[at - 1] is not None:
+            score[at], back[at], rows[at] = score[at - 1] + self.unknown, (None, text[at]), self._row(text[at])
 
     def _of_units(self, units: list[str]) -> list[bytes]:
         """Ids of words with their space in front."""

@@ -157,6 +157,27 @@ def pieces():
     return sptok.Pieces(sptok.model_path())
 
 
+def test_a_place_with_its_piece_is_not_judged_again(documents):
+    """Of the pieces that end at a place, longest first, none is held against merging after the one that fits."""
+    mine, judged = sptok.Pieces(sptok.model_path()), []
+    fit = mine._fit
+    mine._fit = lambda a, b: judged.append((a, b)) or fit(a, b)
+    for word in sorted({w for t in documents.text[:40] for w in (t or "").split()})[:1500]:
+        text, last, want = sptok.SPACE + word, [""], set()
+        for end in range(1, len(text) + 1):
+            last.append(text[end - 1])  # a character without a piece
+            for start in range(end):
+                if text[start:end] in mine.score and (last[start] or not start):
+                    want.add((last[start], text[start:end]))
+                    if fit(last[start], text[start:end]):
+                        last[end] = text[start:end]
+                        break
+        judged.clear()
+        mine.fits.clear()
+        mine.best(text)
+        assert set(judged) == want and len(judged) == len(want), text
+
+
 def test_sentencepiece_equals_library(pieces, documents):
     import sentencepiece
 
