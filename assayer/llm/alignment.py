@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import words
 from .common import scratch, small_batches, table
 from .sptok import SPACE
-from .tokenbin import Tokens
+from .tokenbin import Tokens, byte_signs
 
 SLICE_BYTES = 2 << 20
 MOST_PAIRS = 2_000_000
@@ -46,16 +46,14 @@ class ByteIds(Tokens):
     def __init__(self, path: str):
         super().__init__(path)
         self.library.encode_special_tokens = True
-        self.special, self.known = [], words.Memo(self._units, MEMO)
+        self.special = []
+        self.remember(MEMO)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        # The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for 256 and on, in order.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(plain)]
-        byte = {b: b for b in plain} | {256 + k: b for k, b in enumerate(rest)}
+        byte = {sign: b for b, sign in enumerate(byte_signs())}
         self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
         for word, i in vocabulary.items():
-            known = all(ord(c) in byte for c in word)
-            self.bytes_of[i] = bytes(byte[ord(c)] for c in word) if known else word.encode()
+            known = all(c in byte for c in word)
+            self.bytes_of[i] = bytes(byte[c] for c in word) if known else word.encode()
 
 
 class PieceIds:
