@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import words
 from .common import scratch, small_batches, table
 from .sptok import SPACE
-from .tokenbin import Tokens, byte_signs
+from .tokenbin import Tokens, byte_signs, ranked
 
 SLICE_BYTES = 2 << 20
 MOST_PAIRS = 2_000_000
@@ -101,9 +101,11 @@ def cuts(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     """
     found = [high - 1]
 
+    ends_b = np.zeros(int(max(a[-1], b[-1])) + 1 if len(a) else 1, bool)
+    ends_b[b] = True
+
     def common(at: np.ndarray) -> np.ndarray:
-        end = a[at]
-        return b[np.minimum(np.searchsorted(b, end), len(b) - 1)] == end
+        return ends_b[a[at]]
 
     while len(low):
         inner = high - low > 1
@@ -165,12 +167,15 @@ class Aligned:
         a_end, b_end = np.cumsum(a_table.size[a]), np.cumsum(b_table.size[b])
         high = np.cumsum(self.n_a)[there]
         at = cuts(a_end, b_end, high - self.n_a[there], high)
-        b_at = np.searchsorted(b_end, a_end[at])
+        is_a, is_b = (np.zeros(int(a_end[-1]) + 1 if len(a) else 1, bool) for _ in range(2))
+        is_a[a_end], is_b[b_end] = True, True
+        before_a, before_b = (np.cumsum(x, dtype=np.int32) - x for x in (is_a, is_b))  # ends before each byte
+        b_at = before_b[a_end[at]]
         self.a_group, self.b_group = (np.cumsum(np.bincount(x + 1, minlength=n + 1)[:n]) for x, n in ((at, len(a)), (b_at, len(b))))
         text = np.repeat(np.arange(len(texts)), self.n_a)
         self.n_groups = np.bincount(text[at], minlength=len(texts))
-        both = np.sort(np.concatenate((a_end, np.delete(b_end, b_at))), kind="stable")
-        self.a_of, self.b_of = np.searchsorted(a_end, both), np.searchsorted(b_end, both)
+        both = np.flatnonzero(is_a | is_b)
+        self.a_of, self.b_of = before_a[both], before_b[both]
         self.n_links = self.n_a + self.n_b - self.n_groups
 
     @staticmethod
@@ -282,7 +287,7 @@ def sliced(docs: DataFrame, paths: tuple[str, str], n_b: int) -> DataFrame:
 
         for batch in small_batches(batches, 8192, "text", SLICE_BYTES):
             made = Aligned(batch.column("text"), left, right)
-            own, code, n = np.unique(made.a[made.a_of] * n_b + made.b[made.b_of], return_inverse=True, return_counts=True)
+            own, n, code = ranked(made.a[made.a_of] * n_b + made.b[made.b_of])
             usual = np.argsort(-n, kind="stable")  # the most usual pair has the least code
             rank = np.empty(len(own), np.int64)
             rank[usual] = np.arange(len(own))

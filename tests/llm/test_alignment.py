@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -105,3 +106,10 @@ def test_the_query_equals_plain_sets(spark, sf, documents):
     want, _ = brute([(int(d), t) for d, t in documents.itertuples(index=False, name=None)])
     got = queries()["op11_token_alignment"](spark, sf).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_words_reach_the_library_once():
+    """Whatever signs follow a word, tokenizer A encodes its letters once."""
+    side = alignment.ByteIds(A)
+    side.encode(pa.array([" gamma gamma, gamma. gamma;\ngamma"]))
+    assert sorted(w for w in map(str, side.known.known) if w.strip(" ")) == sorted([" gamma", ",", ".", ";", "\n", "gamma"])
