@@ -387,13 +387,14 @@ def _buried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def nested_verdicts(spark, sf_dir):
     """What lies up to eight archives deep counts for the archive that was sent in."""
     sent = sample_files(spark, sf_dir).select("doc_id", "path", "content").mapInPandas(_buried, "root_path string, path string, content binary")
-    every = checkpointed(archive.unpacked(sent, depth=9).withColumn("content_sha256", F.sha2("content", 256)))
+    # A text is a content under its name, without the folder of copies: what is found in it hangs on both. Each is looked at once.
+    name = F.replace(F.element_at(F.split("path", "!"), -1), F.lit("copy/"), F.lit(""))
+    node = F.when(F.col("path").endswith(".zip"), F.col("content_sha256")).otherwise(F.concat_ws("/", "content_sha256", name))
+    every = checkpointed(archive.unpacked(sent, depth=9).withColumn("content_sha256", F.sha2("content", 256)).withColumn("node", node))
     roots = every.filter("depth = 0").select(F.col("content_sha256").alias("root"), F.split_part("path", F.lit("."), F.lit(1)).alias("root_path"))
-    pairs = lineage.reached(roots, every.select(F.col("parent_sha256").alias("parent"), F.col("content_sha256").alias("child")), depth=9)
-    # Each content is looked at once, under one of its names, without the folder of copies.
-    texts = every.filter("path NOT LIKE '%.zip'").groupBy(F.col("content_sha256").alias("content")).agg(F.min(F.struct(F.replace(F.element_at(F.split("path", "!"), -1), F.lit("copy/"), F.lit("")).alias("name"), F.col("content").alias("data"))).alias("t"))
-    named = texts.select(F.concat_ws("/", "content", "t.name").alias("path"), F.decode("t.data", "UTF-8").alias("content"))
-    found = detectors.observations(named).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("content"), "severity", "category")
+    pairs = lineage.reached(roots, every.select(F.col("parent_sha256").alias("parent"), F.col("node").alias("child")), depth=9)
+    texts = every.filter("path NOT LIKE '%.zip'").groupBy(F.col("node").alias("path")).agg(F.min("content").alias("data"))
+    found = detectors.observations(texts.select("path", F.decode("data", "UTF-8").alias("content"))).select(F.col("path").alias("content"), "severity", "category")
     one = roots.select(F.col("root").alias("submission"), F.lit(False).alias("trusted"), F.lit("b").alias("baseline_id"), F.lit(False).alias("matched"), F.lit(0.1).alias("distance"), F.lit(False).alias("dynamic_gap")).distinct()
     states = lineage.root_verdicts(found, pairs, one).select(F.col("submission").alias("root"), "state")
     deep = pairs.groupBy("root").agg(F.max("depth").alias("depth"))
