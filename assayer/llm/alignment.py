@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import scratch, small_batches, table
+from .common import ROW_BY_ROW, arrow_batches, scratch, small_batches, table
 from .sptok import SPACE
 from .tokenbin import Tokens, byte_signs, ranked
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MOST_PAIRS = 2_000_000
-FLUSH_PAIRS = 2_000_000
+FLUSH_PAIRS = 500_000
+BATCH = "8m"
 NEAR = 6
 MEMO = 200_000
 
@@ -334,7 +335,8 @@ def summary(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     paths = (a_path or default_paths()[0], b_path or default_paths()[1])
     n_b = len(_sides(*paths)[1][0].bytes_of)
     folder = f"{scratch(spark).rstrip('/')}/aligned-{uuid.uuid4().hex}"
-    sliced(docs, paths, n_b).write.option("compression", "zstd").parquet(f"{folder}/slices")
+    with arrow_batches(spark, BATCH):
+        sliced(docs, paths, n_b).write.options(compression="zstd", **ROW_BY_ROW).parquet(f"{folder}/slices")
     stored = spark.read.parquet(f"{folder}/slices")
     sums = stored.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n"))
     sums.write.parquet(f"{folder}/pairs")  # read three times
@@ -342,6 +344,12 @@ def summary(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     most = sums.groupBy("b").agg(F.max("n").alias("most"))
     counts = sums.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
     slices = stored.filter("pair IS NULL").select("slice", "doc_id", "n_a", "n_b", "n_groups", "n_links", "shas", "pairs", "codes")
+
+    def kept(slices: DataFrame, known) -> DataFrame:
+        with arrow_batches(spark, BATCH):
+            _told(slices, known).write.parquet(f"{folder}/told")
+        return spark.read.parquet(f"{folder}/told")
+
     if sums.count() <= most_pairs:
         every = counts.toArrow().sort_by("pair")
         sent = spark.sparkContext.broadcast(tuple(np.asarray(every.column(c).combine_chunks()) for c in ("pair", "n", "best")))
@@ -351,7 +359,7 @@ def summary(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
             at = np.searchsorted(pair, np.frombuffer(batch.column("pairs")[0].as_py(), np.int64))
             return n[at], best[at].astype(np.int64)
 
-        return _told(slices.drop("slice"), known)
+        return kept(slices.drop("slice"), known)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
@@ -366,7 +374,7 @@ def summary(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
         at = np.searchsorted(pair, np.frombuffer(batch.column("pairs")[0].as_py(), np.int64))
         return n[at], best[at].astype(np.int64)
 
-    return _told(slices.join(lists, "slice", "left").drop("slice"), joined)
+    return kept(slices.join(lists, "slice", "left").drop("slice"), joined)
 
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -113,3 +114,26 @@ def test_words_reach_the_library_once():
     side = alignment.ByteIds(A)
     side.encode(pa.array([" gamma gamma, gamma. gamma;\ngamma"]))
     assert sorted(w for w in map(str, side.known.known) if w.strip(" ")) == sorted([" gamma", ",", ".", ";", "\n", "gamma"])
+
+
+def test_slices_come_apart(spark, tmp_path, monkeypatch):
+    """Rows of megabytes: files of them end a row group early, batches of them are small, and the session's setting is as before."""
+    monkeypatch.setattr(alignment, "scratch", lambda spark: str(tmp_path))
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(5000)]
+    rows = [(i, " ".join(rng.choice(words, 70_000))) for i in range(24)]
+    before, seen = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), []
+    told = alignment._told
+
+    def watched(slices, known):
+        seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        return told(slices, known)
+
+    monkeypatch.setattr(alignment, "_told", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_links for r in alignment.summary(docs).collect()}
+    assert set(got) == set(range(24)) and all(got.values())
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before and seen == [alignment.BATCH]
+    groups = [pq.ParquetFile(f).metadata.row_group(k) for f in tmp_path.glob("aligned-*/slices/*.parquet") for k in range(pq.ParquetFile(f).num_row_groups)]
+    held = [g for g in groups if g.total_byte_size > 1 << 20]
+    assert len(held) > 1 and max(g.total_byte_size for g in held) < 16 << 20
