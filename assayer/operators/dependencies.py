@@ -26,10 +26,11 @@ def resembles(name: str, popular: tuple[str, ...]) -> str | None:
 
 
 def _may_resemble(name, known: str):
-    """An upper bound of the similarity, by shared letters, reaches 0.75: cheap, and never false where the similarity does."""
-    low = F.lower(name)
-    shared = sum(F.least(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))), F.lit(known.count(c))) for c in sorted(set(known)))
-    return 2 * shared > 0.75 * (F.length(low) + len(known))
+    """An upper bound of the similarity reaches 0.75, by lengths, by letters that occur in the known name, by how often they do: the cheapest first, and never false where the similarity does."""
+    low, letters = F.lower(name), sorted(set(known))
+    enough = lambda shared: 2 * shared > 0.75 * (F.length(low) + len(known))
+    counted = sum(F.least(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))), F.lit(known.count(c))) for c in letters)
+    return enough(F.least(F.length(low), F.lit(len(known)))) & enough(F.length(low) - F.length(F.translate(low, "".join(letters), ""))) & enough(counted)
 
 
 def typosquats(names: DataFrame, popular: tuple[str, ...]) -> DataFrame:

@@ -13,6 +13,7 @@ from assayer.operators import anomaly, detectors, graph, lineage, metrics, rank,
 from assayer.operators import patterns as P
 from assayer.plans import samples
 from assayer.sources import sinks
+from assayer.sources.shared import checkpointed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -605,8 +606,9 @@ def typosquat(spark, sf_dir):
     """Words of documents that look like a popular package (similarity by matching blocks has no SQL form)."""
     from assayer.operators import dependencies
 
-    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))).alias("name")).filter("name <> ''")
-    return dependencies.typosquats(words.groupBy("name").agg(F.count("*").alias("n_docs")), P.POPULAR_NODE)
+    words = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))).alias("name")).filter("name <> ''")
+    # Names are compared behind a checkpoint: the comparison would be pushed down to every word of every document.
+    return dependencies.typosquats(checkpointed(words.groupBy("name").agg(F.count("*").alias("n_docs"))), P.POPULAR_NODE)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
