@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import verdict
-from assayer.sources.shared import checkpointed
+from assayer.sources.shared import stored
 
 DEPTH = 32
 
@@ -26,13 +26,13 @@ def reached(roots: DataFrame, edges: DataFrame, *, depth: int = DEPTH) -> DataFr
 
     roots: root (repeated rows count once, nulls not); edges: parent, child (nulls lead nowhere).
     """
-    links = checkpointed(edges.filter("parent IS NOT NULL AND child IS NOT NULL AND parent <> child").select("parent", "child").distinct())
+    links = stored(edges.filter("parent IS NOT NULL AND child IS NOT NULL AND parent <> child").select("parent", "child").distinct())
     new = roots.filter("root IS NOT NULL").select("root", F.col("root").alias("content")).distinct()
-    every = checkpointed(new.withColumn("depth", F.lit(0)))
+    every = fresh = stored(new.withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
-        last = every.filter(F.col("depth") == d - 1).select("root", F.col("content").alias("parent"))
+        last = fresh.select("root", F.col("content").alias("parent"))
         step = last.join(links, "parent").select("root", F.col("child").alias("content")).distinct()
-        fresh = checkpointed(step.join(every.select("root", "content"), ["root", "content"], "left_anti").withColumn("depth", F.lit(d)))
+        fresh = stored(step.join(every.select("root", "content"), ["root", "content"], "left_anti").withColumn("depth", F.lit(d)))
         if fresh.isEmpty():
             break
         every = every.unionByName(fresh)
